@@ -26,6 +26,7 @@ from .rules import Bounds, Correlation, Rule, Ruleset, rule_sql
 
 MISSING = "MISSING"  # Fixed value: stands for an absent or null group-by value.
 _MASK_BITS = 62
+_COMPILED_ROWS = 16
 GROUP = ("c", "ws", "k")
 
 
@@ -106,8 +107,10 @@ def correlation_rows(
             ] if first else [(h, f"'{n}'", str(n)) for n, h in enumerate(hit)]
         key = group_key(b, c.group_by)
         structs += [
-            f"CASE WHEN {w} THEN named_struct('c', {i}, 'k', {key}, 'v', {value}, 'x', {x},"
-            f" 'o', {pos}, 'm', {m}, 'b1', {b1}, 'b2', {b2}) END"
+            (w, [
+                f"{i} AS c", f"{key} AS k", f"{value} AS v", f"{x} AS x", f"{pos} AS o",
+                f"{m} AS m", f"{b1} AS b1", f"{b2} AS b2",
+            ])
             for w, value, pos in rows
         ]
     if any(IPV6_UDF in t for t in tests.values()):
@@ -117,10 +120,15 @@ def correlation_rows(
         f"{sql_ident(time)} AS __time", *b.helper_columns,
         *(f"{tests[r]} AS {flag[r]}" for r in used),
     )
-    return flagged.selectExpr(
-        "__time AS event_time", "unix_micros(CAST(__time AS TIMESTAMP)) AS us",
-        f"inline(array_compact(array({', '.join(structs)})))",
-    )
+    times = ("__time AS event_time", "unix_micros(CAST(__time AS TIMESTAMP)) AS us")
+    if len(structs) == 1:
+        when, parts = structs[0]
+        return flagged.where(when).selectExpr(*times, *parts)
+    cases = ", ".join(f"CASE WHEN {when} THEN struct({', '.join(parts)}) END" for when, parts in structs)
+    if len(structs) > _COMPILED_ROWS:
+        return flagged.selectExpr(*times, f"inline(array_compact(array({cases})))")
+    # Few enough to compile: emit every row, empty ones too, and filter.
+    return flagged.selectExpr(*times, f"inline(array({cases}))").where("c IS NOT NULL")
 
 
 @dataclass(frozen=True)

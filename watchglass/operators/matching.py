@@ -38,9 +38,9 @@ def _required_selections(rule: Rule) -> list[str]:
     return [names[t.strip()] for t in re.split(r"\band\b", text) if t.strip() in names]
 
 
-def required_values(b: Binder, rule: Rule) -> dict[str, set[str]]:
-    """field -> lower-case texts of which one must be present for a match."""
-    out: dict[str, set[str]] = {}
+def required_values(b: Binder, rule: Rule) -> dict[str, tuple[set[str], str]]:
+    """field -> (lower-case texts of which one must be present, its selection)."""
+    out: dict[str, tuple[set[str], str]] = {}
     for name in _required_selections(rule):
         spec = rule.selections[name]
         if not isinstance(spec, dict):
@@ -59,10 +59,26 @@ def required_values(b: Binder, rule: Rule) -> dict[str, set[str]]:
                     break
                 texts.add(plain.lower())
             else:
-                out[fname] = texts
+                out[fname] = (texts, name)
     return out
 
 
+_GROUPING_PAYS = 8  # rules that share a field
+_COMPILED_RULES = 40  # more tests than this do not fit one compiled method
+
+
+def _hit_array(arrays: str, n: int) -> str:
+    """Drop the -1 of rules that do not match.
+
+    array_remove is compiled together with the tests. Beyond what fits into a
+    compiled method the higher-order filter is faster, as it is interpreted
+    from the start.
+    """
+    if n <= _COMPILED_RULES:
+        return f"array_remove({arrays}, -1)"
+    return f"filter({arrays}, i -> i >= 0)"
+
+
 def hits_sql(b: Binder, rules: Sequence[Rule], *, default_case: str = "insensitive") -> str:
     """SQL for the array of numbers of the rules an event matches.
 
@@ -70,33 +86,36 @@ def hits_sql(b: Binder, rules: Sequence[Rule], *, default_case: str = "insensiti
     behind a CASE on that field, so an event is tested only against the rules
     that its own value can satisfy.
     """
-    tests = [
-        f"CASE WHEN {rule_sql(b, r, default_case=default_case)} THEN {i} END"
-        for i, r in enumerate(rules)
-    ]
     needs = [required_values(b, r) for r in rules]
     votes: dict[str, int] = {}
     for n in needs:
         for f in n:
             votes[f] = votes.get(f, 0) + 1
     key = max(votes, key=lambda f: votes[f], default=None)
-    if key is None or votes[key] < 8:
-        return f"array_compact(array({', '.join(tests)}))"
+    if key is None or votes[key] < _GROUPING_PAYS:
+        key = None
     groups: dict[str, list[str]] = {}
     rest = []
-    for test, need in zip(tests, needs):
+    for i, (rule, need) in enumerate(zip(rules, needs)):
+        given = None
+        if key in need and default_case == "insensitive":
+            # The CASE has settled this item (unless it is case-sensitive).
+            given = {need[key][1]: frozenset([key])}
+        test = f"if({rule_sql(b, rule, default_case=default_case, given=given)}, {i}, -1)"
         if key in need:
-            for value in sorted(need[key]):
+            for value in sorted(need[key][0]):
                 groups.setdefault(value, []).append(test)
         else:
             rest.append(test)
+    if not groups:
+        return _hit_array(f"array({', '.join(rest)})", len(rest))
     branches = " ".join(
         f"WHEN {lit.sql_str(v)} THEN array({', '.join(ts)})" for v, ts in groups.items()
     )
-    chosen = f"CASE {b.lower(key)} {branches} ELSE array() END"
+    chosen = f"CASE {b.lower(key)} {branches} ELSE CAST(array() AS ARRAY<INT>) END"
     if rest:
         chosen = f"concat({chosen}, array({', '.join(rest)}))"
-    return f"array_compact({chosen})"
+    return _hit_array(chosen, sum(map(len, groups.values())) + len(rest))
 
 
 def check_patterns(df: DataFrame, rules: Iterable[Rule]) -> None:

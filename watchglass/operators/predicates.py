@@ -1,7 +1,8 @@
 """One detection item (field, modifiers, values) as a boolean SQL expression.
 
-Each leaf is total: it is TRUE or FALSE for every event, never NULL, so NOT
-over a missing field is TRUE and three-valued logic cannot drop rows.
+A test on a missing field is NULL here, which AND, OR and IF treat as false.
+Only NOT would let it through as NULL; `rules.condition_sql` therefore makes
+selections total (TRUE or FALSE) in the conditions that use NOT.
 """
 
 from __future__ import annotations
@@ -95,9 +96,9 @@ def keyword(b: Binder, value, mods: list[str], cased: bool) -> str:
     subject = b.raw() if cased else f"lower({b.raw()})"
     whole = lit.plain_text(pieces)
     if whole is not None:
-        return total(f"contains({subject}, {lit.sql_str(whole)})")
+        return f"contains({subject}, {lit.sql_str(whole)})"
     pattern = "%" + lit.like_pattern(pieces) + "%"
-    return total(f"{subject} LIKE {lit.sql_str(pattern)} ESCAPE '!'")
+    return f"{subject} LIKE {lit.sql_str(pattern)} ESCAPE '!'"
 
 
 def _one(b: Binder, name: str, value, mods: list[str], cased: bool) -> str:
@@ -110,21 +111,21 @@ def _one(b: Binder, name: str, value, mods: list[str], cased: bool) -> str:
     if "fieldref" in mods:
         other = str(value)
         if cased:
-            return total(f"{b.text(name)} = {b.text(other)}")
-        return total(f"{b.lower(name)} = {b.lower(other)}")
+            return f"{b.text(name)} = {b.text(other)}"
+        return f"{b.lower(name)} = {b.lower(other)}"
     if "re" in mods:
         flags = "".join(sorted({_REGEX_FLAGS[m] for m in mods if m in _REGEX_FLAGS}))
         pattern = (f"(?{flags})" if flags else "") + str(value)
-        return total(f"{b.text(name)} RLIKE {lit.sql_str(pattern)}")
+        return f"{b.text(name)} RLIKE {lit.sql_str(pattern)}"
     if "cidr" in mods:
-        return total(cidr_sql(b.text(name), str(value)))
+        return cidr_sql(b.text(name), str(value))
     for m, op in _COMPARISONS.items():
         if m in mods:
-            return total(f"{b.number(name)} {op} {float(value)!r}D")
+            return f"{b.number(name)} {op} {float(value)!r}D"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if b.is_numeric(name) and not any(m in _POSITIONS for m in mods):
-            return total(f"{b.number(name)} = {float(value)!r}D")
-    return total(string_match(b, name, value, mods, cased))
+            return f"{b.number(name)} = {float(value)!r}D"
+    return string_match(b, name, value, mods, cased)
 
 
 def _is_plain(value) -> bool:
@@ -133,9 +134,7 @@ def _is_plain(value) -> bool:
     return lit.plain_text(lit.split_wildcards(_as_text(value))) is not None
 
 
-def detection_item(
-    b: Binder, key: str, values, *, default_cased: bool = False
-) -> str:
+def detection_item(b: Binder, key: str, values, *, default_cased: bool = False) -> str:
     """SQL for `field|modifier|...: value or [values]`."""
     name, *mods = key.split("|")
     unknown = [m for m in mods if m not in MODIFIERS]
@@ -151,7 +150,7 @@ def detection_item(
             texts = [lit.plain_text(lit.split_wildcards(_as_text(v))) for v in values]
             subject = b.text(name) if cased else b.lower(name)
             inside = ", ".join(lit.sql_str(t if cased else t.lower()) for t in texts)
-            return total(f"{subject} IN ({inside})")
+            return f"{subject} IN ({inside})"
         tests = [_one(b, name, v, mods, cased) for v in values]
     if not tests:
         raise ValueError(f"field {name!r}: empty value list")
@@ -160,12 +159,20 @@ def detection_item(
     )
 
 
-def selection(b: Binder, spec, *, default_cased: bool = False) -> str:
-    """A selection: map = AND of items, list = OR of its maps and keywords."""
+def selection(
+    b: Binder, spec, *, default_cased: bool = False, given: frozenset[str] = frozenset()
+) -> str:
+    """A selection: map = AND of items, list = OR of its maps and keywords.
+
+    Items of a map whose key is in `given` are already known to hold.
+    """
     if isinstance(spec, dict):
         if not spec:
             raise ValueError("empty selection")
-        parts = [detection_item(b, k, v, default_cased=default_cased) for k, v in spec.items()]
+        parts = [
+            detection_item(b, k, v, default_cased=default_cased)
+            for k, v in spec.items() if k not in given
+        ] or ["TRUE"]
         return parts[0] if len(parts) == 1 else "(" + " AND ".join(parts) + ")"
     if isinstance(spec, (list, tuple)):
         if not spec:

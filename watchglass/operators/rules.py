@@ -120,11 +120,14 @@ def condition_sql(rule: Rule, selections: dict[str, str]) -> str:
     """The condition with each selection name replaced by its SQL.
 
     and / or / not and parentheses mean the same in Spark SQL, with the same
-    precedence, so Spark's own expression parser reads the result.
+    precedence, so Spark's own expression parser reads the result. A selection
+    on a missing field is NULL; where the condition says NOT, it becomes FALSE.
     """
     if "|" in rule.condition:
         raise RuleError(f"rule {rule.title!r}: aggregations in a condition are not supported")
     expanded = _QUANTIFIER.sub(lambda m: _of(rule, m.group(1), m.group(2)), rule.condition)
+    if re.search(r"\bnot\b", expanded, re.IGNORECASE):
+        selections = {n: predicates.total(s) for n, s in selections.items()}
 
     def put(m: re.Match) -> str:
         word = m.group(0)
@@ -137,16 +140,28 @@ def condition_sql(rule: Rule, selections: dict[str, str]) -> str:
     return "(" + _WORD.sub(put, expanded) + ")"
 
 
-def rule_sql(b: Binder, rule: Rule, *, default_case: str = "insensitive") -> str:
-    """One total boolean SQL expression for the rule."""
+def rule_sql(
+    b: Binder,
+    rule: Rule,
+    *,
+    default_case: str = "insensitive",
+    given: dict[str, frozenset[str]] | None = None,
+) -> str:
+    """One boolean SQL expression for the rule; NULL counts as no match.
+
+    `given` names items (selection -> keys) that the caller has tested already.
+    """
     cased = default_case == "sensitive"
+    given = given or {}
     selections = {
-        name: predicates.selection(b, spec, default_cased=cased)
+        name: predicates.selection(
+            b, spec, default_cased=cased, given=given.get(name, frozenset())
+        )
         for name, spec in rule.selections.items()
     }
     sql = condition_sql(rule, selections)
     scope = [
-        predicates.total(f"lower({b.fields.logsource[k]}) = {predicates.lit.sql_str(v.lower())}")
+        f"lower({b.fields.logsource[k]}) = {predicates.lit.sql_str(v.lower())}"
         for k, v in rule.logsource.items() if k in b.fields.logsource
     ]
     # The log source comes first so that it short-circuits the rest.

@@ -51,14 +51,24 @@ SYSLOG_FACILITIES = (
     "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7",
 )
 
-_RFC5424 = (
-    r"(?s)^<(\d{1,3})>(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) "
-    r"(-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: (.*))?$"
-)
+# Header fields are free of control characters, so one can separate the parts.
+_SEP = "\u0001"
+_WORD = r"([^\s\p{Cntrl}]+)"
+_RFC5424 = rf"(?s)^<(\d{{1,3}})>(\d{{1,2}}) {_WORD} {_WORD} {_WORD} {_WORD} {_WORD} (.*)$"
 _RFC3164 = (
-    r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) (\S+) "
-    r"([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
+    r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) ([^\s\p{Cntrl}]+) "
+    r"([^\s:\[\p{Cntrl}]+)(?:\[(\d+)\])?: ?(.*)$"
 )
+_STRUCTURED = r"(?s)^(-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: .*)?$"
+
+
+def _parts(line: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that covers the line, from one regex pass; else NULL."""
+    joined = F.regexp_replace(
+        line, F.lit(pattern), F.lit(_SEP + _SEP.join(f"${i}" for i in range(1, groups + 1)))
+    )
+    found = F.split(joined, _SEP, groups + 1)
+    return F.when(joined.startswith(_SEP) & (F.size(found) == groups + 1), found)
 
 
 def parse_syslog(df: DataFrame, message: str = "message", *, year: int | None = None) -> DataFrame:
@@ -70,47 +80,50 @@ def parse_syslog(df: DataFrame, message: str = "message", *, year: int | None =
     lines carry no year: give `year`, or the current one is taken.
     """
     line = F.col(message)
-    new, old = line.rlike(_RFC5424), line.rlike(_RFC3164)
+    # A line that begins with the separator itself cannot be told apart: not syslog.
+    clean = F.when(~line.startswith(_SEP), line)
+    read = df.withColumn("__new", _parts(clean, _RFC5424, 8))
+    read = read.withColumn("__sd", F.regexp_extract(F.get("__new", F.lit(8)), _STRUCTURED, 1))
+    read = read.withColumn("__new", F.when(F.col("__sd") != "", F.col("__new")))
+    # The older format is tried only where the newer one does not fit.
+    read = read.withColumn(
+        "__old", F.when(F.col("__new").isNull(), _parts(clean, _RFC3164, 6))
+    )
 
-    def part(pattern: str, group: int) -> Column:
-        text = F.regexp_extract(line, pattern, group)
+    def part(side: str, i: int) -> Column:
+        text = F.get(side, F.lit(i))
         return F.when(~text.isin("", "-"), text)
 
-    def either(g5424: int | None, g3164: int | None) -> Column:
-        none = F.lit(None).cast("string")
-        return F.when(new, part(_RFC5424, g5424) if g5424 else none).when(
-            old, part(_RFC3164, g3164) if g3164 else none
-        )
-
-    priority = either(1, 1).cast("int")
+    priority = F.coalesce(part("__new", 1), part("__old", 1)).cast("int")
     years = F.lit(str(year)) if year is not None else F.date_format(F.current_date(), "yyyy")
-    stamp = F.when(new, part(_RFC5424, 3).try_cast("timestamp")).when(
-        old,
+    stamp = F.coalesce(
+        part("__new", 3).try_cast("timestamp"),
         F.try_to_timestamp(
-            F.concat(years, F.lit(" "), F.regexp_replace(part(_RFC3164, 2), "  ", " ")),
+            F.concat(years, F.lit(" "), F.replace(part("__old", 2), F.lit("  "), F.lit(" "))),
             F.lit("yyyy MMM d HH:mm:ss"),
         ),
     )
     facility = F.get(F.array(*map(F.lit, SYSLOG_FACILITIES)), F.floor(priority / 8).cast("int"))
     severity = F.get(F.array(*map(F.lit, SYSLOG_SEVERITIES)), F.pmod(priority, F.lit(8)))
-    # The free-text part may be empty, and may be a lone dash.
-    rest = F.when(new, F.regexp_extract(line, _RFC5424, 9)).when(
-        old, F.regexp_extract(line, _RFC3164, 6)
-    )
+    sd, rest = F.col("__sd"), F.get("__new", F.lit(8))
     parsed = {
         "timestamp": stamp,
-        "hostname": either(4, 3),
-        "appname": either(5, 4),
-        "procid": either(6, 5),
-        "msgid": either(7, None),
-        "version": either(2, None).cast("int"),
+        "hostname": F.coalesce(part("__new", 4), part("__old", 3)),
+        "appname": F.coalesce(part("__new", 5), part("__old", 4)),
+        "procid": F.coalesce(part("__new", 6), part("__old", 5)),
+        "msgid": part("__new", 7),
+        "version": part("__new", 2).cast("int"),
         "facility": facility,
         "severity": severity,
-        "structured_data": either(8, None),
-        message: rest,
+        "structured_data": F.when(F.col("__new").isNotNull() & (sd != "-"), sd),
+        # The free-text part may be empty, and may be a lone dash.
+        message: F.coalesce(
+            F.substring(rest, F.length(sd) + 2, F.length(rest)), F.get("__old", F.lit(6))
+        ),
     }
     merged = {
         name: F.coalesce(value, F.col(name)) if name in df.columns else value
         for name, value in parsed.items()
     }
-    return df.withColumns({**merged, "syslog_ok": F.coalesce(new | old, F.lit(False))})
+    ok = F.col("__new").isNotNull() | F.col("__old").isNotNull()
+    return read.withColumns({**merged, "syslog_ok": ok}).drop("__new", "__old", "__sd")

@@ -20,7 +20,7 @@ def _greedy(seconds: Column, span: Column) -> Column:
     """Keep a second when it is at least `span` after the last kept one."""
     start = F.array().cast("array<bigint>")
     return F.aggregate(
-        F.array_sort(seconds),
+        F.sort_array(seconds),
         start,
         lambda kept, s: F.when(
             (F.size(kept) == 0) | (s >= F.element_at(kept, -1) + span), F.array_append(kept, s)
