@@ -123,6 +123,10 @@ def correlation_rows(
     times = ("__time AS event_time", "unix_micros(CAST(__time AS TIMESTAMP)) AS us")
     if len(structs) == 1:
         when, parts = structs[0]
+        if df.isStreaming:
+            # A filter without the event time would be pushed below the watermark,
+            # and events that match no rule must still move it on.
+            when = f"if(__time IS NULL, FALSE, {when})"
         return flagged.where(when).selectExpr(*times, *parts)
     cases = ", ".join(f"CASE WHEN {when} THEN struct({', '.join(parts)}) END" for when, parts in structs)
     if len(structs) > _COMPILED_ROWS:

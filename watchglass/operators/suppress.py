@@ -54,8 +54,10 @@ def keep_spaced(
         .agg(F.collect_list("__second").alias("__all"), F.max("__span").alias("__span"))
         .select(*keys, F.explode(_greedy(F.col("__all"), F.col("__span"))).alias("__second"))
     )
+    # A missing key is a key like any other, hence the null-safe equality.
+    same = [F.col(f"all.{k}").eqNullSafe(F.col(f"kept.{k}")) for k in (*keys, "__second")]
     return (
-        per_second.join(kept, [*keys, "__second"], "left_semi")
+        per_second.alias("all").join(kept.alias("kept"), same, "left_semi")
         .select("__first.__row.*").select(*names)
     )
 
