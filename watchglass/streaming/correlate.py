@@ -8,7 +8,7 @@ stream, so correlations with different lateness run as separate queries.
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.fields import FieldMap
 from ..operators import correlate as batch
 from ..operators.rules import Correlation, Rule, Ruleset
-from ..plans.skew import DEFAULT_SALTS
+from ..plans.skew import DEFAULT_SALTS, salted_join
 
 _KEYS = ("window", "c", "k")
 
@@ -42,21 +42,37 @@ def _windowed(rows: DataFrame, seconds: int) -> DataFrame:
     return rows.withColumn("window", F.window("event_time", f"{seconds} seconds"))
 
 
-def _ordered(rows: DataFrame, correlations: Sequence[Correlation]) -> DataFrame:
-    """Sequences of three or more rules: scan the distinct steps in time order.
+def _ordered(
+    rows: Callable[[], DataFrame], correlations: Sequence[Correlation], salts: int
+) -> DataFrame:
+    """Sequences of n >= 3 rules, by narrowing from both ends as the batch form does.
 
-    A step is (time, rule), so state per key and window grows with the distinct
-    times of the referenced rules only, not with the number of events.
+    Each round joins the distinct steps, which wait in the state of a salted
+    stream-stream join, with the two ends of their window once it has closed.
+    No group is gathered: state is spread by step time. Each use of the rows is
+    built anew: a self-join renames shared columns, which would lose the
+    watermark of the window column and keep its state for ever.
     """
-    need = " ".join(f"WHEN {i} THEN {len(c.refs)}" for i, c in enumerate(correlations))
-    steps = F.array_sort(F.collect_set(F.struct("us", "o")))
-    reached = F.aggregate(
-        steps, F.lit(0), lambda at, s: F.when(s["o"] == at, at + 1).otherwise(at)
-    )
-    return (
-        rows.groupBy(*_KEYS).agg(reached.alias("reached"))
-        .where(F.expr(f"reached = CASE c {need} END"))
+    n = len(correlations[0].refs)
+    needs = batch.Needs.of(correlations)
+    ends = (
+        rows().groupBy(*_KEYS).agg(*batch.measures(needs, batch.last_position(correlations)))
+        .where(batch.fires(correlations)).select(*_KEYS, "lo_us", "hi_us")
     )
+    low, high = 0, n - 1
+    while high - low > 1:
+        steps = rows().select(*_KEYS, "o", "us").where(F.col("o").isin(low + 1, high - 1))
+        near = salted_join(steps.dropDuplicates([*_KEYS, "o", "us"]), ends, _KEYS, ["us", "o"], salts=salts)
+        ends = (
+            near.where("us BETWEEN lo_us AND hi_us").groupBy(*_KEYS)
+            .agg(
+                F.min(F.when(F.col("o") == low + 1, F.col("us"))).alias("lo_us"),
+                F.max(F.when(F.col("o") == high - 1, F.col("us"))).alias("hi_us"),
+            )
+            .where("lo_us <= hi_us")
+        )
+        low, high = low + 1, high - 1
+    return ends
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -71,6 +87,7 @@ def _level(
     correlations: Sequence[Correlation],
     fields: FieldMap | None,
     time: str,
+    salts: int = DEFAULT_SALTS,
     **options,
 ) -> DataFrame:
     branches = []
@@ -78,22 +95,23 @@ def _level(
     for c in correlations:
         shape = (
             "distinct" if batch.counts_distinct(c)
-            else "ordered" if c.kind == "temporal_ordered" and len(c.refs) > 2
+            else f"ordered {len(c.refs)}" if c.kind == "temporal_ordered" and len(c.refs) > 2
             else "plain"
         )
         shapes.setdefault((c.window_seconds, shape), []).append(c)
     for (seconds, shape), group in shapes.items():
-        rows = _windowed(
-            batch.correlation_rows(events, rules, group, fields, time=time, **options), seconds
-        )
-        if shape == "ordered":
-            fired = _ordered(rows, group)
+        def rows(group=group, seconds=seconds):
+            found = batch.correlation_rows(events, rules, group, fields, time=time, **options)
+            return _windowed(found, seconds)
+
+        if shape.startswith("ordered"):
+            fired = _ordered(rows, group, salts)
         else:
             if shape == "distinct":
-                measured = _distinct(rows)
+                measured = _distinct(rows())
             else:
                 needs = batch.Needs.of(group)
-                measured = rows.groupBy(*_KEYS).agg(
+                measured = rows().groupBy(*_KEYS).agg(
                     *batch.measures(needs, batch.last_position(group))
                 )
             fired = measured.where(batch.fires(group))
