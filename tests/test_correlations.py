@@ -217,9 +217,13 @@ def test_suppression_gap_of_exactly_the_window_is_kept(spark):
     assert {x: sorted(v) for x, v in by_key.items()} == {"a": [0, 60, 120, 300], None: [0, 60, 120, 300]}
 
 
-def test_suppression_against_brute_force(spark):
+@pytest.mark.parametrize("slice_seconds", [30 * 86400, 400, 90])
+def test_suppression_against_brute_force(spark, monkeypatch, slice_seconds):
+    from watchglass.operators import suppress
+
+    monkeypatch.setattr(suppress, "SLICE_SECONDS", slice_seconds)
     rng = random.Random(1)
-    rows = [(f"k{rng.randrange(5)}", rng.randrange(5000), i) for i in range(3000)]
+    rows = [(f"k{rng.randrange(5)}", rng.randrange(1500), i) for i in range(1000)]
     df = spark.createDataFrame(rows, "key string, s long, i long").withColumn("t", F.timestamp_seconds("s"))
     got = {(r.key, r.s, r.i) for r in keep_spaced(df, ["key"], "t", 97, order=["i"]).collect()}
     want = set()

@@ -1,10 +1,10 @@
 """At most one alert per key within a time span, counted from the last kept one.
 
 Decisions are made on whole seconds: rows of one key and second are reduced to
-one before anything is gathered. A key then holds at most one number per
-second of the time range, however many rows it has (2.6 million for the 30 days
-that alerts are kept), so the sequential part works on a small array of seconds.
-Correlation alerts fire on window ends, which are whole seconds.
+one before anything is gathered. The sequential part then works on distinct
+seconds of one key, 30 days at a time: at most 2.6 million numbers, however
+many rows the key has. Correlation alerts fire on window ends, which are whole
+seconds.
 """
 
 from __future__ import annotations
@@ -16,16 +16,55 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.durable import materialize
 
 
-def _greedy(seconds: Column, span: Column) -> Column:
-    """Keep a second when it is at least `span` after the last kept one."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(
+SLICE_SECONDS = 30 * 86400
+
+
+def _greedy(seconds: Column, span: Column, last: Column) -> Column:
+    """The seconds that are at least `span` after the one kept before them.
+
+    `last` is what was kept in an earlier slice, or NULL.
+    """
+    start = F.when(last.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(last))
+    kept = F.aggregate(
         F.sort_array(seconds),
         start,
-        lambda kept, s: F.when(
-            (F.size(kept) == 0) | (s >= F.element_at(kept, -1) + span), F.array_append(kept, s)
-        ).otherwise(kept),
+        lambda done, s: F.when(
+            (F.size(done) == 0) | (s >= F.element_at(done, -1) + span), F.array_append(done, s)
+        ).otherwise(done),
     )
+    return F.when(last.isNull(), kept).otherwise(F.slice(kept, 2, F.size(kept)))
+
+
+def _kept_seconds(seconds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, __second) to keep, from distinct (keys, __second, __span)."""
+    first, last = seconds.agg(F.min("__second"), F.max("__second")).first()
+    if first is None:
+        return seconds.select(*keys, "__second")
+    starts = range(first, last + 1, SLICE_SECONDS)
+    kept: DataFrame | None = None
+    carry: DataFrame | None = None
+    for at in starts:
+        part = (
+            seconds.where(F.col("__second").between(at, at + SLICE_SECONDS - 1))
+            .groupBy(*keys)
+            .agg(F.collect_list("__second").alias("__all"), F.max("__span").alias("__span"))
+        )
+        if carry is None:
+            part = part.withColumn("__last", F.lit(None).cast("bigint"))
+        else:
+            same = [F.col(f"part.{k}").eqNullSafe(F.col(f"carry.{k}")) for k in keys]
+            part = part.alias("part").join(carry.alias("carry"), same, "left").select(
+                "part.*", "carry.__last"
+            )
+        chosen = part.select(
+            *keys, F.explode(_greedy(F.col("__all"), F.col("__span"), F.col("__last"))).alias("__second")
+        )
+        if len(starts) == 1:
+            return chosen
+        chosen = materialize(chosen)
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        carry = materialize(kept.groupBy(*keys).agg(F.max("__second").alias("__last")))
+    return kept
 
 
 def keep_spaced(
@@ -49,11 +88,7 @@ def keep_spaced(
         .groupBy(*keys, "__second")
         .agg(F.min(first).alias("__first"), F.max(span).cast("bigint").alias("__span"))
     )
-    kept = (
-        per_second.groupBy(*keys)
-        .agg(F.collect_list("__second").alias("__all"), F.max("__span").alias("__span"))
-        .select(*keys, F.explode(_greedy(F.col("__all"), F.col("__span"))).alias("__second"))
-    )
+    kept = _kept_seconds(per_second.select(*keys, "__second", "__span"), keys)
     # A missing key is a key like any other, hence the null-safe equality.
     same = [F.col(f"all.{k}").eqNullSafe(F.col(f"kept.{k}")) for k in (*keys, "__second")]
     return (
