@@ -146,6 +146,42 @@ def test_logsource_is_opt_in(make_events):
     assert [r.path for r in matching.explode_hits(events, rules, scoped).collect()] == ["0"]
 
 
+def test_typed_columns_of_every_shape(spark):
+    df = spark.sql("""
+      SELECT 1 AS id, named_struct('b', named_struct('c', 'Deep')) AS a, map('k.x', 'v') AS m,
+             parse_json('{"p": {"q": 7}, "n": null}') AS doc, '{"z": {"y": true}, "z.w": 1}' AS txt,
+             CAST(5 AS DECIMAL(9, 2)) AS amount, TRUE AS flag, CAST(NULL AS STRING) AS nothing
+      UNION ALL SELECT 2, NULL, NULL, NULL, 'broken', NULL, NULL, NULL""")
+    detections = [
+        {"a.b.c": "deep"}, {"m.k.x": "V"}, {"doc.p.q": 7}, {"txt.z.y": True}, {"txt.z.w": 1}, {"amount": 5},
+        {"amount|gte": 5.0}, {"flag": True}, {"doc.n": None, "doc.n|exists": True}, {"nothing|exists": False},
+        {"unknown.field": None}, {"doc.p|exists": True}, {"a.b|exists": False},
+    ]
+    specs = [{"title": f"t{i:02d}", "id": f"t{i:02d}", "fields": [next(iter(d)).split("|")[0]],
+              "detection": {"s": d, "condition": "s"}} for i, d in enumerate(detections)]
+    rules = ruleset_from_dicts(specs).rules
+    fields = FieldMap(json_columns=("txt",))
+    rows = matching.matches(df, rules, fields, keep=["id"]).collect()
+    assert sorted(r.rule_id for r in rows if r.id == 1) == [f"t{i:02d}" for i in range(12)]
+    assert sorted(r.rule_id for r in rows if r.id == 2) == ["t09", "t10", "t12"]
+    parts = {r.rule_id: r.matched_events[0] for r in matching.alerts(df, rules, fields).where("rule_id < 't05'").collect()}
+    assert parts == {
+        "t00": '{"a.b.c":"Deep"}', "t01": '{"m.k.x":"v"}', "t02": '{"doc.p.q":7}',
+        "t03": '{"txt.z.y":true}', "t04": '{"txt.z.w":1}',
+    }
+
+
+def test_observed_counters(spark, make_events):
+    from pyspark.sql import Observation
+
+    specs = [{"title": x, "id": x, "detection": {"s": {"a": x}, "condition": "s"}} for x in ("one", "two")]
+    rules = ruleset_from_dicts(specs).rules
+    matched = matching.matches(make_events([{"a": "one"}, {"a": "one"}]), rules, DOC, keep=["path"])
+    seen = Observation("rules")
+    assert matching.observe_matches(matched, rules, seen).count() == 2
+    assert seen.get == {"matches_one": 2, "matches_two": 0}
+
+
 def test_bad_rules(spark, make_events):
     events = make_events([{}])
     for d in (

@@ -43,6 +43,8 @@ def test_rollover_moves_one_day(spark, hot, tmp_path):
     got = spark.sql("SELECT try_variant_get(data, '$.u', 'string') AS u, partition_date FROM events_all"
                     f" WHERE partition_date = DATE '{day}'").collect()
     assert [r.u for r in got] == ["é"] * 5
+    plan = view.where(F.col("partition_date") == F.lit(day))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(dt") == 2
     files = list((tmp_path / "cold" / f"dt={day}").glob("*.parquet"))
     assert files and all("zstd" in f.name for f in files)
     assert tiers.rollover(spark, hot, cold, TODAY, age_days=13) == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 import pytest
@@ -145,6 +146,10 @@ def test_open_windows_can_be_flushed(spark, source, tmp_path):
     rest = detect.flush_open_windows(ev, rs, emitted, FieldMap())
     assert rest.count() > 0
     assert emitted.count() + rest.count() == batch.correlate(ev, rs).count()
+    recent = detect.flush_open_windows(
+        ev, rs, emitted, FieldMap(), since=dt.datetime(2024, 1, 29, tzinfo=dt.timezone.utc)
+    )
+    assert sorted(recent.collect()) == sorted(rest.collect())
 
 
 def test_repeated_messages_are_dropped(spark, tmp_path):

@@ -8,7 +8,7 @@ from typing import Callable, Iterable, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..functions import literals as lit
 from ..functions.cidr import IPV6_UDF, register_ipv6
@@ -264,6 +264,16 @@ def rule_counters(matched: DataFrame) -> DataFrame:
     return matched.groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
+def observe_matches(matched: DataFrame, rules: Sequence[Rule], name: "str | Observation") -> DataFrame:
+    """Count matches per rule on the way through, for a stream's progress reports.
+
+    The counters are named matches_<rule id> and appear under `name`.
+    """
+    return matched.observe(name, *[
+        F.count_if(F.col("rule_id") == r.id).alias(f"matches_{r.id}") for r in rules
+    ])
+
+
 def rule_coverage(matched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Matches per rule, rules without any match included."""
     counts = rule_counters(matched)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+import datetime as dt
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fields import FieldMap
 from ..operators import matching
+from ..operators.correlate import correlate
 from ..operators.rules import Ruleset
 from ..sources import sinks
 from .correlate import by_lateness, correlate_stream
@@ -121,11 +123,20 @@ def once_per_message(events: DataFrame, message_id: str, time: str, lateness_sec
 
 
 def flush_open_windows(
-    events: DataFrame, ruleset: Ruleset, emitted: DataFrame, fields: FieldMap | None = DOCUMENT,
-    *, time: str = "event_time", keys: Sequence[str] = ("rule_id", "window_start", "correlation_key"),
+    events: DataFrame,
+    ruleset: Ruleset,
+    emitted: DataFrame,
+    fields: FieldMap | None = DOCUMENT,
+    *,
+    time: str = "event_time",
+    since: dt.datetime | None = None,
 ) -> DataFrame:
-    """Alerts of windows a stopped stream had not closed yet, from the stored events."""
-    from ..operators.correlate import correlate
+    """Alerts of windows a stopped stream had not closed yet, from the stored events.
 
-    everything = correlate(events, ruleset, fields, time=time, suppressed=False)
-    return everything.join(emitted.select(*keys), list(keys), "left_anti")
+    `since` limits the work to events from then on; give the start of the oldest
+    window that may be open (the last watermark, rounded down to the window).
+    """
+    keys = ["rule_id", "window_start", "correlation_key"]
+    stored = events if since is None else events.where(F.col(time) >= F.lit(since))
+    everything = correlate(stored, ruleset, fields, time=time, suppressed=False)
+    return everything.join(emitted.select(*keys), keys, "left_anti")
