@@ -301,3 +301,5 @@ def test_count_plan_has_partial_aggregation_and_one_scan(spark):
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
     assert "partial_count" in plan and "props" not in plan
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+    single = c.correlate(df, ruleset_from_dicts([*rules, specs[0]]))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in single

@@ -134,7 +134,7 @@ def test_placeholders(spark, make_events):
         fired(make_events, events, d)
     table = spark.createDataFrame([("admins", "ROOT"), ("admins", "root"), ("x", "nobody")], "name string, value string")
     typed = make_events(events).selectExpr("path", "variant_get(data, '$.user', 'string') AS user")
-    assert [r.path for r in in_value_list(typed, F.col("user"), table, "admins").collect()] == ["0"]
+    assert [r.path for r in in_value_list(typed, F.col("user"), table, "admins", spread=["path"]).collect()] == ["0"]
 
 
 def test_logsource_is_opt_in(make_events):

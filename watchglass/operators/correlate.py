@@ -67,11 +67,12 @@ def correlation_rows(
     default_case: str = "insensitive",
     drop_missing_keys: bool = False,
 ) -> DataFrame:
-    """(event_time, us, c, k, v, x, o, m, b1, b2): one row per event and correlation.
+    """(event_time, us, c, k, v, x, o, m, b1, b2, size): one row per event and correlation.
 
     c is the position in `correlations`, k the key, v the counted value, x the
     number a percentile is taken of, o the position of the first rule that
-    matched, m the bit mask of all that did, b1 and b2 the `_below` tests.
+    matched, m the bit mask of all that did, b1 and b2 the `_below` tests, size
+    the window in seconds.
     """
     b = Binder(df, fields)
     used = list(dict.fromkeys(r for c in correlations for r in c.refs))
@@ -109,7 +110,7 @@ def correlation_rows(
         structs += [
             (w, [
                 f"{i} AS c", f"{key} AS k", f"{value} AS v", f"{x} AS x", f"{pos} AS o",
-                f"{m} AS m", f"{b1} AS b1", f"{b2} AS b2",
+                f"{m} AS m", f"{b1} AS b1", f"{b2} AS b2", f"{c.window_seconds}L AS size",
             ])
             for w, value, pos in rows
         ]
@@ -233,12 +234,27 @@ def _correlation_table(df: DataFrame, correlations: Sequence[Correlation]) -> Da
     })
 
 
+def _described(grouped: DataFrame, correlations: Sequence[Correlation]) -> DataFrame:
+    """Add id, title, severity, tags and suppression of each row's correlation."""
+    if len(correlations) > 1:
+        return grouped.join(_correlation_table(grouped, correlations), "c")
+    # With one correlation c is a constant, and a join on it would be a cross join.
+    only = correlations[0]
+    return grouped.withColumns({
+        "rule_id": F.lit(only.id),
+        "rule_title": F.lit(only.title),
+        "severity": F.lit(only.severity),
+        "tags": F.array(*map(F.lit, only.tags)).cast("array<string>"),
+        "suppress_seconds": F.lit(only.suppress_seconds).cast("bigint"),
+    })
+
+
 def as_alerts(
     fired: DataFrame, correlations: Sequence[Correlation], start: Column, end: Column,
     fired_at: Column | None = None,
 ) -> DataFrame:
     """Alert rows for groups (c, k) that fired in a window; no events are carried."""
-    return fired.join(_correlation_table(fired, correlations), "c").select(
+    return _described(fired, correlations).select(
         "rule_id", "rule_title", "severity",
         (end if fired_at is None else fired_at).alias("fired_at"),
         start.alias("window_start"), end.alias("window_end"),
@@ -248,12 +264,10 @@ def as_alerts(
     )
 
 
-def _window_start(correlations: Sequence[Correlation]) -> Column:
-    """Start of the epoch-aligned window, in seconds, by the row's correlation."""
-    cases = " ".join(f"WHEN {i} THEN {c.window_seconds}L" for i, c in enumerate(correlations))
-    size = f"(CASE c {cases} END)"
+def _window_start() -> Column:
+    """Start of the epoch-aligned window, in seconds, of a row."""
     second = "(us DIV 1000000L - if(us < 0 AND us % 1000000L <> 0, 1, 0))"
-    return F.expr(f"{second} - pmod({second}, {size})")
+    return F.expr(f"{second} - pmod({second}, size)")
 
 
 def _settle_order(
@@ -312,7 +326,7 @@ def correlate_level(
     rows = correlation_rows(
         df, rules, correlations, fields, time=time, default_case=default_case,
         drop_missing_keys=drop_missing_keys,
-    ).withColumn("ws", _window_start(correlations))
+    ).withColumn("ws", _window_start())
     needs = Needs.of(correlations)
     # count_distinct shuffles by (group, value) first, which splits a hot group.
     aggs = measures(needs, last_position(correlations))
@@ -422,4 +436,4 @@ def cardinality_report(
     if allowed:
         over = over & ~F.expr(f"c IN ({allowed})")
     counted = rows.groupBy("c").agg(count.alias("keys")).withColumn("warn", over)
-    return counted.join(_correlation_table(df, chosen), "c").select("rule_id", "keys", "warn")
+    return _described(counted, chosen).select("rule_id", "keys", "warn")

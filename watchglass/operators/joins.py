@@ -16,7 +16,7 @@ def alerts_with_events(
     *,
     date: str = "partition_date",
     event_columns: Sequence[str],
-    spread: Sequence[str] | None = None,
+    spread: Sequence[str],
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Alerts joined with the events of their key on the days of their window.
@@ -32,22 +32,28 @@ def alerts_with_events(
         key.cast("string").alias("__key"), F.col(date).cast("date").alias("__day"), *event_columns
     )
     joined = salted_join(
-        side, per_day, ["__key", "__day"], list(spread or event_columns), salts=salts
+        side, per_day, ["__key", "__day"], spread, salts=salts
     )
     return joined.drop("__day").withColumnRenamed("__key", "correlation_key")
 
 
 def in_value_list(
-    events: DataFrame, field: Column, values: DataFrame, name: str, *, salts: int = DEFAULT_SALTS
+    events: DataFrame,
+    field: Column,
+    values: DataFrame,
+    name: str,
+    *,
+    spread: Sequence[str],
+    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Events whose field is in list `name` of a (name, value) table, any case.
 
     For lists too long to be literals in a rule. Catalyst broadcasts the list
-    when it is small; a longer list meets salted events, so a value that many
-    events share is spread over tasks.
+    when it is small; a longer list meets events salted by `spread` (a key of
+    the events), so a value that many events share is spread over tasks.
     """
     wanted = values.where(F.col("name") == name).select(F.lower("value").alias("__value")).distinct()
     return salted_join(
         events.withColumn("__value", F.lower(field.cast("string"))), wanted, ["__value"],
-        events.columns, how="left_semi", salts=salts,
+        spread, how="left_semi", salts=salts,
     ).drop("__value")

@@ -322,11 +322,16 @@ def with_python_rule(df: DataFrame, rule: PythonRule, name: str = "outcome") ->
         import traceback
 
         out = []
+        traces: dict[tuple, str] = {}  # formatting one is slow, and few differ
         for values in frame.itertuples(index=False, name=None):
             try:
                 out.append((bool(test(dict(zip(columns, values)))), None, None))
             except Exception as e:
-                out.append((False, f"{type(e).__name__}: {e}", traceback.format_exc()))
+                error = f"{type(e).__name__}: {e}"
+                lines = tuple(at for _, at in traceback.walk_tb(e.__traceback__))
+                if (error, lines) not in traces:
+                    traces[error, lines] = traceback.format_exc()
+                out.append((False, error, traces[error, lines]))
         return pd.DataFrame(out, columns=["hit", "error", "trace"])
 
     return df.withColumn(name, run(F.struct(*columns)))
