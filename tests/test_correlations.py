@@ -288,6 +288,37 @@ def test_hot_key_holds_a_third_of_all_rows(spark):
     df.unpersist()
 
 
+@pytest.mark.parametrize("rows_per_task,max_hot", [(10**6, 10), (1000, 10), (1000, 1), (20, 10_000)])
+def test_weighted_join_is_exact(spark, rows_per_task, max_hot):
+    from watchglass.plans.skew import weighted_join
+
+    big = spark.range(9000).selectExpr("id", "if(id % 3 = 0, -1, if(id % 3 = 1, -2, id % 50)) AS k")
+    small = big.groupBy("k").agg(F.count("*").alias("n")).where("k <> 7").cache()
+    out = weighted_join(big, small, ["k"], ["id"], "n", rows_per_task=rows_per_task, max_hot=max_hot)
+    assert sorted(map(tuple, out.select("id", "k").collect())) == sorted(
+        map(tuple, big.where("k <> 7").select("id", "k").collect()))
+
+
+@pytest.mark.parametrize("length", [3, 5])
+def test_ordered_with_heavy_groups(spark, monkeypatch, length):
+    from watchglass.plans import skew
+
+    plain, salted = [], []
+    for found, rows in ((plain, 10**6), (salted, 5)):
+        monkeypatch.setattr(skew.weighted_join, "__kwdefaults__", {"reduce": lambda df: df, "rows_per_task": rows, "max_hot": 10_000})
+        names = "abcde"[:length]
+        df = spark.range(4000).selectExpr(
+            "if(id % 3 = 0, 'hot', CAST(id % 61 AS STRING)) AS user",
+            f"element_at(split('{','.join(names)}', ','), CAST(pmod(xxhash64(id), {length}) + 1 AS INT)) AS k",
+            "timestamp_seconds(pmod(xxhash64(id, 3), 500)) AS event_time",
+        )
+        rules = [{"title": f"k{x}", "id": f"k{x}", "detection": {"s": {"k": x}, "condition": "s"}} for x in names]
+        rule = corr("temporal_ordered", [f"k{x}" for x in names], span="200s")
+        found += sorted(map(tuple, c.correlate(df, ruleset_from_dicts([*rules, rule]))
+                            .select("correlation_key", "window_start").collect()))
+    assert plain == salted and plain
+
+
 def test_count_plan_has_partial_aggregation_and_one_scan(spark):
     from conftest import TESTDATA
 

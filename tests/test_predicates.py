@@ -146,6 +146,18 @@ def test_logsource_is_opt_in(make_events):
     assert [r.path for r in matching.explode_hits(events, rules, scoped).collect()] == ["0"]
 
 
+def test_names_and_values_are_quoted(make_events):
+    names = ["a'b", 'c"d', "e f", "g\\h", "i`j", "k-l", "日本", "m%n", "$.o", ":p", "q?"]
+    values = ["x'); --", 'y"', "back\\slash", "two\nlines", "`tick`", "{v}", ":param", "a%b_c!", "\\'"]
+    events = [{n: v} for n in names for v in values]
+    detections = [{"s": {n: v}, "condition": "s"} for n in names for v in values[:2]]
+    got = fired(make_events, events, *detections)
+    want = [{i for i, e in enumerate(events) if e == dict(d["s"].items())} for d in detections]
+    assert got == want
+    both = fired(make_events, events, *({"s": {"e f|contains": v}, "condition": "s"} for v in values))
+    assert both == [{names.index("e f") * len(values) + i} for i in range(len(values))]
+
+
 def test_typed_columns_of_every_shape(spark):
     df = spark.sql("""
       SELECT 1 AS id, named_struct('b', named_struct('c', 'Deep')) AS a, map('k.x', 'v') AS m,

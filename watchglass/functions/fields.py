@@ -15,9 +15,13 @@ from .literals import sql_ident, sql_str
 
 
 def _variant_path(parts: list[str]) -> str:
-    return "$" + "".join(
-        "['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in parts
-    )
+    """Path of nested keys; the path syntax has no escapes, only two kinds of quotes."""
+    out = "$"
+    for p in parts:
+        if "'" in p and '"' in p:
+            raise ValueError(f"field name with both kinds of quotes: {p!r}")
+        out += f'["{p}"]' if "'" in p else f"['{p}']"
+    return out
 
 
 @dataclass

@@ -20,7 +20,7 @@ from ..functions.fields import Binder, FieldMap
 from ..functions.literals import sql_ident, sql_str
 from ..plans.durable import materialize
 from ..plans.local import literal_frame
-from ..plans.skew import DEFAULT_SALTS, salted_join
+from ..plans.skew import weighted_join
 from .matching import _parsed
 from .rules import Bounds, Correlation, Rule, Ruleset, rule_sql
 
@@ -271,12 +271,12 @@ def _window_start() -> Column:
 
 
 def _settle_order(
-    rows: DataFrame, ends: DataFrame, correlations: Sequence[Correlation], salts: int
+    rows: DataFrame, ends: DataFrame, correlations: Sequence[Correlation]
 ) -> DataFrame:
     """Ordered sequences of three or more rules, by narrowing from both ends.
 
-    `ends` has the earliest first step and latest last step of each group. Each
-    round finds the earliest next step after the one and the latest previous
+    `ends` has the earliest first step and latest last step of each group, and n,
+    its number of rows, which tells the join where to salt. Each round finds the earliest next step after the one and the latest previous
     step before the other, until they meet; greedy choices are enough for a
     subsequence. Rounds need one aggregation each and hold two numbers per
     group. Equal times count in declared order.
@@ -285,23 +285,26 @@ def _settle_order(
         f"WHEN {i} THEN {len(c.refs) - 1}" for i, c in enumerate(correlations)
         if c.kind == "temporal_ordered"
     ) + " END")
-    open_ = ends.select(*GROUP, "lo_us", "hi_us", F.lit(0).alias("i"), positions.alias("j"))
+    open_ = ends.select(*GROUP, "n", "lo_us", "hi_us", F.lit(0).alias("i"), positions.alias("j"))
     rounds = max(
         (len(c.refs) - 1) // 2 for c in correlations if c.kind == "temporal_ordered"
     )
-    # Equal steps at one time are one step, so a hot key sends few rows.
-    steps = rows.select(*GROUP, "o", "us").distinct()
+    # Only the steps between the ends are still open.
+    steps = rows.where((F.col("o") > 0) & (F.col("o") < positions)).select(*GROUP, "o", "us")
     done = open_.where("j - i <= 1")
     pending = open_.where("j - i > 1")
     for _ in range(rounds):
-        near = salted_join(steps, pending, GROUP, ["us", "o"], salts=salts).where(
+        # Equal steps at one time are one step: with hot keys, drop repeats first.
+        near = weighted_join(
+            steps, pending, GROUP, ["us", "o"], "n", reduce=lambda df: df.distinct()
+        ).where(
             "us BETWEEN lo_us AND hi_us AND (o = i + 1 OR o = j - 1)"
         )
-        narrowed = near.groupBy(*GROUP, "i", "j").agg(
+        narrowed = near.groupBy(*GROUP, "n", "i", "j").agg(
             F.min(F.expr("CASE WHEN o = i + 1 THEN us END")).alias("lo_us"),
             F.max(F.expr("CASE WHEN o = j - 1 THEN us END")).alias("hi_us"),
         ).select(
-            *GROUP, "lo_us", "hi_us",
+            *GROUP, "n", "lo_us", "hi_us",
             F.expr("i + 1").alias("i"), F.expr("j - 1").alias("j"),
         ).where("lo_us <= hi_us")
         narrowed = materialize(narrowed)
@@ -319,7 +322,6 @@ def correlate_level(
     time: str = "event_time",
     default_case: str = "insensitive",
     drop_missing_keys: bool = False,
-    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Alerts of correlations whose references are all in `rules`."""
     correlations = list(correlations)
@@ -339,9 +341,9 @@ def correlate_level(
     ]
     if long_:
         inside = F.col("c").isin(long_)
-        fired = materialize(fired.select(*GROUP, "lo_us", "hi_us"))
+        fired = materialize(fired.select(*GROUP, "n", "lo_us", "hi_us"))
         settled = _settle_order(
-            rows.where(inside), fired.where(inside), correlations, salts
+            rows.where(inside), fired.where(inside), correlations
         )
         fired = fired.where(~inside).select(*GROUP).unionByName(settled)
     sizes = " ".join(f"WHEN {i} THEN {c.window_seconds}L" for i, c in enumerate(correlations))

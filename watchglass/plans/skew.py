@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,3 +31,46 @@ def salted_join(
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
+
+
+ROWS_PER_TASK = 1_000_000
+MAX_HOT_KEYS = 10_000  # what may be broadcast; beyond it every key is salted
+MAX_SALTS = 256
+
+
+def weighted_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[Column | str],
+    weight: str,
+    *,
+    reduce: Callable[[DataFrame], DataFrame] = lambda df: df,
+    rows_per_task: int = ROWS_PER_TASK,
+    max_hot: int = MAX_HOT_KEYS,
+) -> DataFrame:
+    """Inner equi-join that salts only the keys that need it.
+
+    `weight` is a column of `small` that bounds the rows of its key in `big`;
+    `small` must be materialized, as its weights are looked at first. Without a
+    heavy key this is a plain join. Few heavy keys are marked in `big` by a
+    broadcast of checked length; with too many to broadcast, all keys are salted.
+    `reduce` is applied to `big` first when there are heavy keys.
+    """
+    heavy = F.col(weight) > rows_per_task
+    top, n_heavy = small.agg(F.max(weight), F.count_if(heavy)).first()
+    if not n_heavy:
+        return big.join(small, list(keys))
+    big = reduce(big)
+    salts = min(MAX_SALTS, -(-top // rows_per_task))
+    if n_heavy > max_hot:
+        return salted_join(big, small, keys, spread, salts=salts)
+    hot = F.broadcast(small.where(heavy).select(*keys, F.lit(True).alias("__hot")))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    marked = big.join(hot, list(keys), "left").withColumn(
+        "__salt", F.when(F.col("__hot"), salt).otherwise(0)
+    ).drop("__hot")
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return marked.join(
+        small.withColumn("__salt", F.explode(copies)), [*keys, "__salt"]
+    ).drop("__salt")
