@@ -11,7 +11,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Health conditions of the reference set-up.
+# Limits of the health conditions.
 BACKLOG_LIMIT = 10_000
 BREACH_SECONDS = 60
 ABSENT_SECONDS = 600
