@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchglass.llm import line_dedup
+from watchglass.llm import line_dedup, simhash_dedup
 from watchglass.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,8 +17,14 @@ def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return line_dedup.drop_lines(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints are linked, that of the smallest doc_id stays."""
+    return simhash_dedup.drop_near_duplicates(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("line_dedup", line_duplicates),
+    ("simhash_dedup", near_duplicates),
 ]
 
 #: SQL cannot express the trained and the hashed stages; a brute-force version is in the tests.

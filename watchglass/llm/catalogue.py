@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup
+from . import line_dedup, simhash_dedup
 from .common import table
 
 
@@ -12,8 +12,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.match_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    printed = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", printed.alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 #: None of these can be put into SQL that ends on whole tables; tests hold them against brute force.
