@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchglass.llm import line_dedup, simhash_dedup
+from watchglass.llm import line_dedup, simhash_dedup, toxicity
 from watchglass.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likely toxic go; the weights are learnt from the labels of the rest of the corpus."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; so do documents of nothing else."""
     return line_dedup.drop_lines(docs)
@@ -23,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic_documents),
     ("line_dedup", line_duplicates),
     ("simhash_dedup", near_duplicates),
 ]

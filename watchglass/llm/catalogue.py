@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, simhash_dedup
+from . import line_dedup, simhash_dedup, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.held_out()
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "sentences"
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.match_lines(table(spark, sf_dir, "documents"))
 
@@ -19,6 +28,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
