@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, simhash_dedup, toxicity
+from . import arrow_output, line_dedup, packing, simhash_dedup, toxicity
 from .common import table
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), toxicity.held_out()
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -17,10 +23,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("queue")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.match_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_output.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     printed = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -29,7 +43,9 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op6_arrow_output": op6_arrow_output,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
