@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arrow_output, line_dedup, packing, simhash_dedup, toxicity
-from .common import table
+from . import arrow_output, fingerprints, line_dedup, packing, simhash_dedup, toxicity
+from .common import table, written
 
 
 def tokenizer() -> str:
@@ -31,6 +31,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.match_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = written(fingerprints.fingerprints(table(spark, sf_dir, "documents")), "fingerprinted")
+    found = fingerprints.near_counts(made, F.col("doc_id") % 50 == 0)
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"),
+        F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near",
+    )
+
+
 def op6_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer())
 
@@ -45,6 +54,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_fingerprints": op4_fingerprints,
     "op6_arrow_output": op6_arrow_output,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
