@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import ranged, shared_path, sums_before, tasks, text_or_empty, written
-from .token_ids import Encoder
+from .token_ids import encoder
 
 LENGTH = 2048  # ids of a sequence
 ROWS = 64  # sequences of a batch
@@ -82,16 +82,16 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, text: str = "t
             if not batch.num_rows:
                 continue
             if out is None:
-                part, encoder = batch.column(2)[0].as_py(), Encoder(tokenizer)
+                part, ids_of = batch.column(2)[0].as_py(), encoder(tokenizer)
                 fs, base = pafs.FileSystem.from_uri(folder)
                 fs.create_dir(base, recursive=True)
                 name = f"{part:08d}-{uuid.uuid4().hex}.arrows"
-                out, docs_seen = _SequenceFile(fs, f"{base}/{name}", encoder.width), 0
+                out, docs_seen = _SequenceFile(fs, f"{base}/{name}", ids_of.width), 0
                 index_sink = fs.open_output_stream(f"{base}/{name}.index")
                 index = pa.ipc.new_stream(index_sink, index_schema)
             starts, sizes = [], []
             for t in batch.column(1):
-                ids = encoder.document(t.as_py())
+                ids = ids_of.document(t.as_py())
                 starts.append(out.n)
                 sizes.append(len(ids) // 4)
                 out.add(ids)

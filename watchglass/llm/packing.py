@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import sums_before, text_or_empty, written
-from .token_ids import Encoder
+from .token_ids import encoder
 
 LENGTH = 1024  # tokens of a sequence
 WINDOW = 64  # sequences of a window, in which the mixture holds
@@ -47,13 +47,13 @@ _NAMES = ["doc_id", "queue", "start", "length", "ids_crc32", "doc_tokens", "sequ
 def tokenized(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """doc_id, queue, n, chunk, within, ids: `within` counts the tokens of the queue before, in the chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, chunk = Encoder(tokenizer), TaskContext.get().partitionId()
+        ids_of, chunk = encoder(tokenizer), TaskContext.get().partitionId()
         seen: dict[str, int] = {}
         for batch in batches:
             sizes, within, ids = [], [], []
             for queue, t in zip(batch.column(1).to_pylist(), batch.column(2)):
-                found = encoder.document(t.as_py())
-                ids.append(np.frombuffer(found, "<u4").astype(encoder.width).tobytes())
+                found = ids_of.document(t.as_py())
+                ids.append(np.frombuffer(found, "<u4").astype(ids_of.width).tobytes())
                 sizes.append(len(found) // 4)
                 within.append(seen.get(queue, 0))
                 seen[queue] = within[-1] + sizes[-1]

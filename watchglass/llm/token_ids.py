@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 END = 0  # the id behind each document
-_CACHED = 300_000  # units that a task remembers
+_CACHED = 500_000  # units that a worker remembers
 _LONGEST = 64  # code points of a unit worth remembering
 
 # A byte-level vocabulary never joins what these units separate, if a text has no white
@@ -61,3 +62,9 @@ class Encoder:
     def document(self, text: str) -> bytes:
         """The ids of a document with the end id."""
         return self.encode(text) + END.to_bytes(4, "little")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process: what it remembers serves all tasks of a worker."""
+    return Encoder(path)
