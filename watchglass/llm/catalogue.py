@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arrow_output, fingerprints, line_dedup, packing, simhash_dedup, toxicity
+from . import ann, arrow_output, fingerprints, line_dedup, packing, simhash_dedup, toxicity
 from .common import table, written
 
 
@@ -50,6 +50,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed.alias("fingerprint"), "component_id")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op6_arrow_output": op6_arrow_output,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_ann": op10_ann,
 }
 
 #: None of these can be put into SQL that ends on whole tables; tests hold them against brute force.
