@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchglass.llm import line_dedup, simhash_dedup, toxicity
+from watchglass.llm import line_dedup, packing, pii, simhash_dedup, toxicity
+from watchglass.llm.catalogue import tokenizer
 from watchglass.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,10 +28,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.drop_near_duplicates(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; all documents stay."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents cut into sequences that hold the mixture of their sources."""
+    return packing.pack(docs, tokenizer()).drop("queue")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic_documents),
     ("line_dedup", line_duplicates),
     ("simhash_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("packing", pack),
 ]
 
 #: SQL cannot express the trained and the hashed stages; a brute-force version is in the tests.

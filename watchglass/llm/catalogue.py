@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, arrow_output, fingerprints, line_dedup, packing, simhash_dedup, toxicity
+from . import ann, arrow_output, fingerprints, line_dedup, packing, pii, simhash_dedup, toxicity
 from .common import table, written
 
 
@@ -44,6 +44,10 @@ def op6_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     printed = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op6_arrow_output": op6_arrow_output,
+    "op7_pii": op7_pii,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_ann": op10_ann,
 }
