@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, arrow_output, fingerprints, line_dedup, packing, pii, simhash_dedup, toxicity
+from . import ann, arrow_output, fingerprints, lattice, line_dedup, packing, pii, simhash_dedup, toxicity
 from .common import table, written
 
 
@@ -40,6 +40,14 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = lattice.encode(table(spark, sf_dir, "documents"), path)
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer())
 
@@ -63,6 +71,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_arrow_output": op6_arrow_output,
     "op7_pii": op7_pii,
     "op8_simhash_dedup": op8_simhash_dedup,
