@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, arrow_output, fingerprints, lattice, line_dedup, packing, pii, simhash_dedup, toxicity
+from . import ann, arrow_output, fingerprints, lattice, licences, line_dedup, packing, pii, simhash_dedup, toxicity
 from .common import table, written
 
 
@@ -62,6 +62,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed.alias("fingerprint"), "component_id")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.document_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op6_arrow_output": op6_arrow_output,
     "op7_pii": op7_pii,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_licences": op9_licences,
     "op10_ann": op10_ann,
 }
 
