@@ -220,7 +220,7 @@ def further_spans(found: DataFrame) -> DataFrame:
 
 
 def _with_more(df: DataFrame, found: DataFrame, hashed: Column) -> DataFrame:
-    more = further_spans(found).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "more")
+    more = further_spans(found).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("more").alias("__more"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (hashed == F.col("__hash"))
     return df.join(more, same, "left").drop("__id", "__hash")
 
@@ -229,7 +229,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind of base spans, checksum of these, and all spans as text."""
     found = extracted(docs)
     both = _with_more(found.drop("instances"), found, F.col("hash"))
-    every = F.array_sort(F.array_union("spans", F.coalesce("more", F.array().cast(_SPAN))))
+    every = F.array_sort(F.array_union("spans", F.coalesce("__more", F.array().cast(_SPAN))))
     names = F.array(*map(F.lit, KINDS))
     shown = F.transform(every, lambda s: F.concat_ws(
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")
