@@ -217,11 +217,10 @@ def test_suppression_gap_of_exactly_the_window_is_kept(spark):
     assert {x: sorted(v) for x, v in by_key.items()} == {"a": [0, 60, 120, 300], None: [0, 60, 120, 300]}
 
 
-@pytest.mark.parametrize("slice_seconds", [30 * 86400, 400, 90])
-def test_suppression_against_brute_force(spark, monkeypatch, slice_seconds):
-    from watchglass.operators import suppress
-
-    monkeypatch.setattr(suppress, "SLICE_SECONDS", slice_seconds)
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_suppression_against_brute_force(spark, batch):
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng = random.Random(1)
     rows = [(f"k{rng.randrange(5)}", rng.randrange(1500), i) for i in range(1000)]
     df = spark.createDataFrame(rows, "key string, s long, i long").withColumn("t", F.timestamp_seconds("s"))
@@ -234,6 +233,21 @@ def test_suppression_against_brute_force(spark, monkeypatch, slice_seconds):
                 want.add((key, s, i))
                 last = s
     assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+
+
+def test_suppression_with_outliers_dense_seconds_and_no_time(spark):
+    dense = spark.range(200_000).selectExpr("'dense' AS key", "timestamp_seconds(id) AS t")
+    odd = spark.sql(
+        "SELECT 'odd' AS key, t FROM VALUES (timestamp_seconds(0)), (timestamp_seconds(630720000)),"
+        " (timestamp_seconds(630720030)), (CAST(NULL AS TIMESTAMP)), (CAST(NULL AS TIMESTAMP)) AS v(t)"
+    )
+    df = dense.union(odd)
+    for span, want in ((1, 200_000), (300, 667)):
+        kept = keep_spaced(df, ["key"], "t", span).groupBy("key", F.col("t").isNull().alias("none")).count().collect()
+        assert {(r.key, r.none): r["count"] for r in kept} == {
+            ("dense", False): want, ("odd", False): 3 if span == 1 else 2, ("odd", True): 2,
+        }
 
 
 def test_only_annotated_rules_are_suppressed(make_events):

@@ -208,6 +208,93 @@ def test_bad_rules(spark, make_events):
         matching.check_patterns(events, bad)
 
 
+def test_a_bad_pattern_costs_only_its_own_rule(spark, make_events):
+    good = {"title": "good", "detection": {"s": {"a": "x"}, "condition": "s"}}
+    bad = {"title": "bad", "detection": {"s": {"a|re": "(unclosed"}, "condition": "s"}}
+    rules = ruleset_from_dicts([bad, good]).rules
+    events = make_events([{"a": "x"}, {"a": "(unclosed"}])
+    fired = matching.matches(events, rules, DOC, keep=["path"]).collect()
+    assert [(r.path, r.rule_name) for r in fired] == [("0", "good")]
+    letters = matching.rule_letters(spark, rules).collect()
+    assert [(r.rule_id, r.reason) for r in letters] == [("bad", "predicate raised")]
+    only = matching.matches(events, rules[:1], DOC, keep=["path"]).collect()
+    assert only == []
+
+
+@pytest.mark.parametrize("case", ["insensitive", "sensitive"])
+def test_answers_do_not_depend_on_the_number_of_rules(make_events, case):
+    tricky = [
+        {"title": "same field twice", "detection": {
+            "s": {"event": ["error", "view"], "event|cased": ["view", "click"]}, "condition": "s"}},
+        {"title": "cased first", "detection": {
+            "s": {"event|cased": ["View", "click"], "event": ["view", "error"]}, "condition": "s"}},
+        {"title": "colliding names", "detection": {
+            "Sel": {"event": "view"}, "sel": {"event": "nothing"}, "condition": "Sel"}},
+        {"title": "both", "detection": {
+            "a": {"event": ["view", "click"]}, "A": {"event|cased": "View"}, "condition": "a AND A"}},
+        {"title": "negated", "detection": {
+            "a": {"event": "view"}, "b": {"event|cased": "view"}, "condition": "a and not b"}},
+    ]
+    many = [
+        {"title": f"filler {i}", "detection": {"s": {"event": ["view", f"e{i}"]}, "condition": "s"}} for i in range(55)
+    ]
+    events = make_events([{"event": e} for e in ("view", "View", "VIEW", "click", "Click", "error", "nothing", "e3")])
+
+    def fired(specs):
+        rules = ruleset_from_dicts(specs).rules
+        rows = matching.matches(events, rules, DOC, keep=["path"], default_case=case).collect()
+        return {(r.path, r.rule_title) for r in rows}
+
+    together = fired(tricky + many)
+    alone = set().union(*(fired([t]) for t in tricky), fired(many[3:4]))
+    known = {t["title"] for t in tricky} | {"filler 3"}
+    assert {x for x in together if x[1] in known} == alone and alone
+
+
+def test_event_times_of_all_units_and_none(spark):
+    from watchglass.operators.shaping import event_time
+
+    rows = ["1704067200", "1704067200.25", "1704067200000", "1704067200000000", "1704067200000000000",
+            "9" * 30, "-5", "1e40", "NaN", "soon", "", None, "2024-01-01T00:00:00Z"]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    got = [r[0] for r in df.select(event_time("s").cast("double").alias("t")).collect()]
+    want = 1704067200.0
+    assert got == [want, want + 0.25, want, want, want, None, -5.0, None, None, None, None, None, want]
+
+
+def test_a_key_given_twice_is_a_document(make_events):
+    events = make_events(['{"a": 1, "a": 2}', '{"a": 1, "b": {"c": 1, "c": 5}}'])
+    rules = ruleset_from_dicts([
+        {"title": "last", "detection": {"s": {"a": 2}, "condition": "s"}},
+        {"title": "deep", "detection": {"s": {"b.c": 5}, "condition": "s"}},
+    ]).rules
+    fired = matching.matches(events, rules, DOC, keep=["path"]).collect()
+    assert {(r.path, r.rule_name) for r in fired} == {("0", "last"), ("1", "deep")}
+    assert matching.not_json_letters(events).count() == 0
+
+
+@pytest.mark.parametrize("network", ["2001:db8::/32", "fe80::/10", "::/0", "::1/128", "2001:db8:0:8000::/49", "::ffff:0:0/96"])
+def test_ipv6_networks(spark, network):
+    import ipaddress
+
+    from watchglass.functions.cidr import cidr_sql
+
+    texts = ["2001:db8::1", "2001:DB8:0:0:0:0:0:1", "2001:db8:0:8000::", "2001:db9::", "fe80::1", "febf::", "fec0::",
+             "::", "::1", "1::", "::ffff:1.2.3.4", "::ffff:0102:0304", "1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7",
+             "1:2:3:4:5:6:7:8:9", "1::2::3", ":::", ":1::", "12345::", "g::", "", "::1.2.3.256", "1:2:3:4:5:6:1.2.3.4",
+             "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "::01.2.3.4", None]
+
+    def inside(t):
+        try:
+            return ipaddress.ip_address(t) in ipaddress.ip_network(network)
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"coalesce({cidr_sql('t', network)}, false) AS hit")
+    assert {r.t: r.hit for r in df.collect()} == {t: inside(t) for t in texts}
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
 def test_python_rule_errors_are_isolated(spark):
     df = spark.createDataFrame([(1, "a"), (0, "b"), (4, "c")], "n int, name string")
     rule = matching.PythonRule("p", "P", lambda e: 4 / e["n"] > 3, ("n",))

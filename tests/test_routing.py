@@ -11,10 +11,11 @@ CHANNELS = [{"name": "a", "type": "email"}, {"name": "b", "type": "slack"}]
 
 
 @pytest.mark.parametrize("spec,words", [
-    ({"channels": [{"name": "a", "type": "fax"}], "routes": []}, "unknown type"),
-    ({"channels": CHANNELS + CHANNELS[:1], "routes": []}, "twice"),
+    ({"channels": [{"name": "a", "type": "fax"}], "routes": []}, "no known type"),
+    ({"channels": CHANNELS + CHANNELS[:1], "routes": []}, "two channels"),
     ({"channels": CHANNELS, "routes": [{"match": {"host": "x"}, "channels": ["a"]}]}, "match key"),
     ({"channels": CHANNELS, "routes": [{"match": {}, "channels": ["z"]}]}, "unknown channel"),
+    ({"channels": CHANNELS, "routes": [{"match": {}, "channels": []}]}, "reach nobody"),
 ])
 def test_bad_configs(spec, words):
     with pytest.raises(ValueError, match=words):
@@ -25,7 +26,7 @@ def test_routes_and_channels(spark):
     config = routing.Notifications.from_dict({"channels": CHANNELS, "routes": [
         {"match": {"severity": "high"}, "channels": ["a", "b"]},
         {"match": {"severity": "high", "rule_name": "it_s_on"}, "channels": ["b"]},
-        {"match": {}, "channels": []},
+        {"match": {}, "channels": ["a"]},
     ]})
     alerts = spark.createDataFrame([("It's on!", "high"), ("Other", "high"), ("Other", "low")], "rule_title string, severity string")
     out = routing.routed(alerts, config)
@@ -33,7 +34,7 @@ def test_routes_and_channels(spark):
         ("It's on!", "high", 0), ("It's on!", "high", 1), ("It's on!", "high", 2),
         ("Other", "high", 0), ("Other", "high", 2), ("Other", "low", 2)]
     assert sorted((r.route, r.channel) for r in routing.to_channels(out, config).collect()) == [
-        (0, "a"), (0, "a"), (0, "b"), (0, "b"), (1, "b")]
+        (0, "a"), (0, "a"), (0, "b"), (0, "b"), (1, "b"), (2, "a"), (2, "a"), (2, "a")]
 
 
 def test_rate_limit_with_one_hot_route(spark):

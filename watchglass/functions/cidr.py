@@ -1,14 +1,9 @@
-"""CIDR tests. IPv4 stays in the JVM; IPv6 needs an Arrow UDF."""
+"""CIDR tests as SQL expressions."""
 
 from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
-from pyspark.sql import SparkSession, functions as F, types as T
-
-IPV6_UDF = "watchglass_ipv6_in"
-
 
 def ipv4_range_sql(text: str, network: ipaddress.IPv4Network) -> str:
     """`text` (SQL for a string) is an IPv4 address inside the network."""
@@ -26,30 +21,37 @@ def ipv4_range_sql(text: str, network: ipaddress.IPv4Network) -> str:
     return f"({text} RLIKE '{pattern}' AND ({number}) BETWEEN {lo}L AND {hi}L)"
 
 
-def register_ipv6(spark: SparkSession) -> None:
-    """Register the Arrow UDF that IPv6 rules call by name."""
-
-    @F.pandas_udf(T.BooleanType())
-    def inside(address: pd.Series, network: pd.Series) -> pd.Series:
-        # A batch repeats few distinct addresses and has one network literal.
-        nets = {n: ipaddress.ip_network(n, strict=False) for n in network.unique()}
-
-        def test(addr: str | None, net: str) -> bool:
-            try:
-                ip = ipaddress.ip_address(addr)
-            except ValueError:
-                return False
-            return ip.version == nets[net].version and ip in nets[net]
-
-        known = {pair: test(*pair) for pair in set(zip(address, network))}
-        return pd.Series([known[p] for p in zip(address, network)], dtype=bool)
-
-    spark.udf.register(IPV6_UDF, inside)
+def _ipv6_hex(text: str) -> str:
+    """SQL for the 32 hexadecimal digits of an IPv6 address, NULL for anything else."""
+    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    tail = "^(.*:)" + r"\\.".join([octet] * 4) + "$"
+    pair = "lpad(lower(hex(CAST(regexp_extract(t, '{0}', {1}) AS INT) * 256 + CAST(regexp_extract(t, '{0}', {2}) AS INT))), 4, '0')"
+    mapped = (
+        f"if(t RLIKE '{tail}', concat(regexp_extract(t, '{tail}', 1), {pair.format(tail, 2, 3)}, ':',"
+        f" {pair.format(tail, 4, 5)}), t)"
+    )
+    side = "if(get(h, {0}) = '', CAST(array() AS ARRAY<STRING>), split(get(h, {0}), ':'))"
+    left, right = side.format(0), side.format(1)
+    zeros = f"(8 - size({left}) - size({right}))"
+    groups = (
+        f"CASE WHEN size(h) = 1 THEN split(get(h, 0), ':')"
+        f" WHEN size(h) = 2 AND {zeros} > 0 THEN concat({left}, array_repeat('0', {zeros}), {right}) END"
+    )
+    digits = (
+        "if(size(g) = 8 AND forall(g, x -> x RLIKE '^[0-9a-f]{1,4}$'),"
+        " array_join(transform(g, x -> lpad(x, 4, '0')), ''), NULL)"
+    )
+    # Each step is bound to a name by a one-element transform.
+    steps = f"transform(array(lower({text})), t -> {mapped})"
+    steps = f"transform({steps}, t -> split(t, '::'))"
+    steps = f"transform({steps}, h -> {groups})"
+    return f"get(transform({steps}, g -> {digits}), 0)"
 
 
 def cidr_sql(text: str, cidr: str) -> str:
     network = ipaddress.ip_network(cidr, strict=False)
     if network.version == 4:
         return ipv4_range_sql(text, network)
-    # Only strings with a colon can be IPv6, so the UDF sees few rows.
-    return f"({text} LIKE '%:%' AND {IPV6_UDF}(if({text} LIKE '%:%', {text}, NULL), '{network}'))"
+    lo, hi = (f"{int(a):032x}" for a in (network.network_address, network.broadcast_address))
+    # Digits of equal number sort as their values; only a text with a colon is looked at.
+    return f"({text} LIKE '%:%' AND {_ipv6_hex(text)} BETWEEN '{lo}' AND '{hi}')"

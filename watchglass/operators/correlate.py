@@ -15,7 +15,6 @@ from typing import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cidr import IPV6_UDF, register_ipv6
 from ..functions.fields import Binder, FieldMap
 from ..functions.literals import sql_ident, sql_str
 from ..plans.durable import materialize
@@ -114,8 +113,6 @@ def correlation_rows(
             ])
             for w, value, pos in rows
         ]
-    if any(IPV6_UDF in t for t in tests.values()):
-        register_ipv6(df.sparkSession)
     ready = b.attach(_parsed(df, b)).where(F.col(time).isNotNull())
     flagged = ready.selectExpr(
         f"{sql_ident(time)} AS __time", *b.helper_columns,

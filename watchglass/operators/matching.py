@@ -8,10 +8,9 @@ from typing import Callable, Iterable, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions import literals as lit
-from ..functions.cidr import IPV6_UDF, register_ipv6
 from ..functions.fields import Binder, FieldMap
 from ..plans.local import literal_frame
 from ..schema import REASON_NOT_JSON, REASON_PREDICATE
@@ -26,21 +25,24 @@ DROP_MARKER = "DETECTION_DROP"
 
 def _required_selections(rule: Rule) -> list[str]:
     """Selections that must hold whenever the rule does (a safe subset)."""
-    text = rule.condition.lower()
+    text = rule.condition
     while True:
         inner = re.sub(r"\([^()]*\)", " 0 ", text)
         if inner == text:
             break
         text = inner
-    if re.search(r"\bor\b|\bof\b|\|", text):
+    if re.search(r"\bor\b|\bof\b|\|", text, re.IGNORECASE):
         return []
-    names = {n.lower(): n for n in rule.selections}
-    return [names[t.strip()] for t in re.split(r"\band\b", text) if t.strip() in names]
+    terms = [t.strip() for t in re.split(r"\band\b", text, flags=re.IGNORECASE)]
+    return [t for t in terms if t in rule.selections]
 
 
-def required_values(b: Binder, rule: Rule) -> dict[str, tuple[set[str], str]]:
-    """field -> (lower-case texts of which one must be present, its selection)."""
-    out: dict[str, tuple[set[str], str]] = {}
+def required_values(b: Binder, rule: Rule) -> dict[str, tuple[set[str], str, str]]:
+    """field -> (lower-case texts of which one must be present, its selection and item).
+
+    Of several items on a field the first one counts; the others stay tests.
+    """
+    out: dict[str, tuple[set[str], str, str]] = {}
     for name in _required_selections(rule):
         spec = rule.selections[name]
         if not isinstance(spec, dict):
@@ -59,7 +61,7 @@ def required_values(b: Binder, rule: Rule) -> dict[str, tuple[set[str], str]]:
                     break
                 texts.add(plain.lower())
             else:
-                out[fname] = (texts, name)
+                out.setdefault(fname, (texts, name, key))
     return out
 
 
@@ -79,9 +81,13 @@ def _hit_array(arrays: str, n: int) -> str:
     return f"filter({arrays}, i -> i >= 0)"
 
 
-def hits_sql(b: Binder, rules: Sequence[Rule], *, default_case: str = "insensitive") -> str:
+def hits_sql(
+    b: Binder, rules: Sequence[Rule], *, default_case: str = "insensitive", broken: Iterable[int] = ()
+) -> str:
     """SQL for the array of numbers of the rules an event matches.
 
+    Rules whose numbers are `broken` match nothing.
+
     Rules that require one of a few values in the most used equality field sit
     behind a CASE on that field, so an event is tested only against the rules
     that its own value can satisfy.
@@ -96,17 +102,22 @@ def hits_sql(b: Binder, rules: Sequence[Rule], *, default_case: str = "insensiti
         key = None
     groups: dict[str, list[str]] = {}
     rest = []
+    broken = set(broken)
     for i, (rule, need) in enumerate(zip(rules, needs)):
         given = None
-        if key in need and default_case == "insensitive":
-            # The CASE has settled this item (unless it is case-sensitive).
-            given = {need[key][1]: frozenset([key])}
+        if i in broken:
+            continue
+        if key in need and default_case == "insensitive" and "cased" not in need[key][2].split("|"):
+            # The CASE has settled this very item, and no other.
+            given = {need[key][1]: frozenset([need[key][2]])}
         test = f"if({rule_sql(b, rule, default_case=default_case, given=given)}, {i}, -1)"
         if key in need:
             for value in sorted(need[key][0]):
                 groups.setdefault(value, []).append(test)
         else:
             rest.append(test)
+    if not groups and not rest:
+        return "CAST(array() AS ARRAY<INT>)"
     if not groups:
         return _hit_array(f"array({', '.join(rest)})", len(rest))
     branches = " ".join(
@@ -118,27 +129,58 @@ def hits_sql(b: Binder, rules: Sequence[Rule], *, default_case: str = "insensiti
     return _hit_array(chosen, sum(map(len, groups.values())) + len(rest))
 
 
-def check_patterns(df: DataFrame, rules: Iterable[Rule]) -> None:
-    """Raise now for a regular expression that Java cannot compile."""
-    patterns: list[tuple[str, str]] = []
+def _patterns(rule: Rule) -> list[str]:
+    """Regular expressions in a rule."""
+    found: list[str] = []
 
-    def walk(spec, who):
+    def walk(spec) -> None:
         if isinstance(spec, dict):
             for k, v in spec.items():
                 if "re" in k.split("|")[1:]:
-                    patterns.extend((who, str(x)) for x in (v if isinstance(v, list) else [v]))
+                    found.extend(str(x) for x in (v if isinstance(v, list) else [v]))
         elif isinstance(spec, (list, tuple)):
             for s in spec:
-                walk(s, who)
+                walk(s)
+
+    for s in rule.selections.values():
+        walk(s)
+    return found
+
+
+def broken_rules(spark: SparkSession, rules: Sequence[Rule]) -> dict[int, str]:
+    """Number of each rule with a regular expression that Java cannot compile, and why.
 
-    for r in rules:
-        for s in r.selections.values():
-            walk(s, r.title)
-    for who, p in patterns:
-        try:
-            df.sparkSession.sql(f"SELECT '' RLIKE {lit.sql_str(p)}").collect()
-        except Exception as e:
-            raise RuleError(f"rule {who!r}: pattern {p!r} does not compile") from e
+    The patterns are compiled on the driver; no job runs.
+    """
+    java = spark._jvm.java.util.regex.Pattern
+    out: dict[int, str] = {}
+    for i, r in enumerate(rules):
+        for p in _patterns(r):
+            try:
+                java.compile(p)
+            except Exception as e:  # Py4J wraps what Java throws
+                why = str(getattr(e, "java_exception", e)).splitlines()[0]
+                out.setdefault(i, f"pattern {p!r} does not compile: {why}")
+    return out
+
+
+def check_patterns(df: DataFrame, rules: Iterable[Rule]) -> None:
+    """Raise now for a regular expression that Java cannot compile."""
+    rules = list(rules)
+    for i, why in broken_rules(df.sparkSession, rules).items():
+        raise RuleError(f"rule {rules[i].title!r}: {why}")
+
+
+def rule_letters(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """Dead letters for the rules that cannot run; the others run without them."""
+    broken = broken_rules(spark, rules)
+    return literal_frame(spark, {
+        "reason": (pa.string(), [REASON_PREDICATE] * len(broken)),
+        "rule_id": (pa.string(), [rules[i].id for i in broken]),
+        "event": (pa.string(), [None] * len(broken)),
+        "error": (pa.string(), list(broken.values())),
+        "trace": (pa.string(), [None] * len(broken)),
+    })
 
 
 def with_hits(
@@ -152,9 +194,8 @@ def with_hits(
 ) -> DataFrame:
     """Add `hits`: numbers (positions in `rules`) of the matching rules."""
     b = binder or Binder(df, fields)
-    sql = hits_sql(b, rules, default_case=default_case)
-    if IPV6_UDF in sql:
-        register_ipv6(df.sparkSession)
+    broken = broken_rules(df.sparkSession, rules)
+    sql = hits_sql(b, rules, default_case=default_case, broken=broken)
     return b.attach(_parsed(df, b)).selectExpr("*", f"{sql} AS {name}")
 
 
@@ -174,9 +215,8 @@ def explode_hits(
 ) -> DataFrame:
     """One row per (event, matching rule), with the rule's number in `__rule`."""
     b = Binder(df, fields)
-    sql = hits_sql(b, rules, default_case=default_case)
-    if IPV6_UDF in sql:
-        register_ipv6(df.sparkSession)
+    broken = broken_rules(df.sparkSession, rules)
+    sql = hits_sql(b, rules, default_case=default_case, broken=broken)
     kept = [lit.sql_ident(c) for c in (df.columns if keep is None else keep)]
     return b.attach(_parsed(df, b)).selectExpr(*kept, f"explode({sql}) AS {RULE_NO}")
 

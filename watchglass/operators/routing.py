@@ -44,28 +44,28 @@ class Notifications:
 
     @classmethod
     def from_dict(cls, spec: dict[str, Any]) -> "Notifications":
-        channels = tuple(
-            Channel(str(c["name"]), str(c["type"]), dict(c.get("labels") or {}))
-            for c in spec.get("channels") or ()
-        )
-        routes = tuple(
-            Route(dict(r.get("match") or {}), tuple(r.get("channels") or ()))
-            for r in spec.get("routes") or ()
-        )
-        names = [c.name for c in channels]
-        for c in channels:
-            if names.count(c.name) > 1:
-                raise ValueError(f"channel {c.name!r} is defined twice")
-            if c.type not in CHANNEL_TYPES:
-                raise ValueError(f"channel {c.name!r}: unknown type {c.type!r}")
-        for i, r in enumerate(routes):
-            unknown = [k for k in r.match if k not in MATCH_KEYS]
-            if unknown:
-                raise ValueError(f"route {i}: unknown match key {unknown[0]!r}")
-            missing = [c for c in r.channels if c not in names]
-            if missing:
-                raise ValueError(f"route {i}: unknown channel {missing[0]!r}")
-        return cls(channels, routes)
+        """Channels by name and the route table over them; raises ValueError for what cannot deliver."""
+        by_name: dict[str, Channel] = {}
+        for entry in spec.get("channels") or ():
+            channel = Channel(str(entry["name"]), str(entry["type"]), dict(entry.get("labels") or {}))
+            if channel.type not in CHANNEL_TYPES:
+                raise ValueError(f"channel {channel.name!r} is of no known type: {channel.type!r}")
+            if by_name.setdefault(channel.name, channel) is not channel:
+                raise ValueError(f"two channels are called {channel.name!r}")
+        return cls(tuple(by_name.values()), tuple(_route(e, by_name) for e in spec.get("routes") or ()))
+
+
+def _route(entry: dict[str, Any], by_name: dict[str, Channel]) -> Route:
+    """A route that reaches somebody: its alerts go to known channels, one at least."""
+    route = Route(dict(entry.get("match") or {}), tuple(entry.get("channels") or ()))
+    problems = [
+        *(f"unknown channel {c!r}" for c in route.channels if c not in by_name),
+        *(f"unknown match key {k!r}" for k in route.match if k not in MATCH_KEYS),
+        *([] if route.channels else ["no channel, so its alerts would reach nobody"]),
+    ]
+    if problems:
+        raise ValueError(f"route {entry!r}: {'; '.join(problems)}")
+    return route
 
 
 def routed(alerts: DataFrame, config: Notifications) -> DataFrame:

@@ -13,6 +13,8 @@ def parse_events(df: DataFrame, value: str = "value", *, raw: str = "raw", docum
     `data` is NULL when the bytes are not UTF-8 or the text is not JSON; those
     rows are what `matching.not_json_letters` reports.
     """
+    # Of a key given twice the last one counts, as JSON parsers commonly have it.
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col(value).cast("string")
     return df.select(
         *[c for c in df.columns if c not in (value, raw, document)],
@@ -27,15 +29,30 @@ def remap(df: DataFrame, change: Callable[[DataFrame], DataFrame] | None = None)
 
 
 def event_time(source: Column | str) -> Column:
-    """Timestamp from ISO 8601 text or epoch seconds (whole or fractional), in UTC."""
+    """Timestamp from ISO 8601 text or a number since the epoch, in UTC.
+
+    Numbers are seconds (whole or fractional) below 10^11, milliseconds below
+    10^14, microseconds below 10^17 and nanoseconds below 9 * 10^18; that puts
+    all of them between the years 1970 and 5138. Anything else is NULL.
+    """
     text = (F.col(source) if isinstance(source, str) else source).cast("string")
     number = text.try_cast("double")
     whole = text.try_cast("bigint")
+    size = F.abs(number)
     # Whole seconds stay exact; fractions are rounded to microseconds.
-    micros = F.coalesce(whole * F.lit(1000000), F.round(number * 1000000).try_cast("bigint"))
+    seconds = F.coalesce(
+        F.try_multiply(whole, F.lit(1000000)), F.round(number * 1000000).try_cast("bigint")
+    )
+    count = F.coalesce(whole, number.try_cast("bigint"))
+    micros = (
+        F.when(size < 1e11, seconds)
+        .when(size < 1e14, F.try_multiply(count, F.lit(1000)))
+        .when(size < 1e17, count)
+        .when(size < 9e18, F.floor(count / 1000).cast("bigint"))
+    )
     return F.coalesce(
         F.when(number.isNotNull(), F.timestamp_micros(micros)),
-        text.try_cast("timestamp"),
+        F.when(number.isNull(), text.try_cast("timestamp")),
     )
 
 

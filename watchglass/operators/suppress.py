@@ -1,70 +1,56 @@
 """At most one alert per key within a time span, counted from the last kept one.
 
 Decisions are made on whole seconds: rows of one key and second are reduced to
-one before anything is gathered. The sequential part then works on distinct
-seconds of one key, 30 days at a time: at most 2.6 million numbers, however
-many rows the key has. Correlation alerts fire on window ends, which are whole
-seconds.
+one before anything else. Keys are then dealt to tasks, their seconds sorted,
+and one pass jumps from each kept second to the first one that is late enough.
+The pass holds an Arrow batch and the last kept second. A key costs at most one
+row per second of its time range, however many alerts it has. Correlation
+alerts fire on window ends, which are whole seconds. Rows without a time are
+not limited.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.durable import materialize
 
 
-SLICE_SECONDS = 30 * 86400
-
-
-def _greedy(seconds: Column, span: Column, last: Column) -> Column:
-    """The seconds that are at least `span` after the one kept before them.
-
-    `last` is what was kept in an earlier slice, or NULL.
-    """
-    start = F.when(last.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(last))
-    kept = F.aggregate(
-        F.sort_array(seconds),
-        start,
-        lambda done, s: F.when(
-            (F.size(done) == 0) | (s >= F.element_at(done, -1) + span), F.array_append(done, s)
-        ).otherwise(done),
-    )
-    return F.when(last.isNull(), kept).otherwise(F.slice(kept, 2, F.size(kept)))
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted seconds those to keep; __new marks where a key begins."""
+    due = None  # the second from which the current key may be kept again
+    for batch in batches:
+        n = batch.num_rows
+        second = batch.column("__second").to_numpy()
+        span = batch.column("__span").to_numpy(zero_copy_only=False)
+        new = batch.column("__new").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        edges = np.unique(np.concatenate(([0], starts, [n])))
+        keep = np.zeros(n, bool)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            at = a if new[a] or due is None else a + int(np.searchsorted(second[a:b], due))
+            if new[a]:
+                due = None
+            while at < b:
+                keep[at] = True
+                due = int(second[at]) + max(1, int(span[at]))
+                at = a + int(np.searchsorted(second[a:b], due))
+        yield batch.filter(pa.array(keep)).select(batch.schema.names[:-2])
 
 
 def _kept_seconds(seconds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, __second) to keep, from distinct (keys, __second, __span)."""
-    first, last = seconds.agg(F.min("__second"), F.max("__second")).first()
-    if first is None:
-        return seconds.select(*keys, "__second")
-    starts = range(first, last + 1, SLICE_SECONDS)
-    kept: DataFrame | None = None
-    carry: DataFrame | None = None
-    for at in starts:
-        part = (
-            seconds.where(F.col("__second").between(at, at + SLICE_SECONDS - 1))
-            .groupBy(*keys)
-            .agg(F.collect_list("__second").alias("__all"), F.max("__span").alias("__span"))
-        )
-        if carry is None:
-            part = part.withColumn("__last", F.lit(None).cast("bigint"))
-        else:
-            same = [F.col(f"part.{k}").eqNullSafe(F.col(f"carry.{k}")) for k in keys]
-            part = part.alias("part").join(carry.alias("carry"), same, "left").select(
-                "part.*", "carry.__last"
-            )
-        chosen = part.select(
-            *keys, F.explode(_greedy(F.col("__all"), F.col("__span"), F.col("__last"))).alias("__second")
-        )
-        if len(starts) == 1:
-            return chosen
-        chosen = materialize(chosen)
-        kept = chosen if kept is None else kept.unionByName(chosen)
-        carry = materialize(kept.groupBy(*keys).agg(F.max("__second").alias("__last")))
-    return kept
+    order = Window.partitionBy(*keys).orderBy("__second")
+    marked = seconds.select(
+        *keys, "__second", F.coalesce("__span", F.lit(0)).cast("bigint").alias("__span"),
+        (F.row_number().over(order) == 1).alias("__new"),
+    )
+    return marked.mapInArrow(_kept, seconds.select(*keys, "__second").schema)
 
 
 def keep_spaced(
@@ -83,8 +69,9 @@ def keep_spaced(
     span = F.lit(span) if isinstance(span, int) else span
     names = df.columns
     first = F.struct(F.col(time).alias("__time"), *[F.col(c) for c in order], F.struct(*names).alias("__row"))
+    timed, untimed = df.where(F.col(time).isNotNull()), df.where(F.col(time).isNull())
     per_second = materialize(
-        df.withColumn("__second", F.unix_seconds(F.col(time)))
+        timed.withColumn("__second", F.unix_seconds(F.col(time)))
         .groupBy(*keys, "__second")
         .agg(F.min(first).alias("__first"), F.max(span).cast("bigint").alias("__span"))
     )
@@ -93,7 +80,7 @@ def keep_spaced(
     same = [F.col(f"all.{k}").eqNullSafe(F.col(f"kept.{k}")) for k in (*keys, "__second")]
     return (
         per_second.alias("all").join(kept.alias("kept"), same, "left_semi")
-        .select("__first.__row.*").select(*names)
+        .select("__first.__row.*").select(*names).unionByName(untimed)
     )
 
 

@@ -34,8 +34,7 @@ def salted_join(
 
 
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 10_000  # what may be broadcast; beyond it every key is salted
-MAX_SALTS = 256
+MAX_HOT_KEYS = 10_000  # what may be broadcast; more are marked by a join
 
 
 def weighted_join(
@@ -53,24 +52,22 @@ def weighted_join(
 
     `weight` is a column of `small` that bounds the rows of its key in `big`;
     `small` must be materialized, as its weights are looked at first. Without a
-    heavy key this is a plain join. Few heavy keys are marked in `big` by a
-    broadcast of checked length; with too many to broadcast, all keys are salted.
-    `reduce` is applied to `big` first when there are heavy keys.
+    heavy key this is a plain join. Heavy keys are marked in `big`, by a broadcast
+    if its checked length allows, and each is dealt to as many salts as its
+    weight asks for; all other keys stay as they are. `reduce` is applied to
+    `big` first when there are heavy keys.
     """
     heavy = F.col(weight) > rows_per_task
-    top, n_heavy = small.agg(F.max(weight), F.count_if(heavy)).first()
+    n_heavy = small.agg(F.count_if(heavy)).first()[0]
     if not n_heavy:
         return big.join(small, list(keys))
-    big = reduce(big)
-    salts = min(MAX_SALTS, -(-top // rows_per_task))
-    if n_heavy > max_hot:
-        return salted_join(big, small, keys, spread, salts=salts)
-    hot = F.broadcast(small.where(heavy).select(*keys, F.lit(True).alias("__hot")))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    marked = big.join(hot, list(keys), "left").withColumn(
-        "__salt", F.when(F.col("__hot"), salt).otherwise(0)
-    ).drop("__hot")
-    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.ceil(F.col(weight) / rows_per_task).cast("int")
+    hot = small.where(heavy).select(*keys, salts.alias("__salts"))
+    if n_heavy <= max_hot:
+        hot = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")
+    marked = reduce(big).join(hot, list(keys), "left").withColumn("__salt", salt).drop("__salts")
+    copies = F.when(heavy, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     return marked.join(
         small.withColumn("__salt", F.explode(copies)), [*keys, "__salt"]
     ).drop("__salt")
