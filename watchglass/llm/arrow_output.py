@@ -38,7 +38,7 @@ class _SequenceFile:
     """A stream of sequences under way; holds a batch at most."""
 
     def __init__(self, fs: pafs.FileSystem, path: str, kind: np.dtype) -> None:
-        self.kind, self.rest, self.n = kind, b"", 0
+        self.kind, self.held, self.waiting, self.n = kind, [], 0, 0
         self.schema = pa.schema([
             ("ids", pa.list_(pa.from_numpy_dtype(kind), LENGTH)), ("mask", pa.list_(pa.bool_(), LENGTH)),
         ])
@@ -46,12 +46,15 @@ class _SequenceFile:
         self.writer = pa.ipc.new_stream(self.sink, self.schema)
 
     def add(self, ids: bytes) -> None:
-        self.rest += np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
+        self.held.append(np.frombuffer(ids, "<u4").astype(self.kind))
         self.n += len(ids) // 4
-        size = LENGTH * ROWS * self.kind.itemsize
-        while len(self.rest) >= size:
-            self._write(np.frombuffer(self.rest[:size], self.kind), LENGTH * ROWS)
-            self.rest = self.rest[size:]
+        self.waiting += len(ids) // 4
+        if self.waiting >= LENGTH * ROWS:
+            ids, size = np.concatenate(self.held), LENGTH * ROWS
+            whole = len(ids) // size * size
+            for at in range(0, whole, size):
+                self._write(ids[at : at + size], size)
+            self.held, self.waiting = [ids[whole:]], len(ids) - whole
 
     def _write(self, ids: np.ndarray, used: int) -> None:
         mask = np.arange(len(ids)) < used
@@ -61,8 +64,8 @@ class _SequenceFile:
         ], schema=self.schema))
 
     def close(self) -> None:
-        if self.rest:
-            ids = np.frombuffer(self.rest, self.kind)
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
+        if len(ids):
             self._write(np.pad(ids, (0, -len(ids) % LENGTH)), len(ids))
         self.writer.close()
         self.sink.close()
