@@ -7,8 +7,9 @@ earlier line, in order of (doc_id, line number), is in its class or in a linked
 
 The join is the usual one of prefix, length and positional filters: tokens are ordered
 by rarity, two sets can only be linked if the rarest fifth of their tokens meet, their
-sizes must be close, and the tokens left behind a common one must suffice. Tokens are
-compared as 58-bit hashes behind a rarity level of 6 bits.
+sizes must be close, the tokens left behind a common one must suffice, and so must those
+that signatures of 128 bits do not tell apart. Tokens are compared as 58-bit hashes behind
+a rarity level of 6 bits.
 
 Nothing is emitted per pair. The classes that share a prefix token are dealt to blocks,
 each pair of blocks is compared inside one row, and what comes out is a row per class
@@ -17,7 +18,7 @@ memory and on many tasks, but no rows.
 
 Defined results: a null text has no lines; a line without words is never removed and
 has no class; rows of equal doc_id and line number are one place, so that neither
-removes the other.
+removes the other; a null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import tasks, written
 
 NUM, DEN = 4, 5  # the similarity from which lines are linked, as a fraction
 BUCKETS = 1 << 16  # of the table of token counts that orders tokens by rarity
+NO_ID = -(1 << 63)
 BLOCK = 256  # classes of a token compared at once
 
 
@@ -43,9 +45,9 @@ def hashes(line: Column) -> Column:
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_no, line: a row per line."""
+    """doc_id, line_no, line: a row per line; a null doc_id is NO_ID here."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"),
     )
 
@@ -77,6 +79,26 @@ def ranks(line: Column, levels: Column, buckets: int = BUCKETS) -> Column:
     return F.array_sort(F.transform(hashes(line), rank))
 
 
+def signature(tokens: Column) -> Column:
+    """128 bits, of which each token sets one."""
+    def add(s: Column, r: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), r.bitwiseAND(F.lit(63)).cast("int"))
+        low = r.bitwiseAND(F.lit(64)) == 0
+        none = F.lit(0).cast("long")
+        return F.struct(
+            s["a"].bitwiseOR(F.when(low, bit).otherwise(none)).alias("a"),
+            s["b"].bitwiseOR(F.when(low, none).otherwise(bit)).alias("b"),
+        )
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(tokens, F.struct(zero.alias("a"), zero.alias("b")), add)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """How many tokens of x at least are not in y, by their signatures."""
+    return F.bit_count(x["a"].bitwiseAND(F.bitwise_not(y["a"]))) + F.bit_count(x["b"].bitwiseAND(F.bitwise_not(y["b"])))
+
+
 def prefix_size(n: Column) -> Column:
     """n - ceil(n * NUM / DEN) + 1"""
     return (n - F.floor((n * NUM + DEN - 1) / DEN) + 1).cast("int")
@@ -123,9 +145,13 @@ def _candidates(postings: DataFrame) -> DataFrame:
     """token, key: classes that the length and positional filters leave with a partner there."""
     def partner(x: Column, y: Column, same: Column) -> Column:
         left = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-        return (x["key"] != y["key"]) & (same | (x["c"] != y["c"])) & _enough(left, x["n"], y["n"])
+        common = F.least(x["n"] - _apart(x["sig"], y["sig"]), y["n"] - _apart(y["sig"], x["sig"]))
+        return (
+            (x["key"] != y["key"]) & (same | (x["c"] != y["c"]))
+            & _enough(left, x["n"], y["n"]) & _enough(common, x["n"], y["n"])
+        )
 
-    grouped = _blocks(_counted(postings), "key", "n", "pos")
+    grouped = _blocks(_counted(postings), "key", "n", "pos", "sig")
     kept = F.filter("g", lambda x: F.exists("g", lambda y: partner(x, y, F.col("same"))))
     found = grouped.select("token", F.explode(kept).alias("x"))
     return found.select("token", F.col("x.key").alias("key"))
@@ -178,22 +204,24 @@ def match_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             "doc_id", "line_no", n.alias("n"),
             F.when(n > 0, F.xxhash64("ranks", "ranks")).alias("key"),
             F.slice("ranks", F.lit(1), F.greatest(prefix_size(n), F.lit(1))).alias("prefix"),
+            signature(F.col("ranks")).alias("sig"),
         ),
         "lines",
     )
     place = F.struct("doc_id", "line_no")
     classes = slim.where("key IS NOT NULL").groupBy("key").agg(
         F.min(place).alias("first"), F.count("*").alias("copies"),
-        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"),
+        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sig").alias("sig"),
     )
     classes = written(classes, "line-classes")
-    postings = classes.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = classes.select("key", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
     candidates = written(_candidates(postings).distinct(), "line-candidates")
 
     keys = candidates.select("key").distinct()
     firsts = classes.join(keys, "key", "left_semi").select("key", "first")
     places = firsts.select("key", "first.doc_id", "first.line_no")
-    texts = split_lines(docs.join(places.select("doc_id").distinct(), "doc_id", "left_semi"), text)
+    named = places.select(F.nullif("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
+    texts = split_lines(docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), text)
     sets = (
         texts.join(places, ["doc_id", "line_no"])
         .select("key", place.alias("first"), ranks(F.col("line"), levels).alias("ranks"))
@@ -202,8 +230,8 @@ def match_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     links = _links(candidates.join(sets, "key"))
     facts = classes.select("key", "first", "copies").join(links, "key", "left")
     return slim.join(facts, "key", "left").select(
-        "doc_id", "line_no",
-        F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"),
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "line_no",
+        F.nullif("first.doc_id", F.lit(NO_ID)).alias("class_doc"), F.col("first.line_no").alias("class_line"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("earlier") | (place > F.col("first")), F.lit(False)).alias("removed"),
@@ -217,8 +245,8 @@ def drop_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     had no words to begin with stays.
     """
     flags = match_lines(docs, text)
-    gone = flags.where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]), "left").drop(gone["doc_id"])
+    gone = flags.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
     kept = F.filter(
         F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("__gone"), i)
     )
