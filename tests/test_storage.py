@@ -33,11 +33,14 @@ def test_scan_needs_days_and_prunes(spark, hot):
     assert "PartitionFilters: [isnotnull(dt" in plan
 
 
-def test_rollover_moves_one_day(spark, hot, tmp_path):
+def test_rollover_moves_a_day_and_those_missed(spark, hot, tmp_path):
     cold = str(tmp_path / "cold")
-    assert tiers.rollover(spark, hot, cold, TODAY, age_days=13) == 5
+    (tmp_path / "hot" / "dt=__HIVE_DEFAULT_PARTITION__").mkdir()
+    assert tiers.expire(spark, hot, TODAY, 10, exported_to=cold) == []
+    assert tiers.rollover(spark, hot, cold, TODAY, age_days=13) == 35
     day = TODAY - dt.timedelta(days=13)
-    assert tiers.partition_days(spark, cold) == [day] and day not in tiers.partition_days(spark, hot)
+    assert tiers.partition_days(spark, cold) == [TODAY - dt.timedelta(days=d) for d in range(19, 12, -1)]
+    assert day not in tiers.partition_days(spark, hot)
     view = tiers.create_events_view(spark, hot, cold, TODAY - dt.timedelta(days=30), TODAY)
     assert view.count() == 100
     got = spark.sql("SELECT try_variant_get(data, '$.u', 'string') AS u, partition_date FROM events_all"

@@ -132,7 +132,18 @@ def test_detection_and_raw_events_are_separate_queries(spark, tmp_path):
     alert = spark.read.parquet(str(tmp_path / "alerts")).collect()
     assert [(r.rule_id, r.tags, r.matched_events) for r in alert] == [("a", '["t"]', '["{\\"k\\": \\"a\\"}"]')]
     assert [r.reason for r in spark.read.json(str(tmp_path / "letters")).collect()] == ["non-JSON message"]
-    assert tiers.scan_hot(spark, str(tmp_path / "hot"), "2024-03-05", "2024-03-05").count() == 2
+    hot, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
+    assert tiers.scan_hot(spark, hot, "2024-03-05", "2024-03-05").count() == 2
+    # A table written by a stream lives on through rollover, more batches and expiry.
+    assert tiers.rollover(spark, hot, cold, dt.date(2024, 3, 18)) == 2
+    (root / "b.json").write_text('{"k": "c"}\n')
+    later = events.withColumn("ingest_time", F.lit("2024-03-18 10:00:00").cast("timestamp"))
+    detect.start_raw_events(later, hot, str(tmp_path / "c3"), trigger=now).awaitTermination()
+    view = tiers.create_events_view(spark, hot, cold, "2024-03-01", "2024-03-31")
+    assert view.count() == 5
+    days = [d.name for d in (tmp_path / "alerts").glob("fired_date=*")]
+    dropped = tiers.expire(spark, str(tmp_path / "alerts"), dt.date(2100, 1, 1), 30, "fired_date")
+    assert len(dropped) == len(days) == 1
 
 
 def test_open_windows_can_be_flushed(spark, source, tmp_path):
@@ -174,3 +185,22 @@ def test_kafka_record_shape(spark):
     row = sinks.alert_messages(alert).collect()[0]
     assert {h.key: bytes(h.value) for h in row.headers} == {"severity": b"high", "rule_id": b"r"}
     assert '"matched_events":"[' in row.value
+
+
+def test_a_sequence_of_more_rules_than_a_mask_has_bits(spark, tmp_path):
+    n = 64
+    rows = [("u", i, 10 + i) for i in range(n)] + [("v", n - 1 - i, 10 + i) for i in range(n)] + [("w", 0, 99_999)]
+    root = str(tmp_path / "in")
+    (
+        spark.createDataFrame(rows, "user string, n int, s long")
+        .select("user", "n", F.timestamp_seconds("s").alias("event_time")).coalesce(1).write.parquet(root)
+    )
+    stored = spark.read.parquet(root)
+    single = [{"title": f"n{i}", "id": f"n{i}", "detection": {"s": {"n": i}, "condition": "s"}} for i in range(n)]
+    spec = {"title": "seq", "id": "seq", "type": "temporal_ordered", "rules": [r["id"] for r in single],
+            "group-by": ["user"], "timespan": "1h", "condition": {"gte": n}}
+    rs = ruleset_from_dicts([*single, spec])
+    assert [r.correlation_key for r in batch.correlate(stored, rs).collect()] == ["u"]
+    # A stream of so many steps is the same narrowing; its plan must resolve.
+    stream = spark.readStream.schema(stored.schema).parquet(root)
+    assert sc.correlate_stream(stream, rs).isStreaming

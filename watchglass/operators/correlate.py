@@ -49,7 +49,12 @@ def _below(bounds: Bounds, x: str) -> tuple[str, str]:
 
 def _wide(c: Correlation) -> bool:
     """Too many rules for a bit mask: count distinct rules instead."""
-    return c.kind in ("temporal", "temporal_ordered") and len(c.refs) > _MASK_BITS
+    return c.kind == "temporal" and len(c.refs) > _MASK_BITS
+
+
+def _masked(c: Correlation) -> bool:
+    """A long sequence needs no mask: its steps are settled one by one anyway."""
+    return c.kind in ("temporal", "temporal_ordered") and len(c.refs) <= _MASK_BITS
 
 
 def counts_distinct(c: Correlation) -> bool:
@@ -92,7 +97,7 @@ def correlation_rows(
             when += f" AND {x} IS NOT NULL"
         elif c.kind in ("temporal", "temporal_ordered"):
             o = "CASE " + " ".join(f"WHEN {h} THEN {n}" for n, h in enumerate(hit)) + " END"
-            if not _wide(c):
+            if _masked(c):
                 m = (
                     f"shiftleft(1L, {o})" if c.kind == "temporal_ordered"
                     else " + ".join(f"if({h}, {1 << n}L, 0L)" for n, h in enumerate(hit))
@@ -101,10 +106,7 @@ def correlation_rows(
             when += f" AND NOT ({_is_missing(b, c.group_by)})"
         rows = [(when, v, o)]
         if _wide(c):
-            first = c.kind == "temporal_ordered"
-            rows = [
-                (when, f"CAST({o} AS STRING)", o)
-            ] if first else [(h, f"'{n}'", str(n)) for n, h in enumerate(hit)]
+            rows = [(h, f"'{n}'", str(n)) for n, h in enumerate(hit)]
         key = group_key(b, c.group_by)
         structs += [
             (w, [
@@ -211,7 +213,10 @@ def fires_sql(c: Correlation) -> str:
         if c.bounds.hi < float("inf"):
             tests.append("NOT " + _exceeds(c.percentile, "n", "2", c.bounds.hi, not c.bounds.hi_strict))
         return "(" + " AND ".join(tests) + ")" if tests else "TRUE"
-    full = f"d = {len(c.refs)}" if _wide(c) else f"mask = {(1 << len(c.refs)) - 1}L"
+    full = (
+        f"mask = {(1 << len(c.refs)) - 1}L" if _masked(c)
+        else f"d = {len(c.refs)}" if _wide(c) else "TRUE"
+    )
     return full if c.kind == "temporal" else f"({full} AND lo_us <= hi_us)"
 
 
@@ -286,10 +291,14 @@ def _settle_order(
     rounds = max(
         (len(c.refs) - 1) // 2 for c in correlations if c.kind == "temporal_ordered"
     )
-    # Only the steps between the ends are still open.
-    steps = rows.where((F.col("o") > 0) & (F.col("o") < positions)).select(*GROUP, "o", "us")
     done = open_.where("j - i <= 1")
     pending = open_.where("j - i > 1")
+    # Only the steps between the ends are still open, of the groups that are. They are
+    # written once, so that no round evaluates the rules again.
+    steps = materialize(
+        rows.where((F.col("o") > 0) & (F.col("o") < positions)).select(*GROUP, "o", "us")
+        .join(pending.select(*GROUP), list(GROUP), "left_semi")
+    )
     for _ in range(rounds):
         # Equal steps at one time are one step: with hot keys, drop repeats first.
         near = weighted_join(

@@ -6,8 +6,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.skew import DEFAULT_SALTS, salted_join
-
 
 def alerts_with_events(
     alerts: DataFrame,
@@ -16,14 +14,12 @@ def alerts_with_events(
     *,
     date: str = "partition_date",
     event_columns: Sequence[str],
-    spread: Sequence[str],
-    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Alerts joined with the events of their key on the days of their window.
 
     The day range becomes one row per alert and day, so the join is an equality
     on (key, day) and the day column prunes event partitions. A hot key is
-    split over days and salts.
+    split over its days, and within one by Spark's skew join.
     """
     per_day = alerts.where(F.col("correlation_key").isNotNull()).select(
         "*", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))).alias("__day")
@@ -31,9 +27,7 @@ def alerts_with_events(
     side = events.select(
         key.cast("string").alias("__key"), F.col(date).cast("date").alias("__day"), *event_columns
     )
-    joined = salted_join(
-        side, per_day, ["__key", "__day"], spread, salts=salts
-    )
+    joined = side.join(per_day, ["__key", "__day"])
     return joined.drop("__day").withColumnRenamed("__key", "correlation_key")
 
 
@@ -42,18 +36,13 @@ def in_value_list(
     field: Column,
     values: DataFrame,
     name: str,
-    *,
-    spread: Sequence[str],
-    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Events whose field is in list `name` of a (name, value) table, any case.
 
     For lists too long to be literals in a rule. Catalyst broadcasts the list
-    when it is small; a longer list meets events salted by `spread` (a key of
-    the events), so a value that many events share is spread over tasks.
+    when it is small; with a longer one, Spark's skew join splits the events of
+    a value that many of them share.
     """
     wanted = values.where(F.col("name") == name).select(F.lower("value").alias("__value")).distinct()
-    return salted_join(
-        events.withColumn("__value", F.lower(field.cast("string"))), wanted, ["__value"],
-        spread, how="left_semi", salts=salts,
-    ).drop("__value")
+    keyed = events.withColumn("__value", F.lower(field.cast("string")))
+    return keyed.join(wanted, ["__value"], "left_semi").drop("__value")

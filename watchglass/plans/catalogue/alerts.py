@@ -85,7 +85,7 @@ def _alerts_with_events(spark, sf):
     rs = ruleset_from_dicts([*KIND_RULES, COUNT])
     found = c.correlate(ev, rs, EVENT_FIELDS)
     out = joins.alerts_with_events(
-        found, ev, F.col("user_id"), event_columns=["event_id", "event_type"], spread=["event_id"]
+        found, ev, F.col("user_id"), event_columns=["event_id", "event_type"]
     )
     return plain_times(out.select("rule_id", "correlation_key", "window_start", "event_id", "event_type"))
 

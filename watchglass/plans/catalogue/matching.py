@@ -78,7 +78,8 @@ def _projection(spark, sf):
 
 def _documents(spark, sf):
     """Events as JSON text; every 17th line is broken."""
-    body = F.to_json(F.struct("event_id", "event_type", "user_id", "value"))
+    props = F.parse_json("props").alias("props")
+    body = F.to_json(F.struct("event_id", "event_type", "user_id", "value", props))
     return parse_events(events(spark, sf).select(
         "event_id",
         F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("broken "), body)).otherwise(body)
@@ -93,7 +94,7 @@ def _dead_letters(spark, sf):
 
 def _document_matches(spark, sf):
     return m.matches(
-        _documents(spark, sf), rules().rules[:3],
+        _documents(spark, sf), rules().rules,
         FieldMap(document="data", raw="raw", aliases={"event": "event_type", "latency_ms": "value"}),
         keep=["event_id"],
     ).select("event_id", "rule_id")
@@ -116,6 +117,40 @@ def _python_letters(spark, sf):
     )
 
 
+def _one_or_many(spark, sf):
+    """Rules that say the same twice over a field, inside a set of sixty."""
+    from ...operators.rules import ruleset_from_dicts
+
+    tricky = [
+        {"title": "twice", "id": "twice", "detection": {
+            "s": {"event": ["error", "view"], "event|cased": ["view", "click"]}, "condition": "s"}},
+        {"title": "named", "id": "named", "detection": {
+            "Sel": {"event": "view"}, "sel": {"event": "none"}, "condition": "Sel"}},
+    ]
+    filler = [
+        {"title": f"f{i}", "id": f"f{i}", "detection": {"s": {"event": ["error", f"x{i}"]}, "condition": "s"}}
+        for i in range(58)
+    ]
+    rules = ruleset_from_dicts([*tricky, *filler]).rules
+    found = m.matches(events(spark, sf), rules, EVENT_FIELDS, keep=["event_id"])
+    return found.select("event_id", "rule_id")
+
+
+def _bad_pattern(spark, sf):
+    """Of two rules one cannot be compiled: the other's matches, and a letter."""
+    from ...operators.rules import ruleset_from_dicts
+
+    rules = ruleset_from_dicts([
+        {"title": "Bad", "id": "bad", "detection": {"s": {"event|re": "(unclosed"}, "condition": "s"}},
+        {"title": "Good", "id": "good", "detection": {"s": {"event|re": "^err"}, "condition": "s"}},
+    ]).rules
+    found = m.matches(events(spark, sf), rules, EVENT_FIELDS, keep=["event_id"])
+    letters = m.rule_letters(spark, rules)
+    return found.select("event_id", "rule_id", F.lit("match").alias("kind")).unionByName(
+        letters.select(F.lit(None).cast("bigint").alias("event_id"), "rule_id", F.col("reason").alias("kind"))
+    )
+
+
 def _counters(spark, sf):
     return m.rule_counters(_matched(spark, sf, keep=()))
 
@@ -146,18 +181,29 @@ def _replay(spark, sf):
     ev = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("path"))
     docs = docs.join(ev, "event_id")
     expected = ev.select("path").distinct().select(
-        "path", F.expr("array('error_burst', 'new_signup', 'big_purchase')").alias("matches"),
+        "path", F.expr("array('error_burst', 'new_signup', 'big_purchase', 'odd_view', 'click_outside_the_nineties')").alias("matches"),
         F.expr("CAST(path AS BIGINT) % 3 <> 0").alias("dropped"),
     )
     from ...operators.rules import ruleset_from_dicts
     from .common import RULE_SPECS
 
     fields = FieldMap(document="data", raw="raw", aliases={"event": "event_type", "latency_ms": "value"})
-    report = m.replay_report(docs, ruleset_from_dicts(RULE_SPECS[:3]), expected, fields)
+    report = m.replay_report(docs, ruleset_from_dicts(RULE_SPECS), expected, fields)
     return report.select("path", F.array_join("fired", ",").alias("fired"), "was_dropped", "ok")
 
 
 QUERIES = {
+    "rul_one_or_many": (
+        _one_or_many,
+        "SELECT event_id, 'twice' AS rule_id FROM events WHERE event_type = 'view' UNION ALL"
+        " SELECT event_id, 'named' FROM events WHERE event_type = 'view' UNION ALL"
+        " SELECT event_id, 'f' || i FROM events, range(58) AS r(i) WHERE event_type = 'error'",
+    ),
+    "rul_bad_pattern": (
+        _bad_pattern,
+        "SELECT event_id, 'good' AS rule_id, 'match' AS kind FROM events WHERE event_type LIKE 'err%'"
+        " UNION ALL SELECT NULL, 'bad', 'predicate raised'",
+    ),
     "rul_matches": (_matches, f"WITH {MATCHES_SQL} SELECT event_id, rule_id FROM hits"),
     "rul_hundred_rules": (many_rules(100), _HUNDRED_SQL),
     "rul_alerts": (
@@ -178,7 +224,7 @@ QUERIES = {
     "rul_documents": (
         _document_matches,
         f"WITH {MATCHES_SQL} SELECT event_id, rule_id FROM hits"
-        " WHERE rule_id IN ('r-error', 'r-signup', 'r-purchase') AND event_id % 17 <> 0",
+        " WHERE event_id % 17 <> 0",
     ),
     "rul_python_rule": (
         _python_rule,
@@ -204,10 +250,10 @@ QUERIES = {
         _replay,
         f"""WITH {MATCHES_SQL}, good AS (
           SELECT user_id, coalesce(string_agg(DISTINCT rule_name, ',' ORDER BY rule_name), '') AS fired
-          FROM hits WHERE event_id % 17 <> 0 AND rule_id IN ('r-error', 'r-signup', 'r-purchase') GROUP BY 1),
+          FROM hits WHERE event_id % 17 <> 0 GROUP BY 1),
         users AS (SELECT user_id, bool_or(event_id % 17 = 0) AS was_dropped FROM events GROUP BY 1)
         SELECT CAST(u.user_id AS VARCHAR) AS path, coalesce(g.fired, '') AS fired, u.was_dropped,
-          coalesce(g.fired, '') = 'big_purchase,error_burst,new_signup' AND u.was_dropped = (u.user_id % 3 <> 0) AS ok
+          coalesce(g.fired, '') = 'big_purchase,click_outside_the_nineties,error_burst,new_signup,odd_view' AND u.was_dropped = (u.user_id % 3 <> 0) AS ok
         FROM users u LEFT JOIN good g USING (user_id)""",
     ),
 }

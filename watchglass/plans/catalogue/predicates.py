@@ -37,7 +37,7 @@ def _expand_join(spark, sf):
         F.when(F.col("s_nationkey") < 10, "watched").otherwise("other").alias("name"),
         F.col("s_suppkey").cast("string").alias("value"),
     )
-    found = joins.in_value_list(events(spark, sf), F.col("user_id"), lists, "watched", spread=["event_id"])
+    found = joins.in_value_list(events(spark, sf), F.col("user_id"), lists, "watched")
     return found.select("event_id")
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ...operators import shaping
+from ...operators.matching import not_json_letters
 from ...sources import sinks, tiers
 from ...sources.events import messages
 from .common import ALERTS_SQL, NOW_SQL, base_alerts, events, plain_times
@@ -50,6 +51,27 @@ def _messages(spark, sf):
     ))
 
 
+def _duplicate_keys(spark, sf):
+    """Documents that give a key twice; the last one counts."""
+    text = F.concat(F.lit('{"k": "first", "n": '), F.col("event_id"), F.lit(', "k": "'), F.col("event_type"), F.lit('"}'))
+    parsed = shaping.parse_events(events(spark, sf).select(text.cast("binary").alias("value")))
+    return parsed.select(
+        F.try_variant_get("data", "$.n", "bigint").alias("event_id"),
+        F.try_variant_get("data", "$.k", "string").alias("k"),
+    )
+
+
+def _letter_messages(spark, sf):
+    text = F.concat(F.lit("torn "), F.col("event_id"))
+    parsed = shaping.parse_events(events(spark, sf).select(text.cast("binary").alias("value")))
+    out = sinks.letter_messages(not_json_letters(parsed))
+    return out.select(
+        F.get_json_object("value", "$.event").alias("event"),
+        F.get("headers", F.lit(0))["value"].cast("string").alias("reason"),
+        (F.get_json_object("value", "$.rule_id").isNull() & F.contains("value", F.lit('"rule_id":null'))).alias("no_rule"),
+    )
+
+
 def _encoded(spark, sf):
     rows = sinks.encode_alerts(base_alerts(spark, sf))
     return rows.select(
@@ -89,14 +111,15 @@ def _late(spark, sf):
 
 
 def _rollover(spark, sf):
-    """Rows per tier and day after the day of age 13 has moved to cold storage."""
+    """Rows per tier and day after the days of age 13 and more have moved to a cold tier in use."""
     import uuid
 
     from ..durable import checkpoint_dir
 
-    hot, _ = _tiers(spark, sf)
+    hot, cold = _tiers(spark, sf)
     root = f"{checkpoint_dir(spark)}/tiers-{uuid.uuid4().hex}"
     hot.write.partitionBy("dt").parquet(f"{root}/hot")
+    cold.write.partitionBy("dt").parquet(f"{root}/cold")
     tiers.rollover(spark, f"{root}/hot", f"{root}/cold", _TODAY)
     first, last = _TODAY - dt.timedelta(days=40), _TODAY
     count = lambda df, tier: df.groupBy(F.lit(tier).alias("tier"), "dt").agg(F.count(F.lit(1)).alias("n"))
@@ -110,6 +133,11 @@ QUERIES = {
         _events_all, "SELECT event_id, event_type, CAST(ts AS DATE) AS partition_date FROM events",
     ),
     "src_messages": (_messages, "SELECT event_id, event_type AS source, ts AS ingest_time FROM events"),
+    "src_duplicate_keys": (_duplicate_keys, "SELECT event_id, event_type AS k FROM events"),
+    "snk_letter_messages": (
+        _letter_messages,
+        "SELECT 'torn ' || event_id AS event, 'non-JSON message' AS reason, TRUE AS no_rule FROM events",
+    ),
     "snk_encoded_alerts": (
         _encoded,
         f"WITH {ALERTS_SQL} SELECT rule_id, CASE WHEN tag_text = '' THEN '[]' ELSE"
@@ -140,7 +168,7 @@ QUERIES = {
     ),
     "ret_rollover": (
         _rollover,
-        "SELECT CASE WHEN CAST(ts AS DATE) = DATE '2024-01-18' THEN 'cold' ELSE 'hot' END AS tier,"
-        " CAST(ts AS DATE) AS dt, count(*) AS n FROM events WHERE ts >= DATE '2024-01-17' GROUP BY 1, 2",
+        "SELECT CASE WHEN CAST(ts AS DATE) <= DATE '2024-01-18' THEN 'cold' ELSE 'hot' END AS tier,"
+        " CAST(ts AS DATE) AS dt, count(*) AS n FROM events GROUP BY 1, 2",
     ),
 }

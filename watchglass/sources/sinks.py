@@ -35,6 +35,17 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     )
 
 
+def letter_messages(letters: DataFrame) -> DataFrame:
+    """Dead letters as topic messages: key, JSON value with all fields, the reason as header."""
+    reason = F.struct(F.lit("reason").alias("key"), F.col("reason").cast("binary").alias("value"))
+    fields = ("reason", "rule_id", "event", "error", "trace")
+    return letters.select(
+        F.coalesce("rule_id", F.lit("")).alias("key"),
+        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"),
+        F.array(reason).alias("headers"),
+    )
+
+
 def append_dead_letters(letters: DataFrame, path: str) -> None:
     letters.write.mode("append").json(path)
 

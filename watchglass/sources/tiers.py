@@ -65,14 +65,19 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def partition_days(spark: SparkSession, path: str, column: str = "dt") -> list[dt.date]:
-    """Days that have a partition folder."""
+    """Days that have a partition folder; folders that name no day are left alone."""
     fs, root = _filesystem(spark, path)
     if not fs.exists(root):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-    return sorted(
-        dt.date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith(f"{column}=")
-    )
+    days = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(f"{column}="):
+            try:
+                days.append(dt.date.fromisoformat(name.split("=", 1)[1]))
+            except ValueError:
+                continue
+    return sorted(days)
 
 
 def drop_partition(spark: SparkSession, path: str, day: dt.date, column: str = "dt") -> bool:
@@ -81,11 +86,18 @@ def drop_partition(spark: SparkSession, path: str, day: dt.date, column: str = "
 
 
 def expire(
-    spark: SparkSession, path: str, today: dt.date, keep_days: int, column: str = "dt"
+    spark: SparkSession, path: str, today: dt.date, keep_days: int, column: str = "dt",
+    *, exported_to: str | None = None,
 ) -> list[dt.date]:
-    """Drop partitions older than `keep_days`; returns the dropped days."""
+    """Drop partitions older than `keep_days`; returns the dropped days.
+
+    With `exported_to`, the path of the cold tier, days that are not there stay.
+    """
     limit = today - dt.timedelta(days=keep_days)
     old = [d for d in partition_days(spark, path, column) if d < limit]
+    if exported_to is not None:
+        safe = set(partition_days(spark, exported_to))
+        old = [d for d in old if d in safe]
     for d in old:
         drop_partition(spark, path, d, column)
     return old
@@ -100,16 +112,20 @@ def rollover(
     age_days: int = EXPORT_AGE_DAYS,
     files: int | None = None,
 ) -> int:
-    """Move the hot day of the given age to cold ZSTD Parquet; returns its rows.
+    """Move hot days of the given age or more to cold ZSTD Parquet; returns their rows.
 
-    The cold day is overwritten, so a repeated run is safe, and the hot day is
-    dropped only after both counts agree.
+    A day that an earlier run missed is moved too. The cold day is overwritten,
+    so a repeated run is safe, and a hot day is dropped only after both counts
+    agree.
     """
     if age_days >= HOT_RETENTION_DAYS:
         raise ValueError("export must come before the hot partition expires")
-    day = today - dt.timedelta(days=age_days)
-    if day not in partition_days(spark, hot_path):
-        return 0
+    last = today - dt.timedelta(days=age_days)
+    days = [d for d in partition_days(spark, hot_path) if d <= last]
+    return sum(_move_day(spark, hot_path, cold_path, d, files) for d in days)
+
+
+def _move_day(spark: SparkSession, hot_path: str, cold_path: str, day: dt.date, files: int | None) -> int:
     source = scan_hot(spark, hot_path, day, day)
     target = f"{cold_path}/dt={day.isoformat()}"
     rows = export_rows(source).drop("dt")

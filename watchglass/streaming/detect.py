@@ -32,8 +32,10 @@ def start_detection(
 ) -> StreamingQuery:
     """Single-event alerts and dead letters of each micro-batch.
 
-    Files of a repeated micro-batch are written again (at-least-once); the
-    batch number is kept in the path so that a repeat overwrites itself.
+    Files of a repeated micro-batch are written again (at-least-once); below
+    the day, the batch number is kept in the path so that a repeat overwrites
+    itself and a day can be dropped as one folder. Rules that cannot run give a
+    letter in the first batch.
     """
 
     def write(micro: DataFrame, batch_id: int) -> None:
@@ -45,12 +47,15 @@ def start_detection(
             if alerts_path is not None:
                 (
                     sinks.encode_alerts(found)
-                    .withColumn("fired_date", F.to_date("fired_at"))
-                    .write.mode("overwrite").partitionBy("fired_date")
-                    .parquet(f"{alerts_path}/batch={batch_id}")
+                    .withColumn("fired_date", F.to_date("fired_at")).withColumn("batch", F.lit(batch_id))
+                    .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("fired_date", "batch").parquet(alerts_path)
                 )
             if letters_path is not None:
-                matching.not_json_letters(micro).write.mode("overwrite").json(
+                letters = matching.not_json_letters(micro)
+                if batch_id == 0:
+                    letters = letters.unionByName(matching.rule_letters(micro.sparkSession, ruleset.rules))
+                letters.write.mode("overwrite").json(
                     f"{letters_path}/batch={batch_id}"
                 )
         finally:
@@ -67,12 +72,25 @@ def start_detection(
 def start_raw_events(
     events: DataFrame, path: str, checkpoint: str, *, time: str = "ingest_time", trigger: dict | None = None
 ) -> StreamingQuery:
-    """Raw events to the hot table, with a checkpoint of their own."""
+    """Raw events to the hot table, with a checkpoint of their own.
+
+    Each micro-batch is a folder of its own below the day, so a repeat overwrites
+    itself, and there is no log of files that a rollover would make stale. An
+    event without a time belongs to no day and is not stored here.
+    """
+
+    def write(micro: DataFrame, batch_id: int) -> None:
+        (
+            micro.withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dt", "batch").parquet(path)
+        )
+
     return (
-        events.where(F.col("data").isNotNull())
+        events.where(F.col("data").isNotNull() & F.col(time).isNotNull())
         .select("data", F.to_date(time).alias("dt"))
-        .writeStream.format("parquet").partitionBy("dt")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "60 seconds"}))
         .start()
     )
