@@ -6,7 +6,8 @@ k-means with a charge on crowded lists. Every vector is indexed: it goes to its
 list, and if it lies near a boundary, also to others whose centroid is at most CLOSURE
 times as far, unless that centroid lies much nearer to one chosen before than to the
 vector. A query walks a graph of neighbouring centroids, kept in memory, and searches the lists
-whose centroids are at most RATIO times as far as the nearest, PROBES of them at most.
+whose centroids are at most RATIO times as far as the nearest, FEWEST of them at least and
+PROBES at most.
 
 A list that holds, or is asked for by, more than BLOCK rows is dealt to blocks, and each
 block of queries meets each block of vectors in a group of its own; of a group a query
@@ -42,6 +43,7 @@ DIVERSITY = 0.6  # least gap to the lists chosen before, against the distance to
 NEIGHBOURS = 24  # of a centroid in the graph
 BEAM = 192  # centroids that a walk keeps
 PROBES = 128  # lists of a query at most
+FEWEST = 48  # lists of a query whatever the ratio: a dense crowd may fill several lists
 RATIO = 1.8
 BLOCK = 4096
 
@@ -97,7 +99,10 @@ class Lists:
             held = sizes > 0
             self.centroids[held] = sums[held] / sizes[held, None]
         between = _distances(self.centroids, self.centroids)
-        self.near = np.argsort(between, axis=1, kind="stable")[:, 1 : NEIGHBOURS + 1]
+        linked = np.zeros((n, n), bool)
+        np.put_along_axis(linked, np.argsort(between, axis=1, kind="stable")[:, : NEIGHBOURS + 1], True, axis=1)
+        # Both ways, else a centroid that is nobody's neighbour could not be reached.
+        self.near = [np.flatnonzero(row) for row in linked | linked.T]
         self.starts = np.arange(0, n, max(1, n // 16))
 
     def of_vectors(self, v: np.ndarray) -> list[np.ndarray]:
@@ -141,7 +146,7 @@ class Lists:
                     if len(best) > BEAM:
                         heapq.heappop(best)
         ranked = sorted((-d, c) for d, c in best)[:PROBES]
-        chosen = [c for d, c in ranked if d <= RATIO * ranked[0][0] or d == ranked[0][0]]
+        chosen = [c for i, (d, c) in enumerate(ranked) if i < FEWEST or d <= RATIO * ranked[0][0]]
         if sizes[chosen].sum() < least:
             order = np.argsort(far(np.arange(len(self.centroids))), kind="stable")
             more = order[~np.isin(order, chosen)]
