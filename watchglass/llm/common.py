@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,9 +20,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: one computation, short lineage."""
+    """Write `df` to the shared folder and read it again: one computation, short lineage.
+
+    Nothing needs the shuffle files behind it then. Spark deletes them once the JVM
+    has collected their plans, which a driver with little to do may put off for half
+    an hour; so this asks for it.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

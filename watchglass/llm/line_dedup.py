@@ -30,7 +30,7 @@ from .common import tasks, written
 NUM, DEN = 4, 5  # the similarity from which lines are linked, as a fraction
 BUCKETS = 1 << 16  # of the table of token counts that orders tokens by rarity
 NO_ID = -(1 << 63)
-BLOCK = 256  # classes of a token compared at once
+BLOCK = 1024  # classes of a token compared at once
 
 
 def words(line: Column) -> Column:
@@ -219,14 +219,18 @@ def match_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
     keys = candidates.select("key").distinct()
     firsts = classes.join(keys, "key", "left_semi").select("key", "first")
-    places = firsts.select("key", "first.doc_id", "first.line_no")
-    named = places.select(F.nullif("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
-    texts = split_lines(docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), text)
-    sets = (
-        texts.join(places, ["doc_id", "line_no"])
-        .select("key", place.alias("first"), ranks(F.col("line"), levels).alias("ranks"))
-        .dropDuplicates(["key"])
+    # The lines that are needed are picked inside their document's row.
+    wanted = firsts.groupBy(F.nullif("first.doc_id", F.lit(NO_ID)).alias("__id")).agg(
+        F.collect_list(F.struct("key", "first")).alias("__wanted")
     )
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col(text), "\n").alias("lines"))
+    picked = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select(
+        "lines", F.explode("__wanted").alias("w")
+    )
+    line = F.get("lines", F.col("w.first.line_no"))
+    tokens = picked.select("w.*", line.alias("line")).select("key", "first", ranks(F.col("line"), levels).alias("ranks"))
+    # Documents of one doc_id have different lines in one place: only the class's own counts.
+    sets = tokens.where(F.xxhash64("ranks", "ranks") == F.col("key")).dropDuplicates(["key"])
     links = _links(candidates.join(sets, "key"))
     facts = classes.select("key", "first", "copies").join(links, "key", "left")
     return slim.join(facts, "key", "left").select(
