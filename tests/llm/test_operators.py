@@ -328,6 +328,16 @@ def test_pii_bootstrap_and_masks(spark):
     assert pii.redact(docs).columns == docs.columns and shaped
 
 
+def test_pii_bootstrap_reaches_other_forms(spark):
+    texts = [f"please call me at +1 (415) 555-01{i:02d} now" for i in range(6)]
+    texts += [f"then write mail to user{i}@mail{i}.example.org soon" for i in range(6)]
+    texts += ["you may call me at 415-555-0199 today", "or write mail to user@localhost there"]
+    texts += ["the part number is 415-555-0199 here", "built by the user@localhost here"]
+    masked = {r.doc_id: r.text for r in pii.redact(frame(spark, texts)).collect()}
+    assert masked[12] == "you may call me at <PHONE> today" and masked[13] == "or write mail to <EMAIL> there"
+    assert [masked[14], masked[15]] == texts[14:]
+
+
 def test_patterns_reach_unseen_instances(spark):
     pairs = [("p", f"seed{i}", True) for i in range(5)] + [("p", "new", False), ("q", "new", False), ("q", "odd", False)]
     got = {r.pattern: r for r in pii.patterns(spark.createDataFrame(pairs, "pattern string, instance string, seed boolean")).collect()}

@@ -2,8 +2,9 @@
 
 Base spans are e-mail and IP addresses, card and phone numbers, by pattern and check.
 They are the seeds of a bootstrap. Everything that looks like an identifier, whether it
-passes a check or not, is an instance; the two words before it, its kind and its shape
-form a lexical pattern. Patterns and instances are a bipartite graph. Seeds score 1. In
+passes a check or not, is an instance; the two words before it and its kind form a
+lexical pattern, so that seeds of one form back a context in which others are found.
+Patterns and instances are a bipartite graph. Seeds score 1. In
 each round a pattern scores the mean of its instances, an instance the noisy-or of its
 patterns; seeds keep their 1. Patterns that SUPPORT instances of a score above 1/2 back,
 and that score CONFIDENCE at least, then give their other instances as further spans,
@@ -110,11 +111,6 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def shape(instance: str) -> str:
-    """Its letters and digits, runs of each as one; other characters as they are."""
-    return re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", instance))
-
-
 def instances(text: str, spans: dict[str, list[Span]]) -> list[tuple[str, str, bool, int, int, int]]:
     """pattern, instance, whether a seed, number of the kind, start, end."""
     places: list[tuple[int, int, str]] = []
@@ -142,7 +138,7 @@ def instances(text: str, spans: dict[str, list[Span]]) -> list[tuple[str, str, b
         elif any(s < end and start < e for v in spans.values() for s, e in v):
             continue
         value = text[start:end]
-        pattern = f"{kind}|{left}|{shape(value)}"
+        pattern = f"{kind}|{left}"
         found.append((pattern, value, seed, KINDS.index(kind), start, end))
     return found
 
