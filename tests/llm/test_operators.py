@@ -371,6 +371,24 @@ def test_toxicity_learns_and_locates(spark):
     assert kept.columns == docs.columns and {401, 402} <= ids and 403 not in ids
 
 
+def test_toxic_documents_always_have_a_sentence(spark):
+    values = np.zeros(toxicity.SLOTS)
+    for word, logit in {"mild": 5.3, "faint": 3.0, "strong": 8.0}.items():
+        values[toxicity.slots(word)[0]] = logit
+    one = "a b c. mild d! e f."
+    many = " ".join(f"w{i} faint." for i in range(12))
+    texts = [one, many, "strong a. faint b.", "a b.", None]
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, texts), (values, -6.0)).collect()}
+    assert 0.3 <= got[0].score < 0.5 and 0.3 <= got[1].score < 0.5 and got[2].score >= 0.5
+    assert [one[s.start : s.end] for s in got[0].sentences] == ["mild d!"]
+    rest = 1.0
+    for part in re.findall(r"[^.]+\.", many)[len(got[1].sentences) :]:
+        rest *= 1 - 1 / (1 + np.exp(3.0))
+    assert 0 < len(got[1].sentences) < 12 and 1 - rest < toxicity.THRESHOLD
+    assert [texts[2][s.start : s.end] for s in got[2].sentences] == ["strong a."]
+    assert got[3].sentences == [] and got[4].sentences == []
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -3,7 +3,9 @@
 A sentence has a probability p of being toxic, logistic in the sum of its words' weights.
 A document is toxic with 1 - prod(1 - p), the noisy-or of its sentences. The weights are
 learnt from the labels of documents, by stochastic gradient steps (AdaGrad) on that
-likelihood; the sentences to blame are then those of high p.
+likelihood. The sentences to blame for a toxic document are then those of high p, and
+besides these its most probable ones, as many as it takes for the noisy-or of the rest
+to stay under THRESHOLD; so a toxic document always has one at least.
 
 A word counts by itself and by its beginnings of four and five letters, hashed into
 SLOTS weights, so that inflected forms share weight.
@@ -39,7 +41,7 @@ RATE = 0.1
 SPARSITY = 0.01  # of the penalty on the weights' absolute values
 BIAS = -6.0  # of an empty sentence, at the start
 THRESHOLD = 0.3  # a document of this score or more is toxic
-SENTENCE_THRESHOLD = 0.5  # a sentence of this probability or more is to blame
+SENTENCE_THRESHOLD = 0.5  # a sentence of this probability or more is always to blame
 _CACHED = 200_000  # words whose weight a task remembers
 _END = "\x00"
 
@@ -75,6 +77,17 @@ def _noisy_or(logits: np.ndarray) -> float:
     return -float(np.logaddexp(0.0, logits).sum())
 
 
+def _to_blame(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Of sentences (start, end, logit) those to blame, in order, with their probabilities."""
+    logits = np.array([x for _, _, x in found])
+    p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+    order = np.argsort(-logits, kind="stable")
+    none = -np.logaddexp(0.0, logits[order])
+    rest = -np.expm1(np.cumsum(none[::-1])[::-1])  # noisy-or of a sentence and all less probable ones
+    n = max(1, int((p >= SENTENCE_THRESHOLD).sum()), int((rest >= THRESHOLD).sum()))
+    return [(*found[i][:2], float(p[i])) for i in sorted(order[:n].tolist())]
+
+
 class Weights:
     """Scores texts; remembers the weights of the words that it met last."""
 
@@ -99,9 +112,9 @@ class Weights:
         return -math.expm1(_noisy_or(np.add.reduceat(weights, _starts(ends)) + self.bias))
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """Start, end and probability of the sentences to blame, in code points."""
+        """Start, end and probability of the sentences to blame if `text` is toxic, in code points."""
         found = []
-        for line in re.finditer(r"[^\n]+", text):
+        for line in re.finditer(r"[^\n]+", text.replace(_END, " ")):
             words = list(re.finditer(r"\S+", line.group()))
             total, first = self.bias, None
             for i, m in enumerate(words):
@@ -109,11 +122,9 @@ class Weights:
                 known = self.cache.get(m.group())
                 total += self._look_up(m.group()) if known is None else known
                 if _ends(m.group()) or i == len(words) - 1:
-                    p = 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
-                    if p >= SENTENCE_THRESHOLD:
-                        found.append((line.start() + first, line.start() + m.end(), p))
+                    found.append((line.start() + first, line.start() + m.end(), total))
                     total, first = self.bias, None
-        return found
+        return _to_blame(found or [(0, 0, self.bias)])
 
 
 def _examples(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
