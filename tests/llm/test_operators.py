@@ -272,6 +272,31 @@ def test_search_within_radius(spark):
     assert len(found) == len(want) and {(bytes(r.asked), bytes(r.found)): r.distance for r in found} == want
 
 
+def test_search_finds_edited_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for n in (100, 300, 1000):
+        for _ in range(12):
+            base = sentence(rng, n, 5000)
+            for changes in (0, 1, n // 100):
+                parts = base.split()
+                for at in rng.sample(range(n), changes):
+                    parts[at] = "changed"
+                rows.append(" ".join(parts))
+    prints = [fingerprints.fingerprint(t) for t in rows]
+    distance = lambda a, b: (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+    near = [sum(distance(a, b) <= fingerprints.RADIUS for b in prints) for a in prints]
+    made = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "doc_id long, fp binary")
+    from pyspark.sql import functions as F
+
+    for group in (fingerprints.GROUP, 2):
+        monkeypatch.setattr(fingerprints, "GROUP", group)
+        got = {r.doc_id: r.n_near for r in fingerprints.near_counts(made, F.col("doc_id") % 3 == 0).collect()}
+        assert all(got[i] == (near[i] if i % 3 == 0 else None) for i in range(len(rows)))
+    # A text of which one word, or one in a hundred, was changed is found: three of three, nearly always.
+    assert sum(got[i] == 3 for i in range(0, len(rows), 3)) >= 0.9 * len(rows) / 3
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -8,10 +8,13 @@ where the votes are above zero. The share of equal bits is the likeness of two t
 1 - angle/pi of their term vectors, about 1/2 for unrelated ones, scaled here so that
 this 1/2 is 0.
 
-Search: a fingerprint within RADIUS bits of another agrees with it in at least one of
-RADIUS + 1 blocks of its bits. So there is a table for each block, the fingerprint
-permuted so that the block leads, keyed by that block; candidates of equal key are
-verified by the full distance. Copies, of equal fingerprint, are one row of each table.
+Search: RADIUS is a likeness of 3/4, which texts keep of which a few words are changed. A
+fingerprint within RADIUS = 31 bits of another differs from it by at most one bit in at
+least one of 16 blocks of 16 bits. So there is a table for each block, the fingerprint
+permuted so that the block leads, keyed by that block; a fingerprint asked for looks in
+each table under its own key and those one bit away, and what it meets is verified by the
+full distance. Copies, of equal fingerprint, are one row of each table. As keys have 16
+bits, 0.4% of unrelated pairs are compared.
 
 Defined results: a null text is empty; a text without words has fingerprint zero; rows
 of equal doc_id are ordered by their texts; a null doc_id comes first. In a table of one
@@ -24,18 +27,23 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ranged, text_or_empty, written
+from .common import ranged, tasks, text_or_empty, written
 
 BITS = 256
 WORDS = 3  # of a term
 LONG, SHORT = 40, 8
-RADIUS = 7  # bits in which fingerprints found by search may differ
+RADIUS = 31  # bits in which fingerprints found by search may differ
+BLOCKS = 16  # tables of the search
+GROUP = 1 << 12  # fingerprints of a table's key that are compared in one piece
+_SUMS = 1 << 13  # sums of a batch
 _VOTES = 1 << 13  # terms that vote at once
 
 
@@ -164,43 +172,113 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return done.unionByName(last)
 
 
-def _block(fp: Column, number: int, radius: int) -> Column:
-    """Key of the table of a block: the bytes that lead once the fingerprint is permuted."""
-    size = BITS // 8 // (radius + 1)
-    return F.substring(fp, number * size + 1, size)
+def _least_changes(radius: int) -> list[int]:
+    """For each block, a number of bits such that a pair within the radius is within it in one block.
+
+    The numbers plus 1 add up to radius + 1: were a pair further apart in every block, it
+    would differ in more bits than the radius. -1 leaves a block out.
+    """
+    share, more = divmod(radius + 1, BLOCKS)
+    return [share - (i >= more) for i in range(BLOCKS)]
+
+
+def _block(fp: Column, number: int) -> Column:
+    """Key of the table of a block: the bits that lead once the fingerprint is permuted."""
+    size = BITS // 8 // BLOCKS
+    return F.conv(F.hex(F.substring(fp, number * size + 1, size)), 16, 10).cast("int")
+
+
+def _table(prints: DataFrame, number: int, bits: int) -> DataFrame:
+    """block, key, fp: of each fingerprint, the keys that differ from its own in `bits` bits at most."""
+    width = BITS // BLOCKS
+    changes = [sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(width), n)]
+    masks = F.split(F.lit(",".join(map(str, changes))), ",").cast("array<int>")
+    keyed = prints.select("fp", _block(F.col("fp"), number).alias("own"))
+    return keyed.select(
+        F.lit(number).alias("block"), F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("key"), "fp"
+    )
+
+
+def _met(prints: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
+    """block, key, chunk, asked, fp, copies: the rows of both sides, dealt and sorted so that what meets is together.
+
+    A key of more than GROUP fingerprints is dealt to chunks; those asked go to each.
+    """
+    used = [(i, t) for i, t in enumerate(_least_changes(radius)) if t >= 0]
+    keys = F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("key")) for i, _ in used))
+    rows = prints.select(F.explode(keys).alias("k"), "fp", "copies").select("k.block", "k.key", "fp", "copies")
+    # Only keys of many fingerprints are listed: at most a row for GROUP rows of the tables.
+    large = rows.groupBy("block", "key").count().where(F.col("count") > GROUP).select(
+        "block", "key", F.ceil(F.col("count") / GROUP).cast("int").alias("c")
+    )
+    large = written(large, "large-blocks")
+    probes = reduce(DataFrame.unionByName, (_table(asked, i, t) for i, t in used))
+
+    def chunks(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(large), ["block", "key"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
+
+    ours = chunks(rows).select(
+        "block", "key", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int").alias("chunk"),
+        F.lit(False).alias("asked"), "fp", "copies",
+    )
+    theirs = chunks(probes).select(
+        "block", "key", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"),
+        F.lit(True).alias("asked"), "fp", F.lit(0).cast("long").alias("copies"),
+    )
+    order = ["block", "key", "chunk"]
+    n = tasks(prints.sparkSession)
+    return ours.unionByName(theirs).repartition(n, *order).sortWithinPartitions(*order, "asked")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple]:
+    """asked, fingerprints within the radius, their copies and distances, where each pair is met first.
+
+    What is held are the fingerprints of one chunk.
+    """
+    least = np.array(_least_changes(radius))
+    place, parts, held = None, [], None
+    for batch in batches:
+        sides, copies = batch.column(3).to_pylist(), batch.column(5).to_numpy()
+        places = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+        prints = _matrix(batch.column(4))
+        at = 0
+        while at < len(places):
+            end = at + 1
+            while end < len(places) and places[end] == places[at] and sides[end] == sides[at]:
+                end += 1
+            if places[at] != place:
+                place, parts, held = places[at], [], None
+            if not sides[at]:
+                parts.append((prints[at:end], copies[at:end]))
+            elif parts:
+                if held is None:
+                    held = tuple(np.concatenate(c) for c in zip(*parts))
+                for q in prints[at:end]:
+                    changed = np.bitwise_count(held[0] ^ q)
+                    distance = changed.sum(axis=1, dtype=np.int64)
+                    keep = np.flatnonzero(distance <= radius)
+                    if len(keep):
+                        blocks = changed[keep].reshape(len(keep), BLOCKS, -1).sum(axis=2, dtype=np.int64)
+                        keep = keep[(blocks <= least).argmax(axis=1) == place[0]]
+                    if len(keep):
+                        yield q.tobytes(), held[0][keep], held[1][keep], distance[keep]
+            at = end
 
 
 def within_radius(prints: DataFrame, asked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """asked, found, distance: for each fingerprint `asked`, all of `prints` within the radius.
 
-    Both have a binary column `fp`; give each fingerprint once. Blocks are whole bytes, so
-    radius + 1 must divide the bytes of a fingerprint.
+    Both have a binary column `fp`; give each fingerprint once.
     """
-    if BITS // 8 % (radius + 1):
-        raise ValueError("the radius must leave blocks of whole bytes")
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*(_block(F.col("fp"), i, radius) for i in range(radius + 1)))
-        return df.select(F.col("fp").alias(name), F.posexplode(keys).alias("block", "key"))
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (_matrix(batch.column(i)) for i in (0, 1))
-            changed = np.bitwise_count(a ^ b)
-            size = BITS // 8 // (radius + 1)
-            distance = changed.sum(axis=1, dtype=np.int64)
-            blocks = changed.reshape(len(changed), radius + 1, size).sum(axis=2, dtype=np.int64)
-            first = (blocks == 0).argmax(axis=1)  # a pair counts in the first table that has it
-            keep = (distance <= radius) & (first == batch.column(2).to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, found, _, distance in _pairs(batches, radius):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)),
-                 pa.array(distance[keep], pa.int32())], names=["asked", "found", "distance"],
+                [pa.array([q] * len(found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()),
+                 pa.array(distance, pa.int32())], names=["asked", "found", "distance"],
             )
 
-    met = tables(asked, "asked").join(tables(prints, "found"), ["block", "key"])
-    return met.select("asked", "found", "block").mapInArrow(
-        differ, "asked binary, found binary, distance int"
-    )
+    met = _met(prints.select("fp", F.lit(1).cast("long").alias("copies")), asked.select("fp"), radius)
+    return met.mapInArrow(run, "asked binary, found binary, distance int")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -210,13 +288,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def near_counts(made: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
     """`made` with n_near: documents within the radius of those `asked` for, the row itself included.
 
-    Null for rows that are not asked.
+    Null for rows that are not asked. No row is made for a pair: a chunk gives a sum for each
+    fingerprint that is asked there.
     """
     classes = written(made.groupBy("fp").agg(F.count("*").alias("copies")), "fingerprint-classes")
     queries = made.where(asked).select("fp").distinct()
-    found = within_radius(classes.select("fp"), queries, radius)
-    near = found.join(classes.withColumnRenamed("fp", "found"), "found").groupBy("asked").agg(
-        F.sum("copies").alias("near")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[tuple[bytes, int]] = []
+        for q, _, copies, _ in _pairs(batches, radius):
+            sums.append((q, int(copies.sum())))
+            if len(sums) == _SUMS:
+                yield _as_sums(sums)
+                sums = []
+        yield _as_sums(sums)
+
+    found = _met(classes, queries, radius).mapInArrow(run, "asked binary, near long")
+    near = found.groupBy("asked").agg(F.sum("near").alias("near"))
     joined = made.join(near, made["fp"] == near["asked"], "left")
     return joined.select(*made.columns, F.when(asked, F.col("near")).alias("n_near"))
+
+
+def _as_sums(sums: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    columns = [pa.array([q for q, _ in sums], pa.binary()), pa.array([n for _, n in sums], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["asked", "near"])
