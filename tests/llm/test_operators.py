@@ -454,6 +454,30 @@ def test_lattice(spark, texts):
             assert sum(score[x] for x in rows[i].ids) == pytest.approx(want)
 
 
+def test_lattice_of_long_words(spark, monkeypatch):
+    import math
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = lattice.Pieces.load(path)
+    table = {p: (i, -math.log(k + 2)) for p, i, k in pieces.rows}
+    rng = random.Random(14)
+    long = ["information" * 200, "".join(rng.choice("的是不了在人有我他这") for _ in range(3000)),
+            "".join(rng.choice("ABCDEFabcdefgh0123456789+/é\U0001f600") for _ in range(2000)), "x" * 127 + "ing" * 40]
+    score = {i: s for i, s in table.values()}
+    rows = {r.doc_id: r for r in lattice.encode(frame(spark, long), path).collect()}
+    for i, t in enumerate(long):
+        whole, ids = best_way("▁" + t, table, pieces.byte_ids)
+        assert rows[i].decoded == t
+        assert len(rows[i].ids) == len(ids) and sum(score.get(x, 0.0) for x in rows[i].ids) == pytest.approx(sum(score.get(x, 0.0) for x in ids))
+    words = ["".join(rng.choice("▁abcdeinogtz的é\U0001f600") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    docs = frame(spark, words)
+    want = {r.doc_id: r.ids for r in lattice.encode(docs, path).collect()}
+    monkeypatch.setattr(lattice, "JOINED", 0)
+    assert {r.doc_id: r.ids for r in lattice.encode(docs, path).collect()} == want
+
+
 def test_licences(spark):
     rng = random.Random(9)
     plain = [sentence(rng, 15) for _ in range(120)]

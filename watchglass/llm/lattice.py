@@ -1,8 +1,8 @@
 """Encoding with the pieces of a SentencePiece vocabulary, as joins over a lattice of substrings.
 
 A text gets a space in front, spaces become U+2581, and it is cut before each run of that
-character into words; words of more than LONGEST code points are cut there too. Each
-distinct word is encoded once: its substrings up to the longest piece are exploded and
+character into words, nowhere else: no piece goes on behind such a place. Each distinct
+word is encoded once: its substrings up to the longest piece are exploded and
 equi-joined to the piece table, a fixed vocabulary; those found are the edges of a lattice
 over the word's places. Edges are grouped by word and end, and folded by Spark's
 aggregate: the best way to a place is the best of the ways to the edges' starts plus the
@@ -13,6 +13,10 @@ The file holds merge ranks, not probabilities. An edge scores -ln(rank + 2), the
 probability that Zipf's law gives to the rank, so that the best way has few and frequent
 pieces.
 
+A word of more than JOINED code points, as in texts without spaces, would repeat itself in
+too many rows and collect its whole lattice in one. Its lattice is folded the same way, from
+place to place, in Arrow batches, and holds a few numbers per code point.
+
 Encoded words are joined to their places in the documents and put together by document.
 Decoding looks ids up in the table of the pieces' bytes.
 
@@ -22,15 +26,18 @@ by a number within the text's partition, and stay separate.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import text_or_empty, written
 
 SPACE = "▁"
-LONGEST = 128  # code points of a word
+LONGEST = (1 << 31) - 1  # code points of a word, more than a text can have: none is cut
+JOINED = 128  # code points of the longest words whose lattice is made by joins
 _UNKNOWN = -30.0  # score of a code point that is no piece, under any piece's
 
 
@@ -67,12 +74,59 @@ class Pieces:
 def word_array(text: Column) -> Column:
     """The words of a text, in order."""
     whole = F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)))
-    cut = F.split(whole, f"(?<=[^{SPACE}])(?={SPACE})|(?<=\\G(?s:.{{{LONGEST}}}))")
+    cut = F.split(whole, f"(?<=[^{SPACE}])(?={SPACE})")
     return F.filter(cut, lambda w: w != "")
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, ids: of the distinct texts `word`."""
+    long = F.char_length("word") > JOINED
+    return _encode_joined(words.where(~long), pieces).unionByName(_encode_folded(words.where(long), pieces))
+
+
+def best_way(word: str, known: dict[str, tuple[int, float]], ends: dict[str, list[int]], byte_ids: list[int]) -> list[int]:
+    """The ids of a word; `ends` has the lengths of the pieces that end in a code point, longest first."""
+    scores, backs, n = [0.0], [0], len(word)
+    for end in range(1, n + 1):
+        best, back = None, end - 1
+        for size in ends.get(word[end - 1], ()):
+            if size <= end and (found := known.get(word[end - size : end])) is not None:
+                total = scores[end - size] + found[1]
+                if best is None or total > best:
+                    best, back = total, end - size
+        if word[end - 1] not in known:
+            total = scores[end - 1] + _UNKNOWN
+            if best is None or total > best:
+                best, back = total, end - 1
+        scores.append(best)
+        backs.append(back)
+    out, at = [], n
+    while at:
+        piece = word[backs[at] : at]
+        found = known.get(piece)
+        out.append([found[0]] if found else [byte_ids[b] for b in piece.encode()])
+        at = backs[at]
+    return [x for ids in reversed(out) for x in ids]
+
+
+def _encode_folded(words: DataFrame, pieces: Pieces) -> DataFrame:
+    # The vocabulary's rows, whatever the data; Spark's own scores, so that ties are the same.
+    known = {r.piece: (r.id, r.score) for r in pieces.table(words.sparkSession).collect()}
+    lengths: dict[str, set[int]] = {}
+    for p in known:
+        lengths.setdefault(p[-1], set()).add(len(p))
+    ends = {c: sorted(found, reverse=True) for c, found in lengths.items()}
+    byte_ids = pieces.byte_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [best_way(w, known, ends, byte_ids) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
+def _encode_joined(words: DataFrame, pieces: Pieces) -> DataFrame:
     spark = words.sparkSession
     table = F.broadcast(pieces.table(spark))
     longest = max(len(p) for p, _, _ in pieces.rows)
