@@ -553,3 +553,19 @@ def test_null_and_repeated_doc_ids(spark, texts, tokenizer):
     assert sum(r.length for r in packing.pack(docs, tokenizer).collect()) == sum(len(ids_of(tokenizer, t)) for t in rows)
     left = line_dedup.drop_lines(docs).collect()
     assert [r.text for r in left if r.doc_id is None] == [texts[0]]
+
+
+def test_documents_that_share_a_doc_id_stay_apart(spark):
+    rng = random.Random(15)
+    a, b, c, d, e, f = (sentence(rng, 20, 5000) for _ in range(6))
+    rows = [f"{a}\n{b}", f"{c}\n{b}", f"{d}\n{e}", f"{d}\n{f}"]
+    for ids in ([None] * 4, [7, 7, 8, 8]):
+        got = [r.text for r in line_dedup.drop_lines(frame(spark, rows, ids).coalesce(1)).collect()]
+        assert sorted(got) == sorted([f"{a}\n{b}", c, f"{d}\n{e}", f])
+        flags = line_dedup.match_lines(frame(spark, rows, ids)).collect()
+        assert sum(r.removed for r in flags) == 2 and len(flags) == 8
+    for ids in ([None] * 5, [7, 7, 7, 8, None]):
+        docs = frame(spark, [a, a, b, c, c], ids)
+        assert sorted(r.text for r in simhash_dedup.drop_near_duplicates(docs).collect()) == sorted([a, b, c])
+    kept = simhash_dedup.drop_near_duplicates(frame(spark, [c, c], [None, 8])).collect()
+    assert [r.doc_id for r in kept] == [8]

@@ -33,6 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number of the row in ROW, written so that every reader sees the same numbers."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for work whose cost does not show in its bytes, which Spark must not coalesce."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,9 @@
 An exact set-similarity join with built-in functions only. A line's tokens are its
 distinct words in lower case. Lines of equal token sets form a class. Two classes are
 linked if the Jaccard similarity of their token sets is at least 4/5. A line goes if an
-earlier line, in order of (doc_id, line number), is in its class or in a linked one.
+earlier line, in order of (doc_id, row, line number), is in its class or in a linked one.
+Rows are numbered once, in a written table, so that documents which share a doc_id, or
+have none, stay apart.
 
 The join is the usual one of prefix, length and positional filters: tokens are ordered
 by rarity, two sets can only be linked if the rarest fifth of their tokens meet, their
@@ -17,15 +19,15 @@ with its number of links. So a large group of near copies costs comparisons, in
 memory and on many tasks, but no rows.
 
 Defined results: a null text has no lines; a line without words is never removed and
-has no class; rows of equal doc_id and line number are one place, so that neither
-removes the other; a null doc_id comes before all others.
+has no class; rows of equal doc_id are ordered by their numbers, which follow the input's
+partitions; a null doc_id comes before all others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import tasks, written
+from .common import ROW, numbered, tasks, written
 
 NUM, DEN = 4, 5  # the similarity from which lines are linked, as a fraction
 BUCKETS = 1 << 16  # of the table of token counts that orders tokens by rarity
@@ -45,9 +47,10 @@ def hashes(line: Column) -> Column:
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_no, line: a row per line; a null doc_id is NO_ID here."""
+    """doc_id, row, line_no, line: a row per line; a null doc_id is NO_ID here."""
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), row.alias("row"),
         F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"),
     )
 
@@ -195,20 +198,25 @@ def match_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     class_doc and class_line are the first line of the class, copies its lines, n_links
     the classes linked to it.
     """
+    return _matched(docs, text).drop("row")
+
+
+def _matched(docs: DataFrame, text: str) -> DataFrame:
+    """match_lines and `row`, which is the column ROW of `docs` if there is one."""
     lines = split_lines(docs, text)
     levels = rarity(lines)
     ranked = lines.withColumn("ranks", ranks(F.col("line"), levels))
     n = F.size("ranks")
     slim = written(
         ranked.select(
-            "doc_id", "line_no", n.alias("n"),
+            "doc_id", "row", "line_no", n.alias("n"),
             F.when(n > 0, F.xxhash64("ranks", "ranks")).alias("key"),
             F.slice("ranks", F.lit(1), F.greatest(prefix_size(n), F.lit(1))).alias("prefix"),
             signature(F.col("ranks")).alias("sig"),
         ),
         "lines",
     )
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "row", "line_no")
     classes = slim.where("key IS NOT NULL").groupBy("key").agg(
         F.min(place).alias("first"), F.count("*").alias("copies"),
         F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sig").alias("sig"),
@@ -234,7 +242,7 @@ def match_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     links = _links(candidates.join(sets, "key"))
     facts = classes.select("key", "first", "copies").join(links, "key", "left")
     return slim.join(facts, "key", "left").select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "line_no",
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", "line_no",
         F.nullif("first.doc_id", F.lit(NO_ID)).alias("class_doc"), F.col("first.line_no").alias("class_line"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -248,9 +256,10 @@ def drop_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     Other columns stay as they are, a column n_chars follows the text. A document that
     had no words to begin with stays.
     """
-    flags = match_lines(docs, text)
-    gone = flags.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    rows = numbered(docs)
+    flags = _matched(rows, text)
+    gone = flags.where("removed").groupBy(F.col("row").alias(ROW)).agg(F.collect_set("line_no").alias("__gone"))
+    joined = rows.join(gone, ROW, "left")
     kept = F.filter(
         F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("__gone"), i)
     )

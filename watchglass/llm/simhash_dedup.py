@@ -15,7 +15,8 @@ gives as many rows as it has members, and the components are the same.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others;
 rows without doc_id take part and count for a component's smallest doc_id only if there
-is another.
+is no other. Of rows that share the smallest doc_id, the first one stays when near
+duplicates are dropped.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import tasks, text_or_empty, written
+from .common import ROW, numbered, tasks, text_or_empty, written
 from .graph import components
 
 WORDS = 4  # in a shingle
@@ -215,17 +216,24 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, bits: int = BITS) ->
     if words != WORDS or bits != BITS:
         raise ValueError("anchors are laid for shingles of 4 words and 4 bits")
     prints = written(with_fingerprint(docs.select("doc_id", "text")), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = _with_root(prints, F.min("doc_id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def _with_root(prints: DataFrame, least: Column) -> DataFrame:
+    """fp, root, least: a row per distinct fingerprint."""
+    classes = prints.groupBy("fp").agg(least.alias("least"))
     rooted = classes.join(component_roots(classes), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    rooted = written(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    return written(rooted, "roots")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, that of the smallest doc_id."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """`docs` with one row of each component, the first of the smallest doc_id."""
+    rows = numbered(docs)
+    prints = written(with_fingerprint(rows.select("doc_id", ROW, "text")), "prints")
+    rooted = _with_root(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
