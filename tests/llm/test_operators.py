@@ -495,6 +495,37 @@ def test_licences(spark):
         assert got[i].families == ([marked[i][0]] if i in marked else [])
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    rng = random.Random(16)
+    plain = [sentence(rng, 15) for _ in range(120)]
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    )
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."
+    )
+    mit = (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        " IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    )
+    wrap = lambda t, lead: "\n".join(lead + x for x in textwrap.wrap(t, 38))
+    marked = [
+        ("Apache-2.0", f"#!/bin/sh\n#\n{wrap(apache, '# ')}\n#\n{plain[0]}"), ("GPL-3.0", f"/*\n{wrap(gpl, ' * ')}\n */\n{plain[1]}"),
+        ("MIT", f"{plain[2]}\n\n{wrap(mit, '')}\n\n{plain[3]}"),
+        ("GPL-3.0", "\n".join([*plain[:21], wrap(gpl, ""), *plain[21:40]])),
+    ]
+    got = {r.doc_id: r for r in licences.document_licences(frame(spark, [*plain, *(t for _, t in marked)])).collect()}
+    assert [got[120 + i].families for i in range(4)] == [[f] for f, _ in marked]
+    assert all(got[i].families == [] for i in range(120))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(500, 8)) * rng.uniform(0.5, 2, size=(500, 1))
