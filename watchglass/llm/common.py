@@ -41,6 +41,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like `wanted` that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for work whose cost does not show in its bytes, which Spark must not coalesce."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
