@@ -32,4 +32,4 @@ def test_stages(spark):
 def test_registered():
     known = entry.queries()
     assert set(catalogue.QUERIES) | {"pipeline"} <= set(known)
-    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.QUERIES) == list(range(1, 14))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, arrow_output, fingerprints, lattice, licences, line_dedup, packing, pii, simhash_dedup, toxicity
+from . import (
+    ann, arrow_output, conversation_repair, exact_dedup, fingerprints, lattice, licences, line_dedup, merkle, packing, pii,
+    simhash_dedup, toxicity,
+)
 from .common import table, written
 
 
@@ -70,6 +73,22 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows)[1]
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text_now = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, text_now=text_now)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -81,7 +100,19 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_licences": op9_licences,
     "op10_ann": op10_ann,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-#: None of these can be put into SQL that ends on whole tables; tests hold them against brute force.
-SQL: dict[str, str] = {}
+#: The others cannot be put into SQL that ends on whole tables; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op12_exact_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+            row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+        FROM texts WINDOW w AS (PARTITION BY t)
+    """,
+}
