@@ -55,6 +55,74 @@ def test_rollover_moves_a_day_and_those_missed(spark, hot, tmp_path):
         tiers.rollover(spark, hot, cold, TODAY, age_days=14)
 
 
+def counts(spark, hot, cold):
+    first, last = TODAY - dt.timedelta(days=40), TODAY
+    return (
+        tiers.scan_hot(spark, hot, first, last, cold_path=cold).count(), tiers.scan_cold(spark, cold, first, last).count()
+    )
+
+
+def test_a_second_rollover_adds(spark, hot, tmp_path):
+    cold = str(tmp_path / "cold")
+    assert tiers.rollover(spark, hot, cold, TODAY) == 35
+    day = TODAY - dt.timedelta(days=13)
+    more = parse_events(spark.createDataFrame([(json.dumps({"n": 1000 + i}), day) for i in range(3)], "value string, day date"))
+    sinks.append_events(more, hot, time="day")
+    assert tiers.expire(spark, hot, TODAY, 10, exported_to=cold) == []  # it holds rows that were not exported
+    assert tiers.rollover(spark, hot, cold, TODAY) == 3
+    assert tiers.scan_cold(spark, cold, day, day).count() == 8 and counts(spark, hot, cold) == (65, 38)
+    assert tiers.pending_moves(spark, cold) == [] and not any((tmp_path / "cold" / "_staging").iterdir())
+
+
+@pytest.mark.parametrize("published,deleted", [(0, 0), (1, 0), (2, 1), (2, 2)])
+def test_a_move_that_stops_is_finished_by_the_next(spark, hot, tmp_path, published, deleted):
+    """At every stop each row is there once, in one tier."""
+    cold, day = str(tmp_path / "cold"), TODAY - dt.timedelta(days=13)
+    for i in range(2):
+        more = parse_events(spark.createDataFrame([(json.dumps({"n": i}), day)], "value string, day date"))
+        sinks.append_events(more, hot, time="day")
+    tiers.rollover(spark, hot, cold, TODAY - dt.timedelta(days=1))  # the days before
+    move = tiers.stage_move(spark, hot, cold, day, files=2)
+    assert (move.rows, len(move.cold)) == (7, 2) and counts(spark, hot, cold) == (72, 30)
+    tiers.commit_move(spark, cold, move)
+    assert counts(spark, hot, cold) == (65, 37)
+    (tmp_path / "cold" / f"dt={day}").mkdir(exist_ok=True)
+    for name in move.cold[:published]:
+        (tmp_path / "cold" / "_staging" / move.id / name).rename(tmp_path / "cold" / f"dt={day}" / name)
+    for name in move.hot[:deleted]:
+        (tmp_path / "hot" / name).unlink()
+    assert counts(spark, hot, cold) == (65, 37)
+    late = parse_events(spark.createDataFrame([(json.dumps({"n": 7}), day)], "value string, day date"))
+    sinks.append_events(late, hot, time="day")
+    assert tiers.rollover(spark, hot, cold, TODAY) == 1  # only what came meanwhile
+    assert counts(spark, hot, cold) == (65, 38) and tiers.pending_moves(spark, cold) == []
+    tiers.finish_move(spark, hot, cold, move)
+    assert counts(spark, hot, cold) == (65, 38)
+
+
+def test_a_move_that_was_not_committed_is_not_seen(spark, hot, tmp_path):
+    cold = str(tmp_path / "cold")
+    tiers.rollover(spark, hot, cold, TODAY)
+    tiers.stage_move(spark, hot, cold, TODAY)
+    assert counts(spark, hot, cold) == (65, 35)
+
+
+def test_odd_folders_are_reported(spark, hot, tmp_path):
+    (tmp_path / "hot" / "dt=__HIVE_DEFAULT_PARTITION__").mkdir()
+    assert tiers.odd_partitions(spark, hot) == ["dt=__HIVE_DEFAULT_PARTITION__"]
+    with pytest.warns(UserWarning, match="name no day"):
+        tiers.expire(spark, hot, TODAY, 14)
+
+
+def test_events_without_a_time(spark, tmp_path):
+    rows = parse_events(spark.createDataFrame([('{"n": 1}', TODAY), ('{"n": 2}', None), ("torn", None)], "value string, day date"))
+    with pytest.raises(Exception, match="no path for dead letters"):
+        sinks.append_events(rows, str(tmp_path / "a"), time="day")
+    sinks.append_events(rows, str(tmp_path / "b"), time="day", letters_path=str(tmp_path / "letters"))
+    assert tiers.scan_hot(spark, str(tmp_path / "b"), TODAY, TODAY).count() == 1
+    assert [r.event for r in spark.read.json(str(tmp_path / "letters")).collect()] == ['{"n":2}']
+
+
 def test_expire(spark, hot):
     dropped = tiers.expire(spark, hot, TODAY, tiers.HOT_RETENTION_DAYS)
     assert dropped == [TODAY - dt.timedelta(days=d) for d in (19, 18, 17, 16, 15)]
