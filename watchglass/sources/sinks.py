@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schema import ALERT_COLUMNS
 
+REASON_NO_TIME = "event without a time"
+
 
 def encode_alerts(alerts: DataFrame) -> DataFrame:
     """Alert rows with the two arrays as JSON text, as the alert table stores them."""
@@ -50,15 +52,39 @@ def append_dead_letters(letters: DataFrame, path: str) -> None:
     letters.write.mode("append").json(path)
 
 
-def append_events(events: DataFrame, path: str, time: str = "ingest_time") -> None:
-    """Append parsed events to the hot table, one folder per day."""
-    (
-        events.where(F.col("data").isNotNull())
-        .select("data", F.to_date(time).alias("dt"))
-        .write.mode("append").partitionBy("dt").parquet(path)
+def dated_events(events: DataFrame, time: str, letters_path: str | None) -> DataFrame:
+    """data and dt of parsed events, as the hot table stores them.
+
+    An event without a time belongs to no day. Both writers of the hot table either send
+    it to the dead letters or, without a path for these, fail; none is lost silently.
+    """
+    day = F.to_date(time)
+    parsed = events.where(F.col("data").isNotNull())
+    if letters_path is None:
+        told = F.raise_error(F.lit(f"an event has no {time}, and there is no path for dead letters")).cast("date")
+        return parsed.select("data", F.coalesce(day, told).alias("dt"))
+    return parsed.where(F.col(time).isNotNull()).select("data", day.alias("dt"))
+
+
+def no_time_letters(events: DataFrame, time: str) -> DataFrame:
+    """Dead letters for parsed events without a time."""
+    none = F.lit(None).cast("string")
+    return events.where(F.col("data").isNotNull() & F.col(time).isNull()).select(
+        F.lit(REASON_NO_TIME).alias("reason"), none.alias("rule_id"), F.to_json("data").alias("event"),
+        F.lit(f"the event has no {time}").alias("error"), none.alias("trace"),
     )
 
 
+def append_events(events: DataFrame, path: str, time: str = "ingest_time", letters_path: str | None = None) -> None:
+    """Append parsed events to the hot table, one folder per day; see `dated_events`."""
+    if letters_path is not None:
+        append_dead_letters(no_time_letters(events, time), letters_path)
+    dated_events(events, time, letters_path).write.mode("append").partitionBy("dt").parquet(path)
+
+
 def backup_alerts(alerts: DataFrame, path: str) -> None:
-    """Alerts as gzip-compressed JSON lines."""
-    alerts.write.mode("overwrite").option("compression", "gzip").json(path)
+    """Alerts as gzip-compressed JSON lines, times to the microsecond."""
+    (
+        alerts.write.mode("overwrite").option("compression", "gzip")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    )
