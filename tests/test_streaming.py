@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -146,21 +147,99 @@ def test_detection_and_raw_events_are_separate_queries(spark, tmp_path):
     assert len(dropped) == len(days) == 1
 
 
-def test_open_windows_can_be_flushed(spark, source, tmp_path):
+@pytest.mark.parametrize("names", [["count", "values", "both", "order", "p95"], ["count", "nested"]])
+def test_open_windows_are_read_from_the_state(spark, source, tmp_path, names):
     ev, path = source
-    rs = ruleset_from_dicts([*RULES, SPECS["both"]])
-    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "00*").parquet(path)
-    out = sc.correlate_stream(stream, rs)
-    (out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
-    emitted = spark.read.parquet(str(tmp_path / "out"))
-    rest = detect.flush_open_windows(ev, rs, emitted, FieldMap())
+    rs = ruleset_from_dicts([*RULES, *(SPECS[n] for n in names)])
+    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "00*").option("maxFilesPerTrigger", 1).parquet(path)
+    out = str(tmp_path / "out")
+    for q in detect.start_correlations(
+        stream, rs, str(tmp_path / "cp"), lambda df, i: df.write.mode("append").parquet(out), fields=FieldMap(),
+        trigger={"availableNow": True},
+    ):
+        q.awaitTermination()
+    emitted = spark.read.parquet(out)
+    rest = detect.flush_open_windows(spark, rs, str(tmp_path / "cp"))
     assert rest.count() > 0
-    assert emitted.count() + rest.count() == batch.correlate(ev, rs).count()
-    recent = detect.flush_open_windows(
-        ev, rs, emitted, FieldMap(), since=dt.datetime(2024, 1, 29, tzinfo=dt.timezone.utc)
+    got = sorted(map(tuple, emitted.select(*COLUMNS).unionByName(rest.select(*COLUMNS)).collect()))
+    assert got == sorted(map(tuple, batch.correlate(ev, rs).select(*COLUMNS).collect()))
+    with pytest.raises(ValueError):
+        detect.flush_open_windows(spark, ruleset_from_dicts([*RULES, SPECS["order3"]]), str(tmp_path / "cp"))
+
+
+def test_all_window_lengths_share_one_source(spark, source):
+    from watchglass.plans.catalogue.streams import fan_out
+    from watchglass.plans.catalogue.common import EVENT_FIELDS
+
+    ev, path = source
+    stream = spark.readStream.schema(ev.schema).parquet(path)
+    plan = sc.correlate_stream(stream, fan_out(), EVENT_FIELDS)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("StreamingRelation") == 1 and len({c.window_seconds for c in fan_out().correlations}) >= 20
+
+
+def test_suppression_forgets_what_is_past(spark, source, tmp_path):
+    ev, path = source
+    rs = ruleset_from_dicts([*RULES, SPECS["count"]])
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    [q] = detect.start_correlations(
+        stream, rs, str(tmp_path / "cp"), lambda df, i: df.write.format("noop").mode("append").save(), fields=FieldMap(),
+        trigger={"availableNow": True},
     )
-    assert sorted(recent.collect()) == sorted(rest.collect())
+    q.awaitTermination()
+    rows = [
+        op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]
+        if op["operatorName"].startswith("transformWithState")
+    ]
+    assert max(rows) > 0 and rows[-1] == 0
+
+
+def test_late_events_become_letters(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for n, times in enumerate([["10", "20"], ["4000"], ["9000"], ["40", "50", "9100"], ["20000"], ["30000"], ["41"], ["50000"]]):
+        f = root / f"{n}.json"
+        f.write_text("".join(f'{{"k": "a", "u": "x", "timestamp": {t}}}\n' for t in times))
+        os.utime(f, (1_700_000_000 + 10 * n,) * 2)
+    events = attach_event_time(
+        stream_files(spark, str(root), files_per_trigger=1), F.expr("try_variant_get(data, '$.timestamp', 'string')")
+    )
+    rule = {"title": "a", "id": "a", "detection": {"s": {"k": "a"}, "condition": "s"}}
+    specs = [
+        {"title": t, "id": t, "type": "event_count", "rules": ["a"], "group-by": ["u"], "timespan": span, "condition": {"gte": 1}}
+        for t, span in (("hour", "1h"), ("day", "1d"))
+    ]
+    out, letters = str(tmp_path / "out"), str(tmp_path / "letters")
+    rs = ruleset_from_dicts([rule, *specs])
+    [q] = detect.start_correlations(
+        events, rs, str(tmp_path / "cp"), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"),
+        letters_path=letters, event="raw", trigger={"availableNow": True},
+    )
+    q.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    told = spark.read.option("recursiveFileLookup", "true").json(letters).collect()
+    # Only the hours had closed; the day's window was open.
+    assert sorted((r.rule_id, json.loads(r.event)["timestamp"]) for r in told) == [("hour", 40), ("hour", 41), ("hour", 50)]
+    assert dropped > 0 and {r.reason for r in told} == {detect.REASON_LATE}
+    assert [tuple(r) for r in detect.late_counts(spark.read.option("recursiveFileLookup", "true").json(letters)).collect()] == [("hour", 3)]
+
+
+def test_raw_events_without_a_time_become_letters(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.json").write_text('{"n": 1}\n{"n": 2}\nnot json\n')
+    events = stream_files(spark, str(root)).withColumn(
+        "ingest_time", F.when(F.expr("try_variant_get(data, '$.n', 'int') = 1"), F.lit("2024-03-05 10:00:00").cast("timestamp"))
+    )
+    now = {"availableNow": True}
+    hot, letters = str(tmp_path / "hot"), str(tmp_path / "letters")
+    detect.start_raw_events(events, hot, str(tmp_path / "c1"), letters_path=letters, trigger=now).awaitTermination()
+    assert tiers.scan_hot(spark, hot, "2000-01-01", "2100-01-01").count() == 1
+    assert tiers.odd_partitions(spark, hot) == []
+    assert [(r.reason, r.event) for r in spark.read.option("recursiveFileLookup", "true").json(letters).collect()] == [
+        (sinks.REASON_NO_TIME, '{"n":2}')
+    ]
+    with pytest.raises(Exception, match="no path for dead letters"):
+        detect.start_raw_events(events, hot, str(tmp_path / "c2"), trigger=now).awaitTermination()
 
 
 def test_repeated_messages_are_dropped(spark, tmp_path):

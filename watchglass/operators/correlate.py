@@ -70,13 +70,14 @@ def correlation_rows(
     time: str = "event_time",
     default_case: str = "insensitive",
     drop_missing_keys: bool = False,
+    event: str | None = None,
 ) -> DataFrame:
     """(event_time, us, c, k, v, x, o, m, b1, b2, size): one row per event and correlation.
 
     c is the position in `correlations`, k the key, v the counted value, x the
     number a percentile is taken of, o the position of the first rule that
     matched, m the bit mask of all that did, b1 and b2 the `_below` tests, size
-    the window in seconds.
+    the window in seconds. `event` is SQL of a text of the event, which becomes the last column.
     """
     b = Binder(df, fields)
     used = list(dict.fromkeys(r for c in correlations for r in c.refs))
@@ -112,12 +113,13 @@ def correlation_rows(
             (w, [
                 f"{i} AS c", f"{key} AS k", f"{value} AS v", f"{x} AS x", f"{pos} AS o",
                 f"{m} AS m", f"{b1} AS b1", f"{b2} AS b2", f"{c.window_seconds}L AS size",
+                *(["__event AS event"] if event else []),
             ])
             for w, value, pos in rows
         ]
     ready = b.attach(_parsed(df, b)).where(F.col(time).isNotNull())
     flagged = ready.selectExpr(
-        f"{sql_ident(time)} AS __time", *b.helper_columns,
+        f"{sql_ident(time)} AS __time", *b.helper_columns, *([f"{event} AS __event"] if event else []),
         *(f"{tests[r]} AS {flag[r]}" for r in used),
     )
     times = ("__time AS event_time", "unix_micros(CAST(__time AS TIMESTAMP)) AS us")
@@ -142,16 +144,17 @@ class Needs:
     distinct: bool
     mask: bool
     order: bool
-    percentile: bool
+    percentile: str  # the limits that percentiles have: 1 the lower one, 2 the upper one
 
     @classmethod
     def of(cls, correlations: Sequence[Correlation]) -> "Needs":
         kinds = {c.kind for c in correlations}
+        bounds = [c.bounds for c in correlations if c.kind == "percentile"]
         return cls(
             any(counts_distinct(c) for c in correlations),
             bool(kinds & {"temporal", "temporal_ordered"}),
             "temporal_ordered" in kinds,
-            "percentile" in kinds,
+            "1" * any(b.lo > float("-inf") for b in bounds) + "2" * any(b.hi < float("inf") for b in bounds),
         )
 
 
@@ -165,14 +168,13 @@ def measures(needs: Needs, last: Column | None) -> list[Column]:
             F.min(F.when(F.col("o") == 0, F.col("us"))).alias("lo_us"),
             F.max(F.when(F.col("o") == last, F.col("us"))).alias("hi_us"),
         ]
-    if needs.percentile:
-        for i in ("1", "2"):
-            below = F.col(f"b{i}")
-            out += [
-                F.count_if(below).alias(f"below{i}"),
-                F.max(F.when(below, F.col("x"))).alias(f"under{i}"),
-                F.min(F.when(~below, F.col("x"))).alias(f"over{i}"),
-            ]
+    for i in needs.percentile:
+        below = F.col(f"b{i}")
+        out += [
+            F.count_if(below).alias(f"below{i}"),
+            F.max(F.when(below, F.col("x"))).alias(f"under{i}"),
+            F.min(F.when(~below, F.col("x"))).alias(f"over{i}"),
+        ]
     return out
 
 

@@ -1,4 +1,9 @@
-"""STR*: the same correlations run as a stream over `events`, to its end."""
+"""STR*: the operators as streams over `events`, in several batches of files.
+
+The events are written, by time, into parts that the stream reads one by one, and the last
+parts hold rows far ahead that move the watermark past every window. What is compared is
+what the stream emits, nothing else; only `str_flush` reads open windows, from the state.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ...operators.rules import ruleset_from_dicts
-from ...streaming import correlate as sc
+from ...operators.rules import Ruleset, ruleset_from_dicts
 from ...streaming import detect
 from ..durable import checkpoint_dir
 from .common import EVENT_FIELDS, MATCHES_SQL, plain_times, rules, table
-from .correlations import BOTH, COUNT, KIND_RULES, VALUES, _COUNT_SQL, _FAN, shown
+from .correlations import (
+    ANY_OF, BOTH, COUNT, KIND_RULES, ORDER, ORDER3, P95, VALUES, _COUNT_SQL, _FAN, _NESTED, _ORDER3_SQL,
+    correlation, framed, greedy_sql, per_user, shown,
+)
+
+FILES = 2  # of a part, which is what one batch reads
+NOW = {"availableNow": True}
+LETTERS = "reason string, rule_id string, event string, error string, trace string"
+LATE = "event_id % 10 = 0 AND day(ts) < 8"  # rows that the late parts hold back
 
 
 def stream_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,38 +34,177 @@ def stream_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _parts(spark: SparkSession, sf: str, root: str, *parts: DataFrame) -> DataFrame:
+    """A stream that reads the parts in order, a part a batch."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for n, part in enumerate(parts):
+        target = f"{root}/in/part={n}"
+        part.repartition(FILES).write.parquet(target)
+        folder = jvm.org.apache.hadoop.fs.Path(target)
+        fs = folder.getFileSystem(conf)
+        for status in fs.listStatus(folder):  # the source reads files in order of their times
+            fs.setTimes(status.getPath(), 1_700_000_000_000 + 60_000 * n, -1)
+    return (
+        spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", FILES)
+        .option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        .withColumn("event_time", F.col("ts").cast("timestamp"))
+    )
+
+
+def _by_time(spark: SparkSession, sf: str, edges=(1, 8, 15, 23, 32)) -> list[DataFrame]:
+    ev = table(spark, sf, "events")
+    return [ev.where(f"day(ts) >= {a} AND day(ts) < {b}") for a, b in zip(edges, edges[1:])]
+
+
+def _sentinels(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Rows of no rule, years ahead: a row per file, so that a batch reads a part whole."""
+    ev = table(spark, sf, "events")
+    first = ev.groupBy().agg(F.min_by(F.struct(*ev.columns), "event_id").alias("e")).select("e.*")
+    return [
+        first.withColumns({
+            "ts": F.lit(f"{year}-01-01").cast(ev.schema["ts"].dataType), "event_type": F.lit("end"),
+            "user_id": F.lit(-1).cast("bigint"), "value": F.lit(0.0), "event_id": F.lit(-1).cast("bigint"),
+        }).withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(FILES)))).drop("_")
+        for year in (2040, 2041)
+    ]
+
+
+def _run(spark: SparkSession, source: DataFrame, rs: Ruleset, root: str, **options) -> DataFrame:
+    """What the correlations of a stream emit until its end."""
+    def write(micro, batch_id):
+        micro.write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
+
+    for q in detect.start_correlations(
+        source, rs, f"{root}/checkpoint", write, fields=EVENT_FIELDS, trigger=NOW, **options
+    ):
+        q.awaitTermination()
+    return spark.read.parquet(f"{root}/alerts")
+
+
 def _correlations(*specs):
     def run(spark, sf):
-        rs = ruleset_from_dicts([*KIND_RULES, *specs])
-        root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-        out = f"{root}/alerts"
-
-        def write(micro, batch_id):
-            micro.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-        for q in detect.start_correlations(
-            stream_events(spark, sf), rs, f"{root}/checkpoint", write, fields=EVENT_FIELDS,
-            trigger={"availableNow": True},
-        ):
-            q.awaitTermination()
-        emitted = spark.read.parquet(out)
-        # The last windows are still open in the stopped stream: flush them from the table.
-        stored = table(spark, sf, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
-        rest = detect.flush_open_windows(stored, rs, emitted, EVENT_FIELDS)
-        return shown(emitted.unionByName(rest, allowMissingColumns=True))
+        root, rs = _root(spark), ruleset_from_dicts([*KIND_RULES, *specs])
+        source = _parts(spark, sf, root, *_by_time(spark, sf), *_sentinels(spark, sf))
+        return shown(_run(spark, source, rs, root))
 
     return run
 
 
+def _late(spark, sf):
+    """A tenth of the first week comes last: letters, and alerts without them."""
+    root, rs = _root(spark), ruleset_from_dicts([*KIND_RULES, COUNT, VALUES])
+    parts = [p.where(f"NOT ({LATE})") for p in _by_time(spark, sf)]
+    source = _parts(spark, sf, root, *parts, table(spark, sf, "events").where(LATE), *_sentinels(spark, sf))
+    alerts = _run(spark, source, rs, root, letters_path=f"{root}/letters")
+    letters = spark.read.schema(LETTERS).option("recursiveFileLookup", "true").json(f"{root}/letters")
+    told = letters.select(
+        "reason", "rule_id", F.get_json_object("event", "$.event_id").alias("key"), F.lit(None).cast("bigint").alias("n"),
+    )
+    counts = detect.late_counts(letters).select(
+        F.lit("late rows").alias("reason"), "rule_id", F.lit("").alias("key"), F.col("late_rows").alias("n")
+    )
+    fired = alerts.select(
+        F.lit("alert").alias("reason"), "rule_id", F.col("correlation_key").alias("key"),
+        F.unix_seconds(F.col("window_start")).alias("n"),
+    )
+    return told.unionByName(counts).unionByName(fired)
+
+
+_ON_TIME = f"(SELECT * FROM events WHERE NOT ({LATE}))"
+_TOO_LATE = f"""SELECT 'cor-count' AS rule_id, event_id FROM events
+    WHERE {LATE} AND event_type = 'error' UNION ALL
+    SELECT 'cor-values', event_id FROM events
+    WHERE {LATE} AND event_type IN ('error', 'view', 'click')"""
+_LATE_SQL = f"""WITH late AS ({_TOO_LATE}),
+    fired AS ({_COUNT_SQL.replace('FROM events', f'FROM {_ON_TIME}')}
+        UNION ALL {_FAN[1].replace('FROM events', f'FROM {_ON_TIME}')})
+    SELECT 'event after its window' AS reason, rule_id, CAST(event_id AS VARCHAR) AS key, NULL::BIGINT AS n FROM late
+    UNION ALL SELECT 'late rows', rule_id, '', count(*) FROM late GROUP BY rule_id
+    UNION ALL SELECT 'alert', rule_id, correlation_key, CAST(epoch(window_start) AS BIGINT) FROM fired"""
+
+
+def _flush(spark, sf):
+    """A stream that ends in open windows: what it emitted, and what its state holds.
+
+    Some rows come too late for their windows, and suppression goes on across the end.
+    """
+    held = {**COUNT, "options": {"suppress_window_seconds": 1_000_000}}
+    nested = correlation("cor-nested", "event_count", ["cor-count"], "rule_id", "7d", {"gte": 4})
+    root, rs = _root(spark), ruleset_from_dicts([*KIND_RULES, held, VALUES, P95, nested])
+    parts = [p.where(f"NOT ({LATE})") for p in _by_time(spark, sf)]
+    source = _parts(spark, sf, root, *parts, table(spark, sf, "events").where(LATE))
+    emitted = _run(spark, source, rs, root)
+    rest = detect.flush_open_windows(spark, rs, f"{root}/checkpoint")
+    return shown(emitted.unionByName(rest, allowMissingColumns=True)).unionByName(
+        shown(rest.limit(1)).select(
+            F.lit("open windows were left").alias("rule_id"), F.lit(None).cast("string").alias("correlation_key"),
+            F.lit(None).cast("timestamp_ntz").alias("window_start"), F.lit(None).cast("timestamp_ntz").alias("window_end"),
+        )
+    )
+
+
+_FLUSH_COUNT = _COUNT_SQL.replace("FROM events", f"FROM {_ON_TIME}")
+_NESTED_FLUSH = framed(
+    "cor-nested", "'cor-count'", 604800,
+    "SELECT CAST(floor(epoch(window_end) / 604800) AS BIGINT) * 604800 AS w FROM counted GROUP BY 1 HAVING count(*) >= 4",
+)
+_FLUSH_SQL = f"""WITH counted AS ({_FLUSH_COUNT}), spaced AS ({greedy_sql(_FLUSH_COUNT, 1_000_000)})
+    SELECT * FROM spaced UNION ALL {_FAN[1].replace('FROM events', f'FROM {_ON_TIME}')}
+    UNION ALL {_FAN[4].replace('FROM events', f'FROM {_ON_TIME}')} UNION ALL {_NESTED_FLUSH}
+    UNION ALL SELECT 'open windows were left', NULL, NULL, NULL"""
+
+_HOURS = (1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 16, 18, 20, 24, 30, 36, 40, 45, 48)
+_SPANS = [
+    correlation(f"cor-{h}h", "event_count", ["is-error", "is-view"], "user", f"{h}h", {"gte": 2}) for h in _HOURS
+]
+
+
+def fan_out() -> Ruleset:
+    """Correlations of twenty window lengths and of all measures, over one source."""
+    return ruleset_from_dicts([*KIND_RULES, *_SPANS, ANY_OF, VALUES, BOTH, ORDER, P95])
+
+
+_FAN_SQL = " UNION ALL ".join(
+    [per_user(f"cor-{h}h", 3600 * h, "event_type IN ('error', 'view')", "count(*) >= 2") for h in _HOURS]
+    + [f"({s})" for s in _FAN]
+)
+
+
+def _dedup(spark, sf):
+    """Every fourth message is delivered again in a later batch; rows of one id count once."""
+    root = _root(spark)
+    parts = _by_time(spark, sf, (1, 11, 21, 32))
+    again = [parts[0], *(p.unionByName(q.where("event_id % 4 = 0")) for p, q in zip(parts[1:], parts))]
+    source = _parts(spark, sf, root, *again)
+    once = detect.once_per_message(source, "event_id", "event_time", 40 * 86400).select("event_id", "event_type")
+    (
+        once.writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(**NOW).start().awaitTermination()
+    )
+    return spark.read.parquet(f"{root}/out")
+
+
 def _matches(spark, sf):
-    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = _root(spark)
     detect.start_detection(
-        stream_events(spark, sf), rules(), f"{root}/checkpoint", alerts_path=f"{root}/alerts",
-        fields=EVENT_FIELDS, fired_at=F.col("event_time"), trigger={"availableNow": True},
+        _parts(spark, sf, root, *_by_time(spark, sf)), rules(), f"{root}/checkpoint", alerts_path=f"{root}/alerts",
+        fields=EVENT_FIELDS, fired_at=F.col("event_time"), trigger=NOW,
     ).awaitTermination()
     return plain_times(spark.read.parquet(f"{root}/alerts").select("rule_id", "severity", "fired_at", "tags"))
 
 
+def _fan_out(spark, sf):
+    root = _root(spark)
+    source = _parts(spark, sf, root, *_by_time(spark, sf), *_sentinels(spark, sf))
+    return shown(_run(spark, source, fan_out(), root))
+
+
+_HELD = {**COUNT, "options": {"suppress_window_seconds": 259200}}
+
 QUERIES = {
     "str_matches": (
         _matches,
@@ -63,4 +214,16 @@ QUERIES = {
     "str_event_count": (_correlations(COUNT), _COUNT_SQL),
     "str_value_count": (_correlations(VALUES), _FAN[1]),
     "str_temporal": (_correlations(BOTH), _FAN[2]),
+    "str_ordered": (_correlations(ORDER), _FAN[3]),
+    "str_ordered3": (_correlations(ORDER3), framed("cor-order3", "CAST(user_id AS VARCHAR)", 604800, _ORDER3_SQL)),
+    "str_percentile": (_correlations(P95), _FAN[4]),
+    "str_nested": (
+        _correlations(COUNT, _NESTED),
+        f"WITH counted AS ({_COUNT_SQL}) SELECT * FROM counted UNION ALL {_NESTED_FLUSH}",
+    ),
+    "str_suppress": (_correlations(_HELD), greedy_sql(_COUNT_SQL, 259200)),
+    "str_fanout": (_fan_out, _FAN_SQL),
+    "str_late": (_late, _LATE_SQL),
+    "str_flush": (_flush, _FLUSH_SQL),
+    "str_dedup": (_dedup, "SELECT event_id, event_type FROM events"),
 }

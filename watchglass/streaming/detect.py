@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fields import FieldMap
 from ..operators import matching
-from ..operators.correlate import correlate
 from ..operators.rules import Ruleset
 from ..sources import sinks
-from .correlate import by_lateness, correlate_stream
+from .correlate import by_lateness, correlate_stream, late_candidates, open_windows, watermark_of
 
+REASON_LATE = "event after its window"
 DOCUMENT = FieldMap(document="data", raw="raw")
 
 
@@ -70,26 +71,27 @@ def start_detection(
 
 
 def start_raw_events(
-    events: DataFrame, path: str, checkpoint: str, *, time: str = "ingest_time", trigger: dict | None = None
+    events: DataFrame, path: str, checkpoint: str, *, time: str = "ingest_time",
+    letters_path: str | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Raw events to the hot table, with a checkpoint of their own.
 
     Each micro-batch is a folder of its own below the day, so a repeat overwrites
-    itself, and there is no log of files that a rollover would make stale. An
-    event without a time belongs to no day and is not stored here.
+    itself, and there is no log of files that a rollover would make stale. Events
+    without a time go to the dead letters; see `sinks.dated_events`.
     """
 
     def write(micro: DataFrame, batch_id: int) -> None:
         (
-            micro.withColumn("batch", F.lit(batch_id))
+            sinks.dated_events(micro, time, letters_path).withColumn("batch", F.lit(batch_id))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("dt", "batch").parquet(path)
         )
+        if letters_path is not None:
+            sinks.no_time_letters(micro, time).write.mode("overwrite").json(f"{letters_path}/batch={batch_id}")
 
     return (
-        events.where(F.col("data").isNotNull() & F.col(time).isNotNull())
-        .select("data", F.to_date(time).alias("dt"))
-        .writeStream.foreachBatch(write)
+        events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "60 seconds"}))
         .start()
@@ -104,21 +106,91 @@ def start_correlations(
     *,
     fields: FieldMap | None = DOCUMENT,
     time: str = "event_time",
+    letters_path: str | None = None,
+    event: str = "to_json(struct(*))",
     trigger: dict | None = None,
+    **options,
 ) -> list[StreamingQuery]:
-    """One query per allowed lateness; `write(alerts, batch_id)` gets each micro-batch."""
+    """One query per allowed lateness; `write(alerts, batch_id)` gets each micro-batch.
+
+    With `letters_path`, events that come after their window has closed, which the
+    aggregations leave out, are written there as dead letters, one per correlation they
+    would have counted for; `event` is SQL of the text that a letter carries. A batch
+    leaves out what lies behind the watermark of the batch before it, which the query's
+    own offset log holds; so a repeated batch writes the same letters in the same place.
+    """
     started = []
     for seconds, part in by_lateness(ruleset).items():
-        alerts = correlate_stream(events, part, fields, time=time, lateness_seconds=seconds)
-        started.append(
-            alerts.writeStream.foreachBatch(write).outputMode("append")
-            .option("checkpointLocation", f"{checkpoint}/lateness={seconds}")
-            .trigger(**(trigger or {"processingTime": "10 seconds"}))
-            .start()
-        )
+        own = f"{checkpoint}/lateness={seconds}"
+        out = correlate_stream(events, part, fields, time=time, lateness_seconds=seconds, **options)
+        each = write
+        if letters_path is not None:
+            rows = late_candidates(events, part, event, fields, time=time)
+            late = F.struct("rule_id", "event", "end_us")
+            out = out.withColumn("late", F.lit(None).cast(rows.select(late.alias("x")).schema["x"].dataType)).unionByName(
+                rows.select(late.alias("late")), allowMissingColumns=True
+            )
+            each = _with_letters(write, own, f"{letters_path}/lateness={seconds}")
+        with rocksdb_state(events.sparkSession):
+            started.append(
+                out.writeStream.foreachBatch(each).outputMode("append")
+                .option("checkpointLocation", own)
+                .trigger(**(trigger or {"processingTime": "10 seconds"}))
+                .start()
+            )
     return started
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, which suppression needs.
+
+    A query keeps the settings it was started with; the session's own are put back.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _with_letters(write: Callable[[DataFrame, int], None], checkpoint: str, letters_path: str):
+    def each(micro: DataFrame, batch_id: int) -> None:
+        spark = micro.sparkSession
+        passed = watermark_of(spark, checkpoint, batch_id - 1)
+        kept = micro.where("late IS NULL OR " + ("FALSE" if passed is None else f"late.end_us <= {passed}")).persist()
+        try:
+            write(kept.where("late IS NULL").drop("late"), batch_id)
+            late_letters(kept.where("late IS NOT NULL").select("late.*"), passed).write.mode("overwrite").json(
+                f"{letters_path}/batch={batch_id}"
+            )
+        finally:
+            kept.unpersist()
+
+    return each
+
+
+def late_letters(rows: DataFrame, watermark_us: int | None) -> DataFrame:
+    """Dead letters for events whose window had closed."""
+    at = F.date_format(F.timestamp_micros(F.lit(watermark_us).cast("bigint")), "yyyy-MM-dd HH:mm:ss.SSS")
+    end = F.date_format(F.timestamp_micros("end_us"), "yyyy-MM-dd HH:mm:ss")
+    return rows.select(
+        F.lit(REASON_LATE).alias("reason"), "rule_id", "event",
+        F.concat(F.lit("the window until "), end, F.lit(" was closed at "), at).alias("error"),
+        F.lit(None).cast("string").alias("trace"),
+    )
+
+
+def late_counts(letters: DataFrame) -> DataFrame:
+    """rule_id and the number of events that came too late for it."""
+    return letters.where(F.col("reason") == REASON_LATE).groupBy("rule_id").agg(F.count(F.lit(1)).alias("late_rows"))
+
+
 def start_kafka_alerts(
     alerts: DataFrame, servers: str, topic: str, checkpoint: str, **options: str
 ) -> StreamingQuery:
@@ -141,20 +213,11 @@ def once_per_message(events: DataFrame, message_id: str, time: str, lateness_sec
 
 
 def flush_open_windows(
-    events: DataFrame,
-    ruleset: Ruleset,
-    emitted: DataFrame,
-    fields: FieldMap | None = DOCUMENT,
-    *,
-    time: str = "event_time",
-    since: dt.datetime | None = None,
+    spark: SparkSession, ruleset: Ruleset, checkpoint: str, *, suppressed: bool = True
 ) -> DataFrame:
-    """Alerts of windows a stopped stream had not closed yet, from the stored events.
-
-    `since` limits the work to events from then on; give the start of the oldest
-    window that may be open (the last watermark, rounded down to the window).
-    """
-    keys = ["rule_id", "window_start", "correlation_key"]
-    stored = events if since is None else events.where(F.col(time) >= F.lit(since))
-    everything = correlate(stored, ruleset, fields, time=time, suppressed=False)
-    return everything.join(emitted.select(*keys), keys, "left_anti")
+    """Alerts of windows that the stopped queries of `start_correlations` had not closed, from their state."""
+    out = None
+    for seconds, part in by_lateness(ruleset).items():
+        rest = open_windows(spark, part, f"{checkpoint}/lateness={seconds}", suppressed=suppressed)
+        out = rest if out is None else out.unionByName(rest)
+    return out
