@@ -119,9 +119,30 @@ def test_keywords(make_events):
         make_events, [{"a": "one two"}, {"b": {"c": "TWO three"}}, {"d": 1}],
         {"kw": ["two"], "condition": "kw"},
         {"kw": {"|all": ["two", "three"]}, "condition": "kw"},
-        {"kw": ["on*wo", 'd": 1'], "condition": "1 of kw"},
+        {"kw": ["on*wo", "1"], "condition": "1 of kw"},
+        {"kw": ["a", "b", '"c"', "d", ": 1"], "condition": "1 of kw"},
     )
-    assert got == [{0, 1}, {1}, {0, 2}]
+    assert got == [{0, 1}, {1}, {0, 2}, set()]
+
+
+def test_keywords_search_values_not_json_text(make_events):
+    got = fired(
+        make_events,
+        [
+            '{"cmd": "C:\\\\Windows\\\\x", "k": [1.5, true, null, {"deep": ["caf\\u00e9 \\"q\\": 7", ""]}]}',
+            '{"one": "alpha", "two": "beta", "null": "x"}',
+            '{"t": "a\\nb\\tc\\u0001d\\\\"}', '{}', '[]', '"café"', '7', 'null',
+        ],
+        *({"kw": [k], "condition": "kw"} for k in (
+            "c:\\windows\\x", "CAFÉ", '"q": 7', "cmd", "deep", "1.5", "true", "null",
+            "alpha*beta", "alp?a", "a\nb\tc", "\x01d\\", "one", "7", "*", "c*fé",
+        )),
+        {"kw": {"|cased": ["Caf", "Windows"]}, "condition": "kw"},
+    )
+    assert got == [
+        {0}, {0, 5}, {0}, set(), set(), {0}, {0}, set(), set(), {1}, {2}, {2}, set(), {0, 6},
+        {0, 1, 2, 3, 4, 5, 6, 7}, {0, 5}, {0},
+    ]
 
 
 def test_placeholders(spark, make_events):

@@ -24,6 +24,41 @@ def _variant_path(parts: list[str]) -> str:
     return out
 
 
+SEPARATOR = "\u0003"  # JSON text holds no control characters, so these can stand in it
+_BACKSLASH, _QUOTE = "\u0001", "\u0002"
+_MARKS = r"[\[\]{},:]+"
+_OTHER = "\ufffd"  # what a control character without an escape of its own becomes
+_ESCAPES = (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\/", "/"))
+
+
+def leaf_texts(json: str) -> str:
+    """SQL of all values in JSON text as Spark writes it, unescaped, apart by SEPARATOR.
+
+    Once escaped backslashes and quotes have stand-ins, quotes are what splits the text:
+    every other part is a string, and a name if a colon follows. Numbers, TRUE and FALSE
+    stand in the parts between.
+    """
+    clear = f"replace(replace({json}, {sql_str(chr(92) * 2)}, {sql_str(_BACKSLASH)}), {sql_str(chr(92) + chr(34))}, {sql_str(_QUOTE)})"
+    parts = f"split({clear}, {sql_str(chr(34))})"
+    strings = (
+        f"filter(transform({parts}, (x, i) -> if(i % 2 = 1 AND NOT startswith(get({parts}, i + 1), ':'), x, NULL)),"
+        " x -> x IS NOT NULL)"
+    )
+    between = f"array_join(filter({parts}, (x, i) -> i % 2 = 0), ',')"
+    others = f"filter(split({between}, {sql_str(_MARKS)}), x -> x <> '' AND x <> 'null')"
+    out = f"array_join(concat({strings}, {others}), {sql_str(SEPARATOR)})"
+    out = f"replace({out}, {sql_str(_QUOTE)}, {sql_str(chr(34))})"
+    for escaped, plain in _ESCAPES:
+        out = f"replace({out}, {sql_str(escaped)}, {sql_str(plain)})"
+    out = f"regexp_replace({out}, {sql_str(chr(92) * 2 + 'u00[01][0-9a-fA-F]')}, {sql_str(_OTHER)})"
+    return f"replace({out}, {sql_str(_BACKSLASH)}, {sql_str(chr(92))})"
+
+
+def searched(text: str) -> str:
+    """A keyword in the form in which `leaf_texts` has its control characters."""
+    return "".join(_OTHER if c < " " and c not in "\n\t\r\b\f" else c for c in text)
+
+
 @dataclass
 class FieldMap:
     """How field names map onto a DataFrame.
@@ -32,7 +67,7 @@ class FieldMap:
     exprs: rule field name -> SQL expression giving its value.
     document: VARIANT column that holds the whole event, if there is one.
     json_columns: string columns whose text is a JSON document.
-    raw: SQL for the event's text, used by keyword searches and alerts.
+    raw: SQL for the event's text, used by alerts, and by keywords where there is no document.
     """
 
     aliases: dict[str, str] = dc_field(default_factory=dict)
@@ -55,6 +90,7 @@ class Binder:
         self._lower: dict[str, str] = {}
         self._number: dict[str, str] = {}
         self._state: dict[str, str] = {}
+        self._words = False
 
     # -- names -----------------------------------------------------------
 
@@ -128,6 +164,34 @@ class Binder:
         names = ", ".join(sql_ident(n) for n in self._types if not n.startswith("__"))
         return f"to_json(struct({names}))"
 
+    def words(self) -> str:
+        """Column of the texts of all the event's values, apart by SEPARATOR; what keywords search.
+
+        A document's values are its leaves, at any depth, unescaped; names of fields are
+        none. Events that are not documents have the values of all their columns, and a
+        `raw` text is searched as it is.
+        """
+        self._words = True
+        return "__kw"
+
+    def lower_words(self) -> str:
+        self._words = True
+        return "__kwl"
+
+    def _word_sql(self) -> str:
+        if self.fields.document:
+            return leaf_texts(f"to_json({sql_ident(self.fields.document)})")
+        if self.fields.raw:
+            return self.fields.raw
+        names = [n for n in self._types if not n.startswith("__")]
+        parsed = [n for n in names if n in self.fields.json_columns]
+        plain = ", ".join(sql_ident(n) for n in names if n not in parsed)
+        parts = [leaf_texts(f"to_json(struct({plain}))")] if plain else []
+        for n in parsed:  # text that is not JSON is a value itself
+            text = sql_ident(n)
+            parts.append(f"coalesce({leaf_texts(f'to_json(try_parse_json({text}))')}, {text})")
+        return f"concat_ws({sql_str(SEPARATOR)}, {', '.join(parts)})"
+
     def native(self, name: str) -> str:
         """The field with its own type, read directly from the event."""
         kind, where = self._locate(name)
@@ -179,8 +243,12 @@ class Binder:
             df = df.selectExpr(
                 "*", *(f"try_parse_json({sql_ident(c)}) AS {v}" for c, v in self._parsed.items())
             )
+        if self._words:
+            values.append(f"{self._word_sql()} AS __kw")
         if values:
             df = df.selectExpr("*", *values)
+        if self._words:
+            df = df.selectExpr("*", "lower(__kw) AS __kwl")
         if self._lower:
             df = df.selectExpr(
                 "*", *(f"lower({self._text[n]}) AS {c}" for n, c in self._lower.items())
@@ -191,5 +259,5 @@ class Binder:
     def helper_columns(self) -> list[str]:
         return [
             *self._parsed.values(), *self._text.values(), *self._lower.values(),
-            *self._number.values(), *self._state.values(),
+            *self._number.values(), *self._state.values(), *(["__kw", "__kwl"] if self._words else []),
         ]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions import literals as lit
 from ..functions.cidr import cidr_sql
-from ..functions.fields import Binder
+from ..functions.fields import SEPARATOR, Binder, searched
 
 _POSITIONS = ("startswith", "endswith", "contains")
 _COMPARISONS = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
@@ -89,16 +89,20 @@ def string_match(b: Binder, name: str, value, mods: list[str], cased: bool) -> s
 
 
 def keyword(b: Binder, value, mods: list[str], cased: bool) -> str:
-    """A value looked for anywhere in the event's text."""
-    pieces = lit.split_wildcards(_as_text(value))
+    """A value looked for within each of the event's values."""
+    pieces = [(k, searched(s)) for k, s in lit.split_wildcards(_as_text(value))]
     if not cased:
         pieces = [(k, s.lower()) for k, s in pieces]
-    subject = b.raw() if cased else f"lower({b.raw()})"
+    subject = b.words() if cased else b.lower_words()
     whole = lit.plain_text(pieces)
     if whole is not None:
         return f"contains({subject}, {lit.sql_str(whole)})"
-    pattern = "%" + lit.like_pattern(pieces) + "%"
-    return f"{subject} LIKE {lit.sql_str(pattern)} ESCAPE '!'"
+    pattern = lit.sql_str("%" + lit.like_pattern(pieces) + "%")
+    # The text as a whole is tested first: it is compiled, and seldom holds the pieces in order.
+    return (
+        f"({subject} LIKE {pattern} ESCAPE '!' AND"
+        f" exists(split({subject}, {lit.sql_str(SEPARATOR)}), w -> w LIKE {pattern} ESCAPE '!'))"
+    )
 
 
 def _one(b: Binder, name: str, value, mods: list[str], cased: bool) -> str:

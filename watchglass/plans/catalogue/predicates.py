@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ...functions.fields import FieldMap
 from ...operators import joins, matching
 from ...operators.rules import FieldProfile, ruleset_from_dicts
-from .common import EVENT_FIELDS, events, rows_matching, table
+from ...operators.shaping import parse_events
+from .common import EVENT_FIELDS, events, one_rule, rows_matching, table
 
 
 def _events(detection, *, fields=EVENT_FIELDS, exprs=None, **options):
@@ -74,6 +75,25 @@ _CMD = (
 _SHIFTED = "base64(concat(repeat('x', CAST(event_id % 3 AS INT)), event_type, 'tail'))"
 _WIDE = "base64(encode(concat('ab', event_type, 'z'), 'UTF-16LE'))"
 
+def _keyword_json(spark, sf):
+    """Keywords over documents with escapes, nesting and numbers, and over typed columns."""
+    text = F.concat(
+        F.lit('{"cmd": "C:\\\\Windows\\\\'), F.col("event_type"), F.lit('", "note": {"view": [{"x": "caf\\u00e9 '),
+        F.col("event_type"), F.lit('"}, "a \\"quoted\\" '), F.col("event_type"), F.lit('\\n"]}, "n": '), F.col("user_id"), F.lit("}"),
+    )
+    docs = parse_events(events(spark, sf).select("event_id", text.alias("value")))
+    rules = ruleset_from_dicts([
+        {"title": name, "id": name, "detection": {"kw": [kw], "condition": "kw"}} for name, kw in (
+            ("path", "c:\\windows\\error"), ("accent", "Caf\u00e9 CLICK"), ("number", "42"), ("name", "cmd"),
+            ("wild", '"quoted" *iew\n'), ("apart", "caf\u00e9*quoted"),
+        )
+    ])
+    found = matching.matches(docs, rules.rules, FieldMap(document="data", raw="raw"), keep=["event_id"])
+    typed = one_rule({"kw": ["SIGNUP", "77", "event_type"], "condition": "kw"}, id="columns")
+    columns = matching.matches(events(spark, sf).select("event_id", "user_id", "event_type", "props"), typed.rules, EVENT_FIELDS, keep=["event_id"])
+    return found.unionByName(columns).select("event_id", F.col("rule_id").alias("kw"))
+
+
 QUERIES = {
     "prd_equality": (
         _events({"s": {"event": "ERROR"}, "condition": "s"}),
@@ -127,6 +147,16 @@ QUERIES = {
         _on("documents", "doc_id", {"kw": ["license", "copy*right"], "condition": "kw"}, FieldMap(raw="text")),
         "SELECT doc_id FROM documents WHERE text ILIKE '%license%' OR text ILIKE '%copy%right%'",
     ),
+    "prd_keyword_json": (
+        _keyword_json,
+        "SELECT event_id, 'path' AS kw FROM events WHERE event_type = 'error' UNION ALL"
+        " SELECT event_id, 'accent' FROM events WHERE event_type = 'click' UNION ALL"
+        " SELECT event_id, 'number' FROM events WHERE contains(CAST(user_id AS VARCHAR), '42') UNION ALL"
+        " SELECT event_id, 'wild' FROM events WHERE event_type = 'view' UNION ALL"
+        " SELECT event_id, 'columns' FROM events WHERE event_type = 'signup'"
+        " OR contains(json_extract_string(props, '$.k'), '77')"
+        " OR contains(CAST(event_id AS VARCHAR), '77') OR contains(CAST(user_id AS VARCHAR), '77')",
+    ),
     "prd_wildcard": (
         _on("pages", "page_id", {"s": {"url": "https://*.example.net/?r*"}, "condition": "s"}),
         "SELECT page_id FROM pages WHERE url ILIKE 'https://%.example.net/_r%'",
