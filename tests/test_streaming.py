@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,33 @@ def test_raw_events_without_a_time_become_letters(spark, tmp_path):
         detect.start_raw_events(events, hot, str(tmp_path / "c2"), trigger=now).awaitTermination()
 
 
+def test_python_rules_of_a_set(spark):
+    from watchglass.operators import matching
+
+    calls = []
+
+    def careful(frame):
+        calls.append(len(frame))
+        if (frame["n"] == 3).any():
+            raise ValueError("no threes")
+        return frame["n"] > 1
+
+    rules = [
+        matching.PythonRule("a", "A", lambda e: 6 / (e["n"] - 2) > 1, ("n",), "high", ("t",)),
+        matching.PythonRule("b", "B", lambda e: e["n"] > 1, ("n",), series=careful),
+        matching.PythonRule("c", "C", lambda e: e["s"] == "x" and e["n"] == 3, ("s", "n")),
+        matching.PythonRule("d", "D", lambda e: e["n"] > 1, ("n",), series=lambda f: pd.Series([True])),
+    ]
+    df = spark.createDataFrame([(i, "x") for i in range(5)], "n int, s string").coalesce(1)
+    tested = matching.with_python_rules(df, rules).persist()
+    assert {r.n: sorted(r.python.hits) for r in tested.collect()} == {0: [], 1: [], 2: [1, 3], 3: [0, 1, 2, 3], 4: [0, 1, 3]}
+    [letter] = matching.python_letters(tested, rules).collect()
+    assert (letter.rule_id, json.loads(letter.event)["n"]) == ("a", 2) and "ZeroDivisionError" in letter.error
+    found = matching.python_alerts(tested, rules).where("rule_id = 'a'").collect()
+    assert sorted(json.loads(r.matched_events[0])["n"] for r in found) == [3, 4] and found[0].tags == ["t"]
+    assert tested.where("false").select("python").count() == 0
+
+
 def test_repeated_messages_are_dropped(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()

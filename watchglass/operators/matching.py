@@ -339,7 +339,11 @@ def not_json_letters(df: DataFrame, raw: str = "raw", document: str = "data") ->
 
 @dataclass(frozen=True)
 class PythonRule:
-    """A rule whose test is a Python function of one event's columns (a dict)."""
+    """A rule whose test is a Python function of one event's columns (a dict).
+
+    `series`, if given, is the same test of many events at once: a function of a pandas
+    DataFrame of the columns that returns a boolean Series.
+    """
 
     id: str
     title: str
@@ -347,6 +351,11 @@ class PythonRule:
     columns: tuple[str, ...]
     severity: str = "medium"
     tags: tuple[str, ...] = field(default_factory=tuple)
+    series: Callable[[pd.DataFrame], pd.Series] | None = None
+
+    @property
+    def name(self) -> str:
+        return self.id
 
 
 def with_python_rule(df: DataFrame, rule: PythonRule, name: str = "outcome") -> DataFrame:
@@ -388,6 +397,90 @@ def predicate_letters(df: DataFrame, rule: PythonRule, raw: Column, name: str =
     )
 
 
+def _outcomes(rule: PythonRule, frame: pd.DataFrame) -> tuple[list[bool], dict[int, tuple[str, str]]]:
+    """Whether each event of a batch matches, and error and trace of those on which the rule raised.
+
+    The events are tested together if the rule can; one by one if it cannot, or if that raises.
+    """
+    import traceback
+
+    frame = frame[list(rule.columns)]
+    if rule.series is not None:
+        try:
+            found = pd.Series(rule.series(frame)).fillna(False).astype(bool)
+            if len(found) == len(frame):
+                return found.tolist(), {}
+        except Exception:  # which events did it, the tests one by one will tell
+            pass
+    hits, errors = [], {}
+    traces: dict[tuple, str] = {}  # formatting one is slow, and few differ
+    for i, values in enumerate(frame.itertuples(index=False, name=None)):
+        try:
+            hits.append(bool(rule.test(dict(zip(rule.columns, values)))))
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            lines = tuple(at for _, at in traceback.walk_tb(e.__traceback__))
+            if (error, lines) not in traces:
+                traces[error, lines] = traceback.format_exc()
+            hits.append(False)
+            errors[i] = (error, traces[error, lines])
+    return hits, errors
+
+
+def with_python_rules(df: DataFrame, rules: Sequence[PythonRule], name: str = "python") -> DataFrame:
+    """Add struct(hits, errors) of all Python rules, from one Arrow pass over the columns they use.
+
+    hits are the positions of the rules that match; errors have the position, the error and
+    the trace of each rule that raised on the event, which concerns no other rule or event.
+    """
+    columns = sorted({c for r in rules for c in r.columns})
+
+    @F.pandas_udf("hits array<int>, errors array<struct<rule:int,error:string,trace:string>>")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        hits: list[list[int]] = [[] for _ in range(len(frame))]
+        errors: list[list[tuple]] = [[] for _ in range(len(frame))]
+        for number, rule in enumerate(rules):
+            matched, raised = _outcomes(rule, frame)
+            for i, hit in enumerate(matched):
+                if hit:
+                    hits[i].append(number)
+            for i, (error, trace) in raised.items():
+                errors[i].append((number, error, trace))
+        return pd.DataFrame({"hits": hits, "errors": errors})
+
+    return df.withColumn(name, run(F.struct(*columns)))
+
+
+def python_alerts(
+    tested: DataFrame, rules: Sequence[PythonRule], fields: FieldMap | None = None, *,
+    fired_at: Column | None = None, name: str = "python",
+) -> DataFrame:
+    """Alerts of the Python rules that `with_python_rules` found to match."""
+    event = Binder(tested.drop(name), fields).raw()
+    hits = tested.select(
+        F.explode(f"{name}.hits").alias(RULE_NO), F.expr(f"array({event})").alias("matched_events"),
+        (F.current_timestamp() if fired_at is None else fired_at).cast("timestamp").alias("fired_at"),
+    )
+    none = F.lit(None)
+    return hits.join(rule_table(tested, rules), RULE_NO).select(
+        "rule_id", "rule_title", "severity", "fired_at", none.cast("timestamp").alias("window_start"),
+        none.cast("timestamp").alias("window_end"), none.cast("string").alias("correlation_key"), "matched_events", "tags",
+    )
+
+
+def python_letters(
+    tested: DataFrame, rules: Sequence[PythonRule], fields: FieldMap | None = None, *, name: str = "python"
+) -> DataFrame:
+    """Dead letters for the events on which Python rules raised, one per rule."""
+    event = Binder(tested.drop(name), fields).raw()
+    raised = tested.where(F.size(f"{name}.errors") > 0).select(F.expr(event).alias("event"), F.explode(f"{name}.errors").alias("e"))
+    ids = F.array(*(F.lit(r.id) for r in rules))
+    return raised.select(
+        F.lit(REASON_PREDICATE).alias("reason"), F.get(ids, F.col("e.rule")).alias("rule_id"), "event",
+        F.col("e.error").alias("error"), F.col("e.trace").alias("trace"),
+    )
+
+
 # -- replay against expectations -------------------------------------------
 
 def replay_report(

@@ -11,7 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ...operators import matching
 from ...operators.rules import Ruleset, ruleset_from_dicts
+from ...sources.events import stream_files
 from ...streaming import detect
 from ..durable import checkpoint_dir
 from .common import EVENT_FIELDS, MATCHES_SQL, plain_times, rules, table
@@ -203,6 +205,83 @@ def _fan_out(spark, sf):
     return shown(_run(spark, source, fan_out(), root))
 
 
+def _divides(e: dict) -> bool:
+    return 100 // (e["id"] % 97) == 1
+
+
+def _uneven(frame):
+    if (frame["id"] < 0).any():
+        raise ValueError("ids are never negative")
+    return frame["id"] % 3 == 1
+
+
+PYTHON_RULES = (
+    matching.PythonRule("p-divides", "Divides", _divides, ("id",), "high"),
+    matching.PythonRule("p-uneven", "Uneven", lambda e: e["id"] % 3 == 1, ("id",), series=_uneven),
+)
+
+
+def _messages(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """Events as JSON lines, every fiftieth of them torn, in two parts, as a stream of documents."""
+    ev = table(spark, sf, "events")
+    text = F.to_json(F.struct("event_id", "event_type"))
+    torn = F.when(F.col("event_id") % 50 == 0, F.substring(text, 1, 12)).otherwise(text)
+    for n in (0, 1):
+        ev.where(F.col("event_id") % 2 == n).select(torn.alias("value")).repartition(FILES).write.text(f"{root}/in/part={n}")
+    lines = stream_files(spark, f"{root}/in/part=*", files_per_trigger=FILES)
+    return lines.withColumn("id", F.coalesce(F.try_variant_get("data", "$.event_id", "bigint"), F.lit(1)))
+
+
+def _detection(source: DataFrame, root: str) -> None:
+    """Rules of both kinds over messages; a later call goes on where an earlier one stopped."""
+    specs = [{"title": "error", "id": "r-error", "detection": {"s": {"event_type": "error"}, "condition": "s"}}]
+    detect.start_detection(
+        source, ruleset_from_dicts(specs), f"{root}/checkpoint",
+        alerts_path=f"{root}/alerts", letters_path=f"{root}/letters", counters_path=f"{root}/counters",
+        python_rules=PYTHON_RULES, trigger=NOW,
+    ).awaitTermination()
+
+
+def _letters(spark, sf):
+    """Dead letters of both kinds, and the alerts of Python rules."""
+    root = _root(spark)
+    _detection(_messages(spark, sf, root), root)
+    letters = spark.read.schema(LETTERS).option("recursiveFileLookup", "true").json(f"{root}/letters")
+    alerts = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/alerts").where("rule_id LIKE 'p-%'")
+    return letters.select("reason", "rule_id", "event", F.substring_index("error", ":", 1).alias("error")).unionByName(
+        alerts.select(
+            F.lit("alert").alias("reason"), "rule_id", F.get_json_object("matched_events", "$[0]").alias("event"),
+            F.lit(None).cast("string").alias("error"),
+        )
+    )
+
+
+def _counters(spark, sf):
+    """Matches per rule after the last batch ran twice, as it does when a run stops before its commit."""
+    root = _root(spark)
+    source = _messages(spark, sf, root)
+    _detection(source, root)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/checkpoint/commits")
+    last = max((s.getPath() for s in fs.listStatus(commits) if s.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    fs.delete(last, False)
+    _detection(source, root)
+    return detect.read_counters(spark, f"{root}/counters")
+
+
+_LINE = """'{"event_id":' || event_id || ',"event_type":"' || event_type || '"}'"""
+_LETTERS_SQL = f"""WITH lines AS (SELECT event_id, {_LINE} AS line FROM events),
+    sound AS (SELECT * FROM lines WHERE event_id % 50 <> 0)
+    SELECT 'non-JSON message' AS reason, NULL AS rule_id, left(line, 12) AS event,
+        'the text is not a JSON document' AS error FROM lines WHERE event_id % 50 = 0
+    UNION ALL SELECT 'predicate raised', 'p-divides', line, 'ZeroDivisionError' FROM sound WHERE event_id % 97 = 0
+    UNION ALL SELECT 'alert', 'p-divides', line, NULL FROM sound WHERE event_id % 97 > 50
+    UNION ALL SELECT 'alert', 'p-uneven', line, NULL FROM sound WHERE event_id % 3 = 1"""
+_COUNTERS_SQL = """WITH sound AS (SELECT * FROM events WHERE event_id % 50 <> 0)
+    SELECT 'r-error' AS rule_id, count(*) AS matches FROM sound WHERE event_type = 'error'
+    UNION ALL SELECT 'p-divides', count(*) FROM sound WHERE event_id % 97 > 50
+    UNION ALL SELECT 'p-uneven', count(*) FROM sound WHERE event_id % 3 = 1"""
+
 _HELD = {**COUNT, "options": {"suppress_window_seconds": 259200}}
 
 QUERIES = {
@@ -225,5 +304,7 @@ QUERIES = {
     "str_fanout": (_fan_out, _FAN_SQL),
     "str_late": (_late, _LATE_SQL),
     "str_flush": (_flush, _FLUSH_SQL),
+    "str_letters": (_letters, _LETTERS_SQL),
+    "str_counters": (_counters, _COUNTERS_SQL),
     "str_dedup": (_dedup, "SELECT event_id, event_type FROM events"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from typing import Callable
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,10 +29,16 @@ def start_detection(
     on_alerts: Callable[[DataFrame, int], None] | None = None,
     fields: FieldMap = DOCUMENT,
     fired_at: Column | None = None,
+    python_rules: Sequence[matching.PythonRule] = (),
+    counters_path: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Single-event alerts and dead letters of each micro-batch.
 
+    `python_rules` run beside the ruleset, all in one pass; what they raise on becomes a
+    dead letter. `counters_path` gets the number of matches per rule of each batch, a
+    folder a batch, from which `read_counters` adds up: a repeated batch replaces its own.
+
     Files of a repeated micro-batch are written again (at-least-once); below
     the day, the batch number is kept in the path so that a repeat overwrites
     itself and a day can be dropped as one folder. Rules that cannot run give a
@@ -40,9 +46,15 @@ def start_detection(
     """
 
     def write(micro: DataFrame, batch_id: int) -> None:
-        micro = micro.persist()
+        micro, tested = micro.persist(), None
         try:
             found = matching.alerts(micro, ruleset.rules, fields, fired_at=fired_at)
+            if python_rules:  # records that are not JSON reach these no more than the others
+                sound = micro.where(F.col(fields.document).isNotNull()) if fields.document else micro
+                tested = matching.with_python_rules(sound, python_rules).persist()
+                found = found.unionByName(matching.python_alerts(tested, python_rules, fields, fired_at=fired_at))
+            if counters_path is not None:
+                matching.rule_counters(found).write.mode("overwrite").parquet(f"{counters_path}/batch={batch_id}")
             if on_alerts is not None:
                 on_alerts(found, batch_id)
             if alerts_path is not None:
@@ -54,6 +66,8 @@ def start_detection(
                 )
             if letters_path is not None:
                 letters = matching.not_json_letters(micro)
+                if python_rules:
+                    letters = letters.unionByName(matching.python_letters(tested, python_rules, fields))
                 if batch_id == 0:
                     letters = letters.unionByName(matching.rule_letters(micro.sparkSession, ruleset.rules))
                 letters.write.mode("overwrite").json(
@@ -61,6 +75,8 @@ def start_detection(
                 )
         finally:
             micro.unpersist()
+            if tested is not None:
+                tested.unpersist()
 
     return (
         events.writeStream.foreachBatch(write)
@@ -70,6 +86,12 @@ def start_detection(
     )
 
 
+def read_counters(spark: SparkSession, counters_path: str) -> DataFrame:
+    """Matches per rule of all batches so far."""
+    parts = spark.read.schema("rule_id string, matches long").option("basePath", counters_path).parquet(counters_path)
+    return parts.groupBy("rule_id").agg(F.sum("matches").alias("matches"))
+
+
 def start_raw_events(
     events: DataFrame, path: str, checkpoint: str, *, time: str = "ingest_time",
     letters_path: str | None = None, trigger: dict | None = None,
