@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...operators import matching
 from ...operators.rules import Ruleset, ruleset_from_dicts
-from ...sources.events import stream_files
+from ...sources.events import message_files, stream_files
 from ...streaming import detect
 from ..durable import checkpoint_dir
 from .common import EVENT_FIELDS, MATCHES_SQL, plain_times, rules, table
@@ -269,6 +269,30 @@ def _counters(spark, sf):
     return detect.read_counters(spark, f"{root}/counters")
 
 
+def _message_stream(spark, sf):
+    """Archived messages, landed in two parts; the stream is stopped after the first and started again."""
+    root = _root(spark)
+    ev = table(spark, sf, "events")
+    header = lambda name: F.struct(F.lit("source").alias("key"), F.encode(name, "UTF-8").alias("value"))
+    records = ev.select(
+        F.encode(F.to_json(F.struct("event_id", "event_type")), "UTF-8").alias("value"),
+        F.array(header(F.lit("old")), header(F.col("event_type"))).alias("headers"),
+        F.col("ts").cast("timestamp").alias("timestamp"), (F.col("event_id") % 3).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+    )
+    for n in (0, 1):
+        records.where(F.col("offset") % 2 == n).repartition(2 * FILES).write.parquet(f"{root}/in/part={n}")
+        found = message_files(spark, f"{root}/in", files_per_trigger=FILES).select(
+            F.try_variant_get("data", "$.event_id", "bigint").alias("event_id"),
+            F.try_element_at("attributes", F.lit("source")).alias("source"), "ingest_time", "partition", "offset",
+        )
+        (
+            found.writeStream.format("parquet").option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(**NOW).start().awaitTermination()
+        )
+    return plain_times(spark.read.parquet(f"{root}/out"))
+
+
 _LINE = """'{"event_id":' || event_id || ',"event_type":"' || event_type || '"}'"""
 _LETTERS_SQL = f"""WITH lines AS (SELECT event_id, {_LINE} AS line FROM events),
     sound AS (SELECT * FROM lines WHERE event_id % 50 <> 0)
@@ -306,5 +330,10 @@ QUERIES = {
     "str_flush": (_flush, _FLUSH_SQL),
     "str_letters": (_letters, _LETTERS_SQL),
     "str_counters": (_counters, _COUNTERS_SQL),
+    "src_stream_messages": (
+        _message_stream,
+        'SELECT event_id, event_type AS source, ts AS ingest_time, CAST(event_id % 3 AS INTEGER) AS partition,'
+        ' event_id AS "offset" FROM events',
+    ),
     "str_dedup": (_dedup, "SELECT event_id, event_type FROM events"),
 }

@@ -20,8 +20,8 @@ def kafka_events(spark: SparkSession, servers: str, topic: str, **options: str)
     return parse_events(messages(reader.load()))
 
 
-def messages(records: DataFrame) -> DataFrame:
-    """Kafka-shaped records -> value, attributes map and ingest time."""
+def messages(records: DataFrame, *keep: str) -> DataFrame:
+    """Kafka-shaped records -> value, attributes map, ingest time and the columns to keep."""
     pairs = F.transform(
         F.coalesce("headers", F.array().cast("array<struct<key:string,value:binary>>")),
         lambda h: F.struct(h["key"].alias("key"), h["value"].cast("string").alias("value")),
@@ -35,10 +35,30 @@ def messages(records: DataFrame) -> DataFrame:
         ),
     )
     return records.select(
-        "value", merged.alias("attributes"), F.col("timestamp").alias("ingest_time")
+        "value", merged.alias("attributes"), F.col("timestamp").alias("ingest_time"), *keep
     )
 
 
+#: Records of a message topic as files hold them: the columns of Spark's Kafka reader.
+MESSAGE_SCHEMA = (
+    "key binary, value binary, topic string, partition int, offset long, timestamp timestamp,"
+    " headers array<struct<key:string,value:binary>>"
+)
+
+
+def message_files(spark: SparkSession, path: str, *, files_per_trigger: int = 100) -> DataFrame:
+    """Messages that a topic's archive lands as Parquet files, as a stream: what `kafka_events` gives, and offsets.
+
+    A batch reads at most `files_per_trigger` files; a restarted query goes on behind the
+    files that its checkpoint has. Files may hold some of the columns of MESSAGE_SCHEMA only.
+    """
+    records = (
+        spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", str(files_per_trigger))
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    )
+    return parse_events(messages(records, "partition", "offset"))
+
+
 def file_events(spark: SparkSession, *paths: str, whole_files: bool = False) -> DataFrame:
     """JSON documents from files or directories: path, raw, data.
 
