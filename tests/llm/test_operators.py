@@ -526,6 +526,29 @@ def test_wrapped_licences(spark):
     assert all(got[i].families == [] for i in range(120))
 
 
+def test_any_sequence_is_read_by_its_place(spark, tokenizer, tmp_path):
+    """Nothing before its batch is read, and ids and mask are views of the mapped file."""
+    rng = random.Random(10)
+    docs = frame(spark, [sentence(rng, 3000) for _ in range(60)]).coalesce(1)
+    [file] = arrow_output.write_sequences(docs.repartition(1), f"file://{tmp_path}/out", tokenizer).orderBy("part").limit(1).collect()
+    whole = [(ids, mask) for batch in arrow_output.read_batches(file.path) for ids, mask in zip(*(x.copy() for x in batch))]
+    assert len(whole) > arrow_output.ROWS or len(whole) > 3
+    local = file.path.removeprefix("file://")
+    places = np.fromfile(f"{local}.places", "<i8")
+    assert len(places) == -(-len(whole) // arrow_output.ROWS)
+    for i in {0, len(whole) // 2, len(whole) - 1}:
+        ids, mask = arrow_output.sequence(file.path, i)
+        assert ids.tolist() == whole[i][0].tolist() and mask.to_pylist() == whole[i][1].tolist()
+        assert not ids.flags.owndata and not ids.flags.writeable
+    with pytest.raises(IndexError):
+        arrow_output.sequence(file.path, len(whole) + arrow_output.ROWS)
+    # A file whose earlier batches are spoilt gives its last sequence all the same.
+    with open(local, "r+b") as f:
+        f.seek(int(places[0]) + 8)
+        f.write(b"\xff" * max(0, int(places[-1]) - int(places[0]) - 8))
+    assert arrow_output.sequence(file.path, len(whole) - 1)[0].tolist() == whole[-1][0].tolist()
+
+
 def test_licences_of_rows_that_share_a_doc_id(spark):
     rng = random.Random(8)
     rows = [sentence(rng, 12) for _ in range(300)] + [sentence(rng, 12)] * 300

@@ -44,6 +44,7 @@ class _SequenceFile:
         ])
         self.sink = fs.open_output_stream(path)
         self.writer = pa.ipc.new_stream(self.sink, self.schema)
+        self.places = fs.open_output_stream(f"{path}.places")
 
     def add(self, ids: bytes) -> None:
         self.held.append(np.frombuffer(ids, "<u4").astype(self.kind))
@@ -58,6 +59,7 @@ class _SequenceFile:
 
     def _write(self, ids: np.ndarray, used: int) -> None:
         mask = np.arange(len(ids)) < used
+        self.places.write(np.int64(self.sink.tell()).astype("<i8").tobytes())
         self.writer.write_batch(pa.RecordBatch.from_arrays([
             pa.FixedSizeListArray.from_arrays(pa.array(ids), LENGTH),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), LENGTH),
@@ -69,6 +71,7 @@ class _SequenceFile:
             self._write(np.pad(ids, (0, -len(ids) % LENGTH)), len(ids))
         self.writer.close()
         self.sink.close()
+        self.places.close()
 
 
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str, text: str = "text") -> DataFrame:
@@ -131,6 +134,25 @@ def read_batches(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ids.reshape(-1, LENGTH), mask.reshape(-1, LENGTH)
 
 
+def sequence(path: str, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of sequence i of a file; of a mapped file both are views of the mapping."""
+    with _opened(f"{path}.places") as places:
+        at = places.read_at(8, 8 * (i // ROWS)) if i >= 0 else b""
+    if len(at) < 8:
+        raise IndexError(f"{path} has no sequence {i}")
+    source = _opened(path)
+    schema = pa.ipc.open_stream(source).schema
+    source.seek(int.from_bytes(at, "little"))
+    message = pa.ipc.read_message(source)
+    if message.type == "schema":  # it is written with the first batch
+        message = pa.ipc.read_message(source)
+    batch = pa.ipc.read_record_batch(message, schema)
+    if i % ROWS >= batch.num_rows:
+        raise IndexError(f"{path} has no sequence {i}")
+    ids, mask = (c.slice(i % ROWS, 1).flatten() for c in batch.columns)
+    return ids.to_numpy(zero_copy_only=True), mask
+
+
 def read_documents(path: str) -> Iterator[tuple[int | None, int, list[np.ndarray]]]:
     """doc_id, start in the file and ids, in pieces, of each document of a file."""
     batches = (ids[mask] for ids, mask in read_batches(path))
