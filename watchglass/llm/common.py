@@ -24,13 +24,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Nothing needs the shuffle files behind it then. Spark deletes them once the JVM
     has collected their plans, which a driver with little to do may put off for half
-    an hour; so this asks for it.
+    an hour; so this asks for it, behind a job of one row, since Spark holds on to its
+    last job until the next one.
     """
-    path = shared_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
     df.write.parquet(path)
+    del df
+    spark.range(1).count()
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 ROW = "__row"
