@@ -8,62 +8,63 @@ Rows are numbered once, in a written table, so that documents which share a doc_
 have none, stay apart.
 
 The join is the usual one of prefix, length and positional filters: tokens are ordered
-by rarity, two sets can only be linked if the rarest fifth of their tokens meet, their
-sizes must be close, the tokens left behind a common one must suffice, and so must those
-that signatures of 128 bits do not tell apart. Tokens are compared as 58-bit hashes behind
-a rarity level of 6 bits.
-
-Nothing is emitted per pair. The classes that share a prefix token are dealt to blocks,
-each pair of blocks is compared inside one row, and what comes out is a row per class
-with its number of links. So a large group of near copies costs comparisons, in bounded
-memory and on many tasks, but no rows.
+by rarity, two sets can only be linked if one of the rarest tokens of the larger (a fifth)
+is one of the rarest of the smaller (a ninth), their sizes must be close, the tokens left
+behind a common one must suffice, and the parities of their tokens in 64 groups may differ
+in few groups only. Tokens are compared as 58-bit hashes behind a rarity level of 6 bits.
+
+The classes that share a prefix token are joined with each other by that token; what
+comes out are pairs that pass all filters, at most ones that are worth a comparison of
+their sets. Around a token of more than BLOCK classes nothing is emitted per pair: its
+classes are dealt to blocks, each pair of blocks is compared inside one row, and what
+comes out is a row per class. So a large group of near copies costs comparisons, in
+bounded memory and on many tasks, but no rows. Each link is found under the first token
+that both prefixes share, and counts once for either class.
 
 Defined results: a null text has no lines; a line without words is never removed and
 has no class; rows of equal doc_id are ordered by their numbers, which follow the input's
-partitions; a null doc_id comes before all others.
+partitions; a null doc_id comes before all others. An empty table gives no row. Columns
+other than those named keep their values, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ROW, numbered, tasks, written
+from .common import discard, free_name, tasks, written
 
 NUM, DEN = 4, 5  # the similarity from which lines are linked, as a fraction
 BUCKETS = 1 << 16  # of the table of token counts that orders tokens by rarity
 NO_ID = -(1 << 63)
-BLOCK = 1024  # classes of a token compared at once
+BLOCK = 1024  # classes of a token that are joined, and those of a larger one compared at once
+SPACE = "\t\r\x0b\x0c"
 
 
 def words(line: Column) -> Column:
     """Words between white space, in lower case; may hold empty texts."""
-    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ")
-
-
-def hashes(line: Column) -> Column:
-    """Distinct hashes of the words of a line."""
-    found = F.filter(words(line), lambda w: w != "")
-    return F.array_distinct(F.transform(found, lambda w: F.xxhash64(w)))
+    return F.split(F.translate(F.lower(line), SPACE, " " * len(SPACE)), " ")
 
 
-def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, row, line_no, line: a row per line; a null doc_id is NO_ID here."""
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+def split_lines(docs: DataFrame, text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, row, content, line_no, line: a row per line; a null doc_id is NO_ID here, content a hash of the text."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), row.alias("row"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), number.alias("row"),
+        F.xxhash64(F.col(text)).alias("content"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"),
     )
 
 
-def rarity(lines: DataFrame, buckets: int = BUCKETS) -> Column:
+def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> Column:
     """A table of levels by token bucket: the binary logarithm of what is in the bucket.
 
-    The counts are over all lines; their number is fixed, whatever the data, so they
+    The counts are over all words; their number is fixed, whatever the data, so they
     may pass through the driver and into the plan as a constant.
     """
+    white = SPACE + "\n"
+    every = F.split(F.translate(F.lower(F.col(text)), white, " " * len(white)), " ")
     counted = (
-        lines.select(F.explode(hashes(F.col("line"))).alias("h"))
-        .groupBy(F.pmod(F.col("h"), F.lit(buckets)).cast("int").alias("b"))
+        docs.select(F.explode(every).alias("w")).where("w != ''")
+        .groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("b"))
         .count()
         .collect()
     )
@@ -74,32 +75,25 @@ def rarity(lines: DataFrame, buckets: int = BUCKETS) -> Column:
 
 
 def ranks(line: Column, levels: Column, buckets: int = BUCKETS) -> Column:
-    """The tokens of a line as numbers whose order is that of rarity."""
-    def rank(h: Column) -> Column:
+    """The distinct tokens of a line as numbers whose order is that of rarity."""
+    def rank(word: Column) -> Column:
+        h = F.xxhash64(word)
         level = F.get(levels, F.pmod(h, F.lit(buckets)).cast("int"))
         return F.shiftleft(level, 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
-    return F.array_sort(F.transform(hashes(line), rank))
+    found = F.array_remove(F.transform(words(line), rank), rank(F.lit("")))
+    return F.sort_array(F.array_distinct(found))
 
 
-def signature(tokens: Column) -> Column:
-    """128 bits, of which each token sets one."""
-    def add(s: Column, r: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), r.bitwiseAND(F.lit(63)).cast("int"))
-        low = r.bitwiseAND(F.lit(64)) == 0
-        none = F.lit(0).cast("long")
-        return F.struct(
-            s["a"].bitwiseOR(F.when(low, bit).otherwise(none)).alias("a"),
-            s["b"].bitwiseOR(F.when(low, none).otherwise(bit)).alias("b"),
-        )
-
-    zero = F.lit(0).cast("long")
-    return F.aggregate(tokens, F.struct(zero.alias("a"), zero.alias("b")), add)
+def parity(tokens: Column) -> Column:
+    """Of 64 groups of tokens, whether a line has an odd number of each.
 
+    Sets that differ in d tokens differ in d groups at most.
+    """
+    def flip(s: Column, r: Column) -> Column:
+        return s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), r.bitwiseAND(F.lit(63)).cast("int")))
 
-def _apart(x: Column, y: Column) -> Column:
-    """How many tokens of x at least are not in y, by their signatures."""
-    return F.bit_count(x["a"].bitwiseAND(F.bitwise_not(y["a"]))) + F.bit_count(x["b"].bitwiseAND(F.bitwise_not(y["b"])))
+    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
 
 
 def prefix_size(n: Column) -> Column:
@@ -107,57 +101,77 @@ def prefix_size(n: Column) -> Column:
     return (n - F.floor((n * NUM + DEN - 1) / DEN) + 1).cast("int")
 
 
+def index_size(n: Column) -> Column:
+    """n - ceil(n * 2 * NUM / (NUM + DEN)) + 1: rarest tokens of a set that a larger one's prefix must meet."""
+    return (n - F.floor((n * 2 * NUM + NUM + DEN - 1) / (NUM + DEN)) + 1).cast("int")
+
+
 def _enough(overlap: Column, n: Column, m: Column) -> Column:
     """Whether so many common tokens make the similarity NUM/DEN."""
     return overlap * (NUM + DEN) >= (n + m) * NUM
 
 
+def _least_overlap(n: Column, m: Column) -> Column:
+    return F.floor(((n + m) * NUM + NUM + DEN - 1) / (NUM + DEN)).cast("int")
+
+
 def _blocks(rows: DataFrame, *members: str) -> DataFrame:
     """A row per token and pair of blocks, with the array `g` of its members.
 
-    `rows` have a token, a key, and `m`, the members of the token. A token of more than
-    BLOCK members is split; each of its members goes to every pair with its own block.
+    `rows` have a token, a key, and `m`, the members of the token. Each member of a token
+    goes to every pair of blocks with its own.
     """
     item = F.struct(*members, F.col("c"))
     c = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("c", F.pmod(F.col("key"), c).cast("int"))
-    small = rows.where(F.col("m") <= BLOCK)
-    together = small.groupBy("token").agg(F.collect_list(item).alias("g"), F.lit(True).alias("same"))
-    large = rows.where(F.col("m") > BLOCK).withColumn(
+    large = rows.withColumn("c", F.pmod(F.col("key"), c).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), c - 1))
     )
     pair = [F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j")]
-    split = (
+    return (
         large.select("*", *pair)
         .repartition(tasks(rows.sparkSession), "token", "i", "j")
         .groupBy("token", "i", "j")
         .agg(F.collect_list(item).alias("g"))
         .select("token", "g", (F.col("i") == F.col("j")).alias("same"))
     )
-    return together.unionByName(split)
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """`rows`, dealt by token, with the number `m` of rows of the token where there are several."""
-    dealt = rows.repartition(tasks(rows.sparkSession), "token")
-    several = dealt.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-    return dealt.join(several.hint("merge"), "token")
+def _large(rows: DataFrame, name: str) -> DataFrame:
+    """token, m: the tokens of more than BLOCK rows, and how many these are.
+
+    Written, so that Spark knows its size: it is broadcast if it is small enough.
+    """
+    return written(rows.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), name)
+
+
+def _passes(x: Column, y: Column) -> Column:
+    """The filters: lengths, tokens left behind the common one, parities. The sizes may come in any order."""
+    n, m = x["n"], y["n"]
+    least = _least_overlap(n, m)
+    return (
+        (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (F.least(n - x["pos"], m - y["pos"]) >= least)
+        & (F.bit_count(x["par"].bitwiseXOR(y["par"])) <= n + m - least * 2)
+    )
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """token, key: classes that the length and positional filters leave with a partner there."""
+    """token, key: classes that the filters leave with a partner there."""
+    large = _large(postings, "line-common")
+    columns = ("key", "n", "pos", "par")
+    small = postings.join(large.select("token"), "token", "left_anti")
+    x = small.select("token", F.struct(*columns).alias("x"))
+    y = small.where("pos < short").select("token", F.struct(*columns).alias("y"))
+    smaller = F.struct("y.n", "y.key") < F.struct("x.n", "x.key")
+    met = x.hint("merge").join(y, (x["token"] == y["token"]) & smaller & _passes(F.col("x"), F.col("y")))
+    joined = met.select(x["token"], F.explode(F.array("x.key", "y.key")).alias("key"))
+
     def partner(x: Column, y: Column, same: Column) -> Column:
-        left = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-        common = F.least(x["n"] - _apart(x["sig"], y["sig"]), y["n"] - _apart(y["sig"], x["sig"]))
-        return (
-            (x["key"] != y["key"]) & (same | (x["c"] != y["c"]))
-            & _enough(left, x["n"], y["n"]) & _enough(common, x["n"], y["n"])
-        )
-
-    grouped = _blocks(_counted(postings), "key", "n", "pos", "sig")
+        return (x["key"] != y["key"]) & (same | (x["c"] != y["c"])) & _passes(x, y)
+
+    grouped = _blocks(postings.join(large, "token"), *columns)
     kept = F.filter("g", lambda x: F.exists("g", lambda y: partner(x, y, F.col("same"))))
-    found = grouped.select("token", F.explode(kept).alias("x"))
-    return found.select("token", F.col("x.key").alias("key"))
+    inside = grouped.select("token", F.explode(kept).alias("x")).select("token", F.col("x.key").alias("key"))
+    return joined.unionByName(inside)
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -166,29 +180,38 @@ def _links(found: DataFrame) -> DataFrame:
     Two classes are compared under the first token that their prefixes share, and
     nowhere else, so each link counts once for either class.
     """
-    def linked(x: Column, y: Column, same: Column) -> Column:
+    def linked(x: Column, y: Column, token: Column) -> Column:
         n, m = F.size(x["ranks"]), F.size(y["ranks"])
-        return (
-            (x["key"] != y["key"]) & (same | (x["c"] != y["c"])) & _enough(F.least(n, m), n, m)
-            & ~F.arrays_overlap(x["before"], y["before"])
-            & _enough(F.size(F.array_intersect(x["ranks"], y["ranks"])), n, m)
-        )
-
-    found = found.withColumn("before", F.filter(
-        F.slice("ranks", F.lit(1), prefix_size(F.size("ranks"))), lambda t: t < F.col("token")
-    ))
-    grouped = _blocks(_counted(found), "key", "first", "ranks", "before")
-    met = F.transform("g", lambda x: F.struct(
+        common = F.array_intersect(x["ranks"], y["ranks"])  # in order, so the first is the rarest
+        return _enough(F.least(n, m), n, m) & _enough(F.size(common), n, m) & (F.get(common, F.lit(0)) == token)
+
+    large = _large(found.select("token"), "line-common")
+    columns = ("key", "first", "ranks")
+    small = found.join(large.select("token"), "token", "left_anti")
+    x, y = (small.select("token", F.struct(*columns).alias(name)) for name in ("x", "y"))
+    met = x.hint("merge").join(
+        y, (x["token"] == y["token"]) & (F.col("x.key") < F.col("y.key")) & linked(F.col("x"), F.col("y"), x["token"])
+    )
+
+    def side(own: str, other: str) -> Column:
+        earlier = (F.col(f"{other}.first") < F.col(f"{own}.first")).cast("int")
+        return F.struct(F.col(f"{own}.key").alias("key"), F.lit(1).cast("long").alias("links"), earlier.alias("earlier"))
+
+    joined = met.select(F.explode(F.array(side("x", "y"), side("y", "x"))).alias("r")).select("r.*")
+
+    grouped = _blocks(found.join(large, "token"), *columns)
+    partners = F.transform("g", lambda x: F.struct(
         x["key"].alias("key"),
         F.transform(
-            F.filter("g", lambda y: linked(x, y, F.col("same"))),
+            F.filter("g", lambda y: (x["key"] != y["key"]) & (F.col("same") | (x["c"] != y["c"])) & linked(x, y, F.col("token"))),
             lambda y: (y["first"] < x["first"]).cast("int"),
         ).alias("partners"),
     ))
-    rows = grouped.select(F.explode(F.filter(met, lambda r: F.size(r["partners"]) > 0)).alias("r"))
-    return rows.groupBy(F.col("r.key").alias("key")).agg(
-        F.sum(F.size("r.partners")).cast("long").alias("n_links"),
-        F.max(F.array_max("r.partners")).cast("boolean").alias("earlier"),
+    inside = grouped.select(F.explode(F.filter(partners, lambda r: F.size(r["partners"]) > 0)).alias("r")).select(
+        "r.key", F.size("r.partners").cast("long").alias("links"), F.array_max("r.partners").alias("earlier")
+    )
+    return joined.unionByName(inside).groupBy("key").agg(
+        F.sum("links").alias("n_links"), F.max("earlier").cast("boolean").alias("earlier")
     )
 
 
@@ -198,56 +221,64 @@ def match_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     class_doc and class_line are the first line of the class, copies its lines, n_links
     the classes linked to it.
     """
-    return _matched(docs, text).drop("row")
+    return _matched(docs, text)[0].drop("row")
 
 
-def _matched(docs: DataFrame, text: str) -> DataFrame:
-    """match_lines and `row`, which is the column ROW of `docs` if there is one."""
-    lines = split_lines(docs, text)
-    levels = rarity(lines)
-    ranked = lines.withColumn("ranks", ranks(F.col("line"), levels))
+def _matched(docs: DataFrame, text: str, row: str | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """match_lines with `row`, which is the column of `docs` that `row` names, if any, and the tables it reads."""
+    levels = rarity(docs, text)
+    ranked = split_lines(docs, text, row).withColumn("ranks", ranks(F.col("line"), levels))
     n = F.size("ranks")
     slim = written(
         ranked.select(
-            "doc_id", "row", "line_no", n.alias("n"),
+            "doc_id", "row", "line_no", "content", n.alias("n"),
             F.when(n > 0, F.xxhash64("ranks", "ranks")).alias("key"),
             F.slice("ranks", F.lit(1), F.greatest(prefix_size(n), F.lit(1))).alias("prefix"),
-            signature(F.col("ranks")).alias("sig"),
+            parity(F.col("ranks")).alias("par"),
         ),
         "lines",
     )
     place = F.struct("doc_id", "row", "line_no")
     classes = slim.where("key IS NOT NULL").groupBy("key").agg(
-        F.min(place).alias("first"), F.count("*").alias("copies"),
-        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sig").alias("sig"),
+        F.min(F.struct("doc_id", "row", "line_no", "content")).alias("first"), F.count("*").alias("copies"),
+        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("par").alias("par"),
     )
     classes = written(classes, "line-classes")
-    postings = classes.select("key", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
+    lines = written(slim.select("doc_id", "row", "line_no", "key"), "line-places")
+    discard(slim)
+    postings = classes.select(
+        "key", "n", index_size(F.col("n")).alias("short"), "par", F.posexplode("prefix").alias("pos", "token")
+    )
     candidates = written(_candidates(postings).distinct(), "line-candidates")
 
     keys = candidates.select("key").distinct()
-    firsts = classes.join(keys, "key", "left_semi").select("key", "first")
-    # The lines that are needed are picked inside their document's row.
-    wanted = firsts.groupBy(F.nullif("first.doc_id", F.lit(NO_ID)).alias("__id")).agg(
-        F.collect_list(F.struct("key", "first")).alias("__wanted")
+    facts = written(classes.select("key", "first", "copies"), "line-facts")
+    discard(classes)
+    firsts = facts.join(keys, "key", "left_semi").select("key", "first")
+    # The lines that are needed are picked inside a row of their document: rows of one doc_id
+    # and one text have the same lines, so any of them will do.
+    wanted = firsts.groupBy(F.col("first.doc_id").alias("id"), F.col("first.content").alias("content")).agg(
+        F.collect_list(F.struct("key", "first")).alias("wanted")
     )
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col(text), "\n").alias("lines"))
-    picked = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select(
-        "lines", F.explode("__wanted").alias("w")
+    source = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("content"),
+        F.split(F.col(text), "\n").alias("lines"),
     )
+    picked = source.join(wanted, ["id", "content"]).select("lines", F.explode("wanted").alias("w"))
     line = F.get("lines", F.col("w.first.line_no"))
-    tokens = picked.select("w.*", line.alias("line")).select("key", "first", ranks(F.col("line"), levels).alias("ranks"))
-    # Documents of one doc_id have different lines in one place: only the class's own counts.
-    sets = tokens.where(F.xxhash64("ranks", "ranks") == F.col("key")).dropDuplicates(["key"])
-    links = _links(candidates.join(sets, "key"))
-    facts = classes.select("key", "first", "copies").join(links, "key", "left")
-    return slim.join(facts, "key", "left").select(
+    first = F.struct("first.doc_id", "first.row", "first.line_no")
+    tokens = picked.select("w.*", line.alias("line")).select("key", first.alias("first"), ranks(F.col("line"), levels).alias("ranks"))
+    sets = written(tokens.where(F.xxhash64("ranks", "ranks") == F.col("key")).dropDuplicates(["key"]), "line-sets")
+    links = written(_links(candidates.join(sets, "key")), "line-links")
+    discard(candidates, sets)
+    found = lines.join(facts.join(links, "key", "left"), "key", "left").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", "line_no",
         F.nullif("first.doc_id", F.lit(NO_ID)).alias("class_doc"), F.col("first.line_no").alias("class_line"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("earlier") | (place > F.col("first")), F.lit(False)).alias("removed"),
+        F.coalesce(F.col("earlier") | (F.col("first").isNotNull() & (place > first)), F.lit(False)).alias("removed"),
     )
+    return found, [lines, facts, links]
 
 
 def drop_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -256,24 +287,27 @@ def drop_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     Other columns stay as they are, a column n_chars follows the text. A document that
     had no words to begin with stays.
     """
-    rows = numbered(docs)
-    flags = _matched(rows, text)
-    gone = flags.where("removed").groupBy(F.col("row").alias(ROW)).agg(F.collect_set("line_no").alias("__gone"))
-    joined = rows.join(gone, ROW, "left")
-    kept = F.filter(
-        F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("__gone"), i)
+    row, gone_name, rest_name = (free_name(docs, c) for c in ("row_number", "lines_gone", "lines_left"))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    flags, read = _matched(rows, text, row)
+    gone = written(
+        flags.where("removed").groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone_name)), "lines-gone"
     )
-    rest = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("__text", rest).where(
-        F.col("__gone").isNull() | (F.trim(F.translate("__text", "\t\r\x0b\x0c\n", "     ")) != "")
+    discard(*read)
+    joined = rows.join(gone, row, "left")
+    lost, left = F.col(gone_name), F.col(rest_name)
+    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(lost, i))
+    rest = F.when(lost.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(rest_name, rest).where(
+        lost.isNull() | (F.trim(F.translate(rest_name, "\t\r\x0b\x0c\n", "     ")) != "")
     )
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.col("__text").alias(c))
+            columns.append(left.alias(c))
         elif c == "n_chars":
             kind = docs.schema[c].dataType
-            columns.append(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length("__text").cast(kind)).alias(c))
+            columns.append(F.when(lost.isNull(), F.col(c)).otherwise(F.length(left).cast(kind)).alias(c))
         else:
             columns.append(F.col(c))
     return out.select(*columns)
