@@ -145,19 +145,23 @@ def _large(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _passes(x: Column, y: Column) -> Column:
-    """The filters: lengths, tokens left behind the common one, parities. The sizes may come in any order."""
+    """The filters: lengths, tokens left behind the common one, parities. The sizes may come in any order.
+
+    Sets that share the token before as well meet there, or before that.
+    """
     n, m = x["n"], y["n"]
     least = _least_overlap(n, m)
     return (
         (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (F.least(n - x["pos"], m - y["pos"]) >= least)
         & (F.bit_count(x["par"].bitwiseXOR(y["par"])) <= n + m - least * 2)
+        & ~F.coalesce(x["prev"] == y["prev"], F.lit(False))
     )
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
     """token, key: classes that the filters leave with a partner there."""
     large = _large(postings, "line-common")
-    columns = ("key", "n", "pos", "par")
+    columns = ("key", "n", "pos", "par", "prev")
     small = postings.join(large.select("token"), "token", "left_anti")
     x = small.select("token", F.struct(*columns).alias("x"))
     y = small.where("pos < short").select("token", F.struct(*columns).alias("y"))
@@ -247,8 +251,8 @@ def _matched(docs: DataFrame, text: str, row: str | None = None) -> tuple[DataFr
     lines = written(slim.select("doc_id", "row", "line_no", "key"), "line-places")
     discard(slim)
     postings = classes.select(
-        "key", "n", index_size(F.col("n")).alias("short"), "par", F.posexplode("prefix").alias("pos", "token")
-    )
+        "key", "n", index_size(F.col("n")).alias("short"), "par", "prefix", F.posexplode("prefix").alias("pos", "token")
+    ).withColumn("prev", F.get("prefix", F.col("pos") - 1)).drop("prefix")
     candidates = written(_candidates(postings).distinct(), "line-candidates")
 
     keys = candidates.select("key").distinct()
