@@ -568,6 +568,45 @@ def test_copies_do_not_crowd_the_sample(spark):
     assert len(rows) == len(set(rows)) and len({r.paragraph for r in rows} & texts) > 360
 
 
+def test_licences_are_learnt_from_every_line(spark):
+    """More lines than a bounded sample would hold: each is there once, trains or calibrates, and weighs its share."""
+    from pyspark.sql import functions as F
+
+    lines = [f"w{i} w{i + 1} plain words w{i * 7}" for i in range(20_000)]
+    docs = frame(spark, ["\n".join(lines[i:i + 50]) for i in range(0, len(lines), 50)] * 2)
+    rows = licences._training(docs).persist()
+    none = rows.where("label = 0")
+    assert {r.paragraph for r in none.select("paragraph").collect()} == set(lines) and none.count() == len(lines)
+    trains, kept = none.where("NOT kept").count(), none.where("kept").count()
+    assert trains > 9_000 and kept > 9_000
+    assert abs(none.where("NOT kept").agg(F.sum("weight")).first()[0] - licences.NONE_WEIGHT) < 1e-6
+    held = rows.where("label > 0 AND weight < 1")
+    assert held.count() == trains and held.select("label").distinct().count() == len(licences.TEMPLATES)
+
+
+def test_threshold_of_licences_counts_every_alarm(spark):
+    from pyspark.sql import functions as F
+
+    n = 5_000
+    alarms = spark.range(n).select((F.lit(0.5) + F.col("id") / (2 * n)).alias("alarm"))
+    t = licences._threshold(alarms)
+    assert alarms.where(F.col("alarm") >= t).count() <= licences.FALSE_ALARMS * n
+    assert alarms.where(F.col("alarm") >= t - 1 / licences.STEPS).count() > licences.FALSE_ALARMS * n
+    assert licences._threshold(alarms.where("alarm < 0")) == licences.LEAST_PROBABILITY
+    assert licences._threshold(spark.range(10).select(F.lit(0.1).alias("alarm"))) == licences.LEAST_PROBABILITY
+
+
+def test_words_of_a_window_are_those_of_its_lines(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = ["\n".join(f"# {sentence(rng, 4)}." for _ in range(20)), "\n\nA, b.\n// (C) D...\n", "", None, "x"]
+    docs = frame(spark, texts).coalesce(1)
+    places = ["row", "line_no", "last_line"]
+    plain = licences.paragraphs(docs).select(*places, licences.words(F.col("paragraph")).alias("words"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, licences._paragraph_words(docs).select(*places, "words").collect()))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(500, 8)) * rng.uniform(0.5, 2, size=(500, 1))
