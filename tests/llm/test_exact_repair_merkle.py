@@ -332,3 +332,16 @@ def test_manifest_of_the_given_table(spark):
 def test_manifest_of_an_empty_table(spark):
     docs = documents(spark, [])
     assert merkle.manifest(docs).count() == 0
+
+
+def test_only_texts_that_are_compared_are_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(0, 90_000, 1, 3).select(
+        (F.col("id") % 30_000 + F.floor(F.col("id") / 30_000) * 2**33).alias("row"), F.col("id").cast("string").alias("text")
+    )
+    wanted = texts.where("text % 971 = 0 OR text IN (7, 8, 32767, 32768, 32769, 89999)").select("row")
+    got = exact_dedup._only(texts, wanted.unionByName(wanted))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, texts.join(wanted, "row").select("row", "text").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -123,15 +123,26 @@ def fingerprints(texts: DataFrame, primes: tuple[int, ...] = PRIMES) -> DataFram
     return whole.unionByName(summed)
 
 
+def _only(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """row and text of those `rows`, found by a bit per row, so that no other text is shuffled."""
+    block, bit = F.bitmap_bucket_number("row"), F.bitmap_bit_position("row")
+    marks = rows.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    # A block is 4 KB for 32,768 rows of neighbouring numbers.
+    return texts.join(F.broadcast(marks), block == F.col("block")).where(marked).select("row", "text")
+
+
 def _same(texts: DataFrame, open_rows: DataFrame, chunk: int, members: int) -> DataFrame:
     """row, first, same: whether each open row's bytes are those of the first row of its group."""
     copies = F.ceil(F.col("m") / members).cast("int")
     asked = open_rows.select("row", "first", F.pmod(F.xxhash64("row"), copies).cast("int").alias("copy"))
     held = asked.select(F.col("first.row").alias("row"), "first", "copy").distinct()
     data = F.col("text").cast("binary").alias("data")
+    met_texts = _only(texts, asked.select("row").unionByName(held.select("row")))
 
     def cut(rows: DataFrame) -> DataFrame:
-        met = texts.select("row", "text").join(rows, "row").select("first.row", "copy", F.col("row").alias("own"), data)
+        met = met_texts.join(rows.hint("merge"), "row").select("first.row", "copy", F.col("row").alias("own"), data)
         return met.mapInArrow(_chunks(chunk), "row long, copy int, own long, at long, data binary")
 
     theirs = cut(held).select("row", "copy", "at", F.col("data").alias("held"))
@@ -154,7 +165,8 @@ def duplicates(
 ) -> DataFrame:
     """A row per row of `docs`: row, doc_id, keep_id, group_size, kept, text_sha256.
 
-    `row` names a column of `docs` that numbers its rows; without it they are numbered here.
+    `row` names a column of `docs` that numbers its rows, as monotonically_increasing_id
+    does, without large gaps; without it they are numbered here.
     """
     number = F.monotonically_increasing_id() if row is None else F.col(row)
     kept_text = docs.select(
