@@ -311,3 +311,25 @@ def test_a_sequence_of_more_rules_than_a_mask_has_bits(spark, tmp_path):
     # A stream of so many steps is the same narrowing; its plan must resolve.
     stream = spark.readStream.schema(stored.schema).parquet(root)
     assert sc.correlate_stream(stream, rs).isStreaming
+
+
+def test_streams_grow_in_tasks_instead_of_task_size(spark, tmp_path):
+    """More events: more files of a part, each part still a batch, and more partitions of state."""
+    from watchglass.plans.catalogue import streams
+
+    n = 2 * streams.EVENTS_OF_A_FILE + 1
+    spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + 3 * id) AS ts", "id % 9 AS user_id", "'x' AS event_type",
+        "1.0D AS value", "'{}' AS props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    sized = streams._sized(spark, str(tmp_path))
+    assert sized["spark.sql.files.minPartitionNum"] >= 3
+    assert sized["spark.sql.shuffle.partitions"] >= n / streams.EVENTS_OF_A_STATE
+    parts = [*streams._by_time(spark, str(tmp_path)), *streams._sentinels(spark, str(tmp_path))]
+    streams._parts(spark, str(tmp_path), f"{tmp_path}/root", *parts)
+    for k in range(len(parts)):
+        assert len(list((tmp_path / "root" / "in" / f"part={k}").glob("*.parquet"))) == 3
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with detect.settings(spark, sized):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(sized["spark.sql.shuffle.partitions"])
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

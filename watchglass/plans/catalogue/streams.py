@@ -15,14 +15,16 @@ from ...operators import matching
 from ...operators.rules import Ruleset, ruleset_from_dicts
 from ...sources.events import message_files, stream_files
 from ...streaming import detect
-from ..durable import checkpoint_dir
+from ..durable import checkpoint_dir, materialize
 from .common import EVENT_FIELDS, MATCHES_SQL, plain_times, rules, table
 from .correlations import (
     ANY_OF, BOTH, COUNT, KIND_RULES, ORDER, ORDER3, P95, VALUES, _COUNT_SQL, _FAN, _NESTED, _ORDER3_SQL,
     correlation, framed, greedy_sql, per_user, shown,
 )
 
-FILES = 2  # of a part, which is what one batch reads
+FILES = 2  # of a part at least, which is what one batch reads
+EVENTS_OF_A_FILE = 400_000  # of all events, of which a part holds about a quarter
+EVENTS_OF_A_STATE = 200_000  # of all events, to a partition of a stream's state
 NOW = {"availableNow": True}
 LETTERS = "reason string, rule_id string, event string, error string, trace string"
 LATE = "event_id % 10 = 0 AND day(ts) < 8"  # rows that the late parts hold back
@@ -40,18 +42,31 @@ def _root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _files(n: int) -> int:
+    """Files of a part of `n` events: a task reads one, so these grow in number instead of size."""
+    return max(FILES, -(-n // EVENTS_OF_A_FILE))
+
+
+def _sized(spark: SparkSession, sf: str) -> dict[str, int]:
+    """Settings of a stream by which its tasks and partitions of state grow in number, not in size."""
+    n = table(spark, sf, "events").count()
+    least = {"spark.sql.files.minPartitionNum": _files(n), "spark.sql.shuffle.partitions": -(-n // EVENTS_OF_A_STATE)}
+    return {name: max(value, int(spark.conf.get(name, None) or 0)) for name, value in least.items()}
+
+
 def _parts(spark: SparkSession, sf: str, root: str, *parts: DataFrame) -> DataFrame:
     """A stream that reads the parts in order, a part a batch."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = _files(table(spark, sf, "events").count())
     for n, part in enumerate(parts):
         target = f"{root}/in/part={n}"
-        part.repartition(FILES).write.parquet(target)
+        part.repartition(files).write.parquet(target)
         folder = jvm.org.apache.hadoop.fs.Path(target)
         fs = folder.getFileSystem(conf)
         for status in fs.listStatus(folder):  # the source reads files in order of their times
             fs.setTimes(status.getPath(), 1_700_000_000_000 + 60_000 * n, -1)
     return (
-        spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", FILES)
+        spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", files)
         .option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{root}/in")
         .withColumn("event_time", F.col("ts").cast("timestamp"))
     )
@@ -65,24 +80,27 @@ def _by_time(spark: SparkSession, sf: str, edges=(1, 8, 15, 23, 32)) -> list[Dat
 def _sentinels(spark: SparkSession, sf: str) -> list[DataFrame]:
     """Rows of no rule, years ahead: a row per file, so that a batch reads a part whole."""
     ev = table(spark, sf, "events")
+    files = _files(ev.count())
     first = ev.groupBy().agg(F.min_by(F.struct(*ev.columns), "event_id").alias("e")).select("e.*")
     return [
         first.withColumns({
             "ts": F.lit(f"{year}-01-01").cast(ev.schema["ts"].dataType), "event_type": F.lit("end"),
             "user_id": F.lit(-1).cast("bigint"), "value": F.lit(0.0), "event_id": F.lit(-1).cast("bigint"),
-        }).withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(FILES)))).drop("_")
+        }).withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(files)))).drop("_")
         for year in (2040, 2041)
     ]
 
 
-def _run(spark: SparkSession, source: DataFrame, rs: Ruleset, root: str, **options) -> DataFrame:
+def _run(spark: SparkSession, sf: str, source: DataFrame, rs: Ruleset, root: str, **options) -> DataFrame:
     """What the correlations of a stream emit until its end."""
     def write(micro, batch_id):
         micro.write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
 
-    for q in detect.start_correlations(
-        source, rs, f"{root}/checkpoint", write, fields=EVENT_FIELDS, trigger=NOW, **options
-    ):
+    with detect.settings(spark, _sized(spark, sf)):
+        started = detect.start_correlations(
+            source, rs, f"{root}/checkpoint", write, fields=EVENT_FIELDS, trigger=NOW, **options
+        )
+    for q in started:
         q.awaitTermination()
     return spark.read.parquet(f"{root}/alerts")
 
@@ -91,7 +109,7 @@ def _correlations(*specs):
     def run(spark, sf):
         root, rs = _root(spark), ruleset_from_dicts([*KIND_RULES, *specs])
         source = _parts(spark, sf, root, *_by_time(spark, sf), *_sentinels(spark, sf))
-        return shown(_run(spark, source, rs, root))
+        return shown(_run(spark, sf, source, rs, root))
 
     return run
 
@@ -101,7 +119,7 @@ def _late(spark, sf):
     root, rs = _root(spark), ruleset_from_dicts([*KIND_RULES, COUNT, VALUES])
     parts = [p.where(f"NOT ({LATE})") for p in _by_time(spark, sf)]
     source = _parts(spark, sf, root, *parts, table(spark, sf, "events").where(LATE), *_sentinels(spark, sf))
-    alerts = _run(spark, source, rs, root, letters_path=f"{root}/letters")
+    alerts = _run(spark, sf, source, rs, root, letters_path=f"{root}/letters")
     letters = spark.read.schema(LETTERS).option("recursiveFileLookup", "true").json(f"{root}/letters")
     told = letters.select(
         "reason", "rule_id", F.get_json_object("event", "$.event_id").alias("key"), F.lit(None).cast("bigint").alias("n"),
@@ -139,8 +157,8 @@ def _flush(spark, sf):
     root, rs = _root(spark), ruleset_from_dicts([*KIND_RULES, held, VALUES, P95, nested])
     parts = [p.where(f"NOT ({LATE})") for p in _by_time(spark, sf)]
     source = _parts(spark, sf, root, *parts, table(spark, sf, "events").where(LATE))
-    emitted = _run(spark, source, rs, root)
-    rest = detect.flush_open_windows(spark, rs, f"{root}/checkpoint")
+    emitted = _run(spark, sf, source, rs, root)
+    rest = materialize(detect.flush_open_windows(spark, rs, f"{root}/checkpoint"))
     return shown(emitted.unionByName(rest, allowMissingColumns=True)).unionByName(
         shown(rest.limit(1)).select(
             F.lit("open windows were left").alias("rule_id"), F.lit(None).cast("string").alias("correlation_key"),
@@ -183,10 +201,12 @@ def _dedup(spark, sf):
     again = [parts[0], *(p.unionByName(q.where("event_id % 4 = 0")) for p, q in zip(parts[1:], parts))]
     source = _parts(spark, sf, root, *again)
     once = detect.once_per_message(source, "event_id", "event_time", 40 * 86400).select("event_id", "event_type")
-    (
-        once.writeStream.format("parquet").option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(**NOW).start().awaitTermination()
-    )
+    with detect.settings(spark, _sized(spark, sf)):
+        query = (
+            once.writeStream.format("parquet").option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(**NOW).start()
+        )
+    query.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
@@ -202,7 +222,7 @@ def _matches(spark, sf):
 def _fan_out(spark, sf):
     root = _root(spark)
     source = _parts(spark, sf, root, *_by_time(spark, sf), *_sentinels(spark, sf))
-    return shown(_run(spark, source, fan_out(), root))
+    return shown(_run(spark, sf, source, fan_out(), root))
 
 
 def _divides(e: dict) -> bool:

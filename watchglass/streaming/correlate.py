@@ -30,6 +30,7 @@ from ..functions.fields import FieldMap
 from ..operators import correlate as batch
 from ..operators.rules import Correlation, Rule, Ruleset
 from ..operators.suppress import suppress_alerts
+from ..plans.durable import materialize
 from ..plans.skew import DEFAULT_SALTS, salted_join
 
 _KEYS = ("window", "c", "k")
@@ -364,7 +365,8 @@ def open_windows(
                 rows = _ended(batch.correlation_rows(batch.alerts_to_events(seen), refs, group, time="timestamp"), level)
                 more = rows.withColumnRenamed(f"c{level}", "c").groupBy("end", "ws", "c", "k", "v").agg(*_measures(group))
                 parts = parts.unionByName(more)
-            out = _alerts(_merged(parts, group), group)
+            # Levels above and suppression read these again, which would read and add up the state anew.
+            out = materialize(_alerts(_merged(parts, group), group))
             seen = out if seen is None else seen.unionByName(out)
     if suppressed and any(c.suppress_seconds for c in ruleset.correlations):
         seen = _continued(spark, ruleset, checkpoint, seen)

@@ -164,21 +164,27 @@ def start_correlations(
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started within keep their state in RocksDB, which suppression needs.
-
-    A query keeps the settings it was started with; the session's own are put back.
-    """
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def settings(spark: SparkSession, wanted: dict[str, object]) -> Iterator[None]:
+    """Queries started within keep these settings; the session's own are put back."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def rocksdb_state(spark: SparkSession):
+    """Queries started within keep their state in RocksDB, which suppression needs."""
+    return settings(spark, {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    })
 
 
 def _with_letters(write: Callable[[DataFrame, int], None], checkpoint: str, letters_path: str):
