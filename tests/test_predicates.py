@@ -452,3 +452,13 @@ def test_grouped_rules_equal_single_ones(make_events):
 
     for d, hits in zip(detections, together):
         assert hits == {i for i, e in enumerate(events) if holds(e, d)}, d
+
+
+def test_leaf_texts_split_a_document_once(spark):
+    from watchglass.functions.fields import SEPARATOR, leaf_texts
+
+    sql = leaf_texts("j")
+    assert sql.count("split(replace(") == 1
+    rows = [('{"a":"x \\"q\\" y","b":{"c":[1,true,null,"z\\n"]}}',), ("7",), ('""',), (None,)]
+    got = [r.t for r in spark.createDataFrame(rows, "j string").selectExpr(f"{sql} AS t").collect()]
+    assert got == [SEPARATOR.join(['x "q" y', "z\n", "1", "true"]), "7", "", None]

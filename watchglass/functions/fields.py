@@ -39,14 +39,15 @@ def leaf_texts(json: str) -> str:
     stand in the parts between.
     """
     clear = f"replace(replace({json}, {sql_str(chr(92) * 2)}, {sql_str(_BACKSLASH)}), {sql_str(chr(92) + chr(34))}, {sql_str(_QUOTE)})"
-    parts = f"split({clear}, {sql_str(chr(34))})"
     strings = (
-        f"filter(transform({parts}, (x, i) -> if(i % 2 = 1 AND NOT startswith(get({parts}, i + 1), ':'), x, NULL)),"
+        "filter(transform(parts, (x, i) -> if(i % 2 = 1 AND NOT startswith(get(parts, i + 1), ':'), x, NULL)),"
         " x -> x IS NOT NULL)"
     )
-    between = f"array_join(filter({parts}, (x, i) -> i % 2 = 0), ',')"
+    between = "array_join(filter(parts, (x, i) -> i % 2 = 0), ',')"
     others = f"filter(split({between}, {sql_str(_MARKS)}), x -> x <> '' AND x <> 'null')"
-    out = f"array_join(concat({strings}, {others}), {sql_str(SEPARATOR)})"
+    # A variable of a function: the text is split once, not again for each of its parts.
+    joined = f"parts -> array_join(concat({strings}, {others}), {sql_str(SEPARATOR)})"
+    out = f"get(transform(array(split({clear}, {sql_str(chr(34))})), {joined}), 0)"
     out = f"replace({out}, {sql_str(_QUOTE)}, {sql_str(chr(34))})"
     for escaped, plain in _ESCAPES:
         out = f"replace({out}, {sql_str(escaped)}, {sql_str(plain)})"
