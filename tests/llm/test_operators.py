@@ -478,6 +478,28 @@ def test_lattice_of_long_words(spark, monkeypatch):
     assert {r.doc_id: r.ids for r in lattice.encode(docs, path).collect()} == want
 
 
+def test_encoding_shuffles_and_writes_nothing(spark, texts, monkeypatch):
+    """A row per word would be several times the input; what a task remembers changes no result."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = frame(spark, [*texts, *texts], [*range(len(texts))] * 2)
+    from pathlib import Path
+
+    from watchglass.plans.durable import checkpoint_dir
+
+    shared = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    found = lattice.encode(docs, path)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, found.select("doc_id", "ids", "decoded").collect()))
+    assert set(shared.iterdir()) == before and len(want) == 2 * len(texts) and want[::2] == want[1::2]
+    monkeypatch.setattr(lattice, "REMEMBERED", 3)
+    monkeypatch.setattr(lattice, "FLUSH", 50)
+    assert sorted(map(tuple, lattice.encode(docs, path).select("doc_id", "ids", "decoded").collect())) == want
+    assert lattice.encode(docs.where("false"), path).collect() == []
+
+
 def test_licences(spark):
     rng = random.Random(9)
     plain = [sentence(rng, 15) for _ in range(120)]

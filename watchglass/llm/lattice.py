@@ -1,44 +1,49 @@
-"""Encoding with the pieces of a SentencePiece vocabulary, as joins over a lattice of substrings.
+"""Encoding with the pieces of a SentencePiece vocabulary, as the best way through a lattice of substrings.
 
 A text gets a space in front, spaces become U+2581, and it is cut before each run of that
-character into words, nowhere else: no piece goes on behind such a place. Each distinct
-word is encoded once: its substrings up to the longest piece are exploded and
-equi-joined to the piece table, a fixed vocabulary; those found are the edges of a lattice
-over the word's places. Edges are grouped by word and end, and folded by Spark's
-aggregate: the best way to a place is the best of the ways to the edges' starts plus the
-edge. The ways are then walked back. A code point that is no piece is an edge by itself,
-written as the vocabulary's byte pieces. Of equal ways the one whose last piece is longer wins.
+character into words, nowhere else: no piece goes on behind such a place. The substrings of
+a word that are pieces, a fixed vocabulary, are the edges of a lattice over the word's
+places. It is folded from place to place: the best way to a place is the best of the ways
+to the edges' starts plus the edge. The ways are then walked back. A code point that is no
+piece is an edge by itself, written as the vocabulary's byte pieces. Of equal ways the one
+whose last piece is longer wins.
 
 The file holds merge ranks, not probabilities. An edge scores -ln(rank + 2), the
 probability that Zipf's law gives to the rank, so that the best way has few and frequent
 pieces.
 
-A word of more than JOINED code points, as in texts without spaces, would repeat itself in
-too many rows and collect its whole lattice in one. Its lattice is folded the same way, from
-place to place, in Arrow batches, and holds a few numbers per code point.
+Documents are encoded where they are read, in Arrow batches, and nothing is shuffled or
+written: a row per word would be several times the input. Words of all lengths are folded by
+the same code, with a few numbers per code point; the tasks that meet a word remember its ids,
+REMEMBERED words at once, words over JOINED code points apart, which seldom come again.
+Decoding looks the ids up in the table of the pieces' bytes.
 
-Encoded words are joined to their places in the documents and put together by document.
-Decoding looks ids up in the table of the pieces' bytes.
-
-Defined results: a null or empty text has no pieces; rows of equal doc_id are told apart
-by a number within the text's partition, and stay separate.
+Defined results: a null or empty text has no pieces; every row has a result of its own,
+whatever its doc_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty
 
 SPACE = "▁"
 LONGEST = (1 << 31) - 1  # code points of a word, more than a text can have: none is cut
-JOINED = 128  # code points of the longest words whose lattice is made by joins
+JOINED = 128  # code points of the longest words whose places in the texts share one fold
+REMEMBERED = 1 << 18  # words whose ids a task holds; it begins anew when it has met so many
+FLUSH = 1 << 22  # ids from which a task hands its rows on
 _UNKNOWN = -30.0  # score of a code point that is no piece, under any piece's
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass
@@ -71,133 +76,82 @@ class Pieces:
         return df.select("piece", "id", (-F.log(F.col("rank") + 2.0)).alias("score"))
 
 
-def word_array(text: Column) -> Column:
-    """The words of a text, in order."""
-    whole = F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)))
-    cut = F.split(whole, f"(?<=[^{SPACE}])(?={SPACE})")
-    return F.filter(cut, lambda w: w != "")
-
-
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids: of the distinct texts `word`."""
-    long = F.char_length("word") > JOINED
-    return _encode_joined(words.where(~long), pieces).unionByName(_encode_folded(words.where(long), pieces))
-
-
-def best_way(word: str, known: dict[str, tuple[int, float]], ends: dict[str, list[int]], byte_ids: list[int]) -> list[int]:
-    """The ids of a word; `ends` has the lengths of the pieces that end in a code point, longest first."""
-    scores, backs, n = [0.0], [0], len(word)
-    for end in range(1, n + 1):
-        best, back = None, end - 1
-        for size in ends.get(word[end - 1], ()):
-            if size <= end and (found := known.get(word[end - size : end])) is not None:
-                total = scores[end - size] + found[1]
-                if best is None or total > best:
-                    best, back = total, end - size
-        if word[end - 1] not in known:
-            total = scores[end - 1] + _UNKNOWN
-            if best is None or total > best:
-                best, back = total, end - 1
-        scores.append(best)
-        backs.append(back)
-    out, at = [], n
-    while at:
-        piece = word[backs[at] : at]
-        found = known.get(piece)
-        out.append([found[0]] if found else [byte_ids[b] for b in piece.encode()])
-        at = backs[at]
-    return [x for ids in reversed(out) for x in ids]
-
-
-def _encode_folded(words: DataFrame, pieces: Pieces) -> DataFrame:
-    # The vocabulary's rows, whatever the data; Spark's own scores, so that ties are the same.
-    known = {r.piece: (r.id, r.score) for r in pieces.table(words.sparkSession).collect()}
-    lengths: dict[str, set[int]] = {}
-    for p in known:
-        lengths.setdefault(p[-1], set()).add(len(p))
-    ends = {c: sorted(found, reverse=True) for c, found in lengths.items()}
-    byte_ids = pieces.byte_ids
+class _Words(dict):
+    """The packed ids of words, each folded when it is first asked for."""
+
+    def __init__(self, known: dict[str, tuple[int, float]], byte_ids: list[int]) -> None:
+        self.known, self.byte_ids = known, byte_ids
+        # By code point: what the pieces go on with there, and the score of the piece that ends there, if any.
+        self.tree: dict[str, tuple[dict, float | None]] = {}
+        for piece, (_, score) in sorted(known.items(), key=lambda x: len(x[0])):
+            node = self.tree
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, None))[0]
+            node[piece[-1]] = ({}, score)
+
+    def fold(self, word: str) -> list[int]:
+        """The ids of the best way through a word. Edges to a place come longest first, so that of equal ways it wins."""
+        n = len(word)
+        scores, backs = [0.0, *[-math.inf] * n], [0] * (n + 1)
+        for start in range(n):
+            here, node = scores[start], self.tree
+            for end in range(start, n):
+                found = node.get(word[end])
+                if found is None:
+                    break
+                node, score = found
+                if score is not None and here + score > scores[end + 1]:
+                    scores[end + 1], backs[end + 1] = here + score, start
+            if word[start] not in self.known and here + _UNKNOWN > scores[start + 1]:
+                scores[start + 1], backs[start + 1] = here + _UNKNOWN, start
+        out, at = [], n
+        while at:
+            piece = word[backs[at] : at]
+            if found := self.known.get(piece):
+                out.append(found[0])
+            else:
+                out += [self.byte_ids[b] for b in reversed(piece.encode())]
+            at = backs[at]
+        return out[::-1]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.fold(word)).tobytes()
+        if len(word) <= JOINED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [best_way(w, known, ends, byte_ids) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
-
-
-def _encode_joined(words: DataFrame, pieces: Pieces) -> DataFrame:
-    spark = words.sparkSession
-    table = F.broadcast(pieces.table(spark))
-    longest = max(len(p) for p, _, _ in pieces.rows)
-    n = F.char_length("word")
-    starts = words.select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    ends = starts.select(
-        "word", "start",
-        F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.col("n")))).alias("end"),
-    )
-    part = F.substring(F.col("word"), F.col("start") + 1, F.col("end") - F.col("start"))
-    met = ends.withColumn("piece", part).join(table, "piece", "left")
-    met = met.where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    octets = F.transform(
-        F.sequence(F.lit(0), F.octet_length("piece") - 1),
-        lambda i: F.conv(F.substring(F.hex(F.encode("piece", "UTF-8")), i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
-    byte_ids = F.split(F.lit(",".join(map(str, pieces.byte_ids))), ",").cast("array<int>")
-    ids = F.when(F.col("id").isNull(), F.transform(octets, lambda b: F.get(byte_ids, b))).otherwise(F.array("id"))
-    edges = met.select(
-        "word", "end", F.struct("start", F.coalesce("score", F.lit(_UNKNOWN)).alias("score"), ids.alias("ids")).alias("edge")
-    )
-    by_end = edges.groupBy("word", "end").agg(F.collect_list("edge").alias("edges"))
-    lattice = by_end.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("places"))
-
-    way = "struct<score:double,back:int,ids:array<int>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.array().cast("array<int>").alias("ids")).cast(way))
-
-    def reach(ways: Column, place: Column) -> Column:
-        found = F.transform(place["edges"], lambda e: F.struct(
-            (F.get(ways, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["ids"].alias("ids")
-        ).cast(way))
-        return F.concat(ways, F.array(F.array_max(found)))
-
-    ways = lattice.select("word", F.aggregate("places", start, reach).alias("ways"))
-    last = F.size("ways") - 1
-    none = F.struct(last.alias("at"), F.array().cast("array<array<int>>").alias("ids"))
-
-    def step(state: Column, place: Column) -> Column:
-        here = F.get(F.col("ways"), place)
-        return F.when(
-            state["at"] == place,
-            F.struct((-here["back"]).alias("at"), F.concat(F.array(here["ids"]), state["ids"]).alias("ids")),
-        ).otherwise(state)
-
-    walked = F.aggregate(F.sequence(last, F.lit(1)), none, step)
-    return ways.select("word", F.flatten(walked["ids"]).alias("ids"))
-
-
-def decoded(ids: Column, pieces: Pieces) -> Column:
-    """The text of ids."""
-    octets = F.split(F.lit(",".join(pieces.octets)), ",")
-    whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(octets, i)), "")), "UTF-8")
-    return F.substring(F.translate(whole, SPACE, " "), F.lit(2), F.char_length(whole))
+
+def decoded(ids: list[int], octets: list[bytes]) -> str:
+    """The text of ids; `octets` has the bytes of each piece."""
+    whole = b"".join([octets[i] for i in ids]).decode()
+    return whole.replace(SPACE, " ")[1:]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, ids and the text that they give back, a row per document."""
     pieces = Pieces.load(path)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-        word_array(text_or_empty(text)).alias("words"),
-    )
-    rows = written(rows, "words")
-    places = rows.select("row", F.posexplode("words").alias("pos", "word"))
-    encoded = written(encode_words(places.select("word").distinct(), pieces), "encoded-words")
-    put = places.join(encoded, "word").groupBy("row").agg(
-        F.flatten(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda p: p["ids"]
-        )).alias("ids")
-    )
-    ids = F.coalesce("ids", F.array().cast("array<int>"))
-    return rows.select("row", "doc_id").join(put, "row", "left").select(
-        "doc_id", ids.alias("ids"), decoded(ids, pieces).alias("decoded")
-    )
+    # The vocabulary's rows, whatever the data, with scores that Spark computed.
+    known = {r.piece: (r.id, r.score) for r in pieces.table(docs.sparkSession).collect()}
+    byte_ids, octets = pieces.byte_ids, [bytes.fromhex(x) for x in pieces.octets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(known, byte_ids)
+        for batch in batches:
+            first, ids, ends, texts = 0, array("i"), [0], []
+            for k, text in enumerate(batch.column(1), 1):
+                whole = SPACE + text.as_py().replace(" ", SPACE)
+                if len(whole) > 1:
+                    ids.frombytes(b"".join(words[m[0]] for m in _WORD.finditer(whole)))
+                texts.append(decoded(ids[ends[-1] :].tolist(), octets))
+                ends.append(len(ids))
+                if len(ids) >= FLUSH or k == len(batch):
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.intc), pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, k - first), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
+                    )
+                    first, ids, ends, texts = k, array("i"), [0], []
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
