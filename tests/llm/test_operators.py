@@ -91,6 +91,20 @@ def test_blocks_of_a_hot_token_change_nothing(spark, texts, monkeypatch):
     assert sorted(map(str, line_dedup.match_lines(docs).collect())) == want
 
 
+def test_passes_change_nothing_and_hold_a_share_each(spark, texts, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    group = sentence(rng, 40)
+    docs = frame(spark, texts + [near(rng, group) for _ in range(30)])
+    want = sorted(map(str, line_dedup.match_lines(docs).collect()))
+    tokens = spark.range(4000).select(F.xxhash64("id").alias("token"))
+    sizes = [line_dedup._pass(tokens, k).count() for k in range(line_dedup.PASSES)]
+    assert sum(sizes) == 4000 and max(sizes) < 2 * 4000 / line_dedup.PASSES
+    monkeypatch.setattr(line_dedup, "PASSES", 1)
+    assert sorted(map(str, line_dedup.match_lines(docs).collect())) == want
+
+
 def test_dropped_lines(spark, texts):
     docs = frame(spark, texts)
     gone = {(r.doc_id, r.line_no) for r in line_dedup.match_lines(docs).collect() if r.removed}

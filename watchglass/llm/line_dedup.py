@@ -19,7 +19,9 @@ their sets. Around a token of more than BLOCK classes nothing is emitted per pai
 classes are dealt to blocks, each pair of blocks is compared inside one row, and what
 comes out is a row per class. So a large group of near copies costs comparisons, in
 bounded memory and on many tasks, but no rows. Each link is found under the first token
-that both prefixes share, and counts once for either class.
+that both prefixes share, and counts once for either class. Tokens are dealt to PASSES
+passes by their hash, one pass after the other, so that a share of the joins' rows is on
+disk at a time; tokens do not meet each other, so the passes miss nothing.
 
 Defined results: a null text has no lines; a line without words is never removed and
 has no class; rows of equal doc_id are ordered by their numbers, which follow the input's
@@ -29,6 +31,8 @@ other than those named keep their values, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, free_name, tasks, written
@@ -37,6 +41,7 @@ NUM, DEN = 4, 5  # the similarity from which lines are linked, as a fraction
 BUCKETS = 1 << 16  # of the table of token counts that orders tokens by rarity
 NO_ID = -(1 << 63)
 BLOCK = 1024  # classes of a token that are joined, and those of a larger one compared at once
+PASSES = 4  # over the tokens, whose rows are shuffled one pass after the other
 SPACE = "\t\r\x0b\x0c"
 
 
@@ -136,12 +141,21 @@ def _blocks(rows: DataFrame, *members: str) -> DataFrame:
     )
 
 
-def _large(rows: DataFrame, name: str) -> DataFrame:
-    """token, m: the tokens of more than BLOCK rows, and how many these are.
+def _large(rows: DataFrame, name: str) -> DataFrame | None:
+    """token, m: the tokens of more than BLOCK rows, and how many these are; None if there are none.
 
     Written, so that Spark knows its size: it is broadcast if it is small enough.
     """
-    return written(rows.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), name)
+    large = written(rows.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), name)
+    if not large.isEmpty():
+        return large
+    discard(large)
+    return None
+
+
+def _pass(rows: DataFrame, k: int) -> DataFrame:
+    """The rows whose token is dealt to pass `k`."""
+    return rows.where(F.pmod("token", F.lit(PASSES)) == k)
 
 
 def _passes(x: Column, y: Column) -> Column:
@@ -158,16 +172,17 @@ def _passes(x: Column, y: Column) -> Column:
     )
 
 
-def _candidates(postings: DataFrame) -> DataFrame:
+def _candidates(postings: DataFrame, large: DataFrame | None) -> DataFrame:
     """token, key: classes that the filters leave with a partner there."""
-    large = _large(postings, "line-common")
     columns = ("key", "n", "pos", "par", "prev")
-    small = postings.join(large.select("token"), "token", "left_anti")
+    small = postings if large is None else postings.join(large.select("token"), "token", "left_anti")
     x = small.select("token", F.struct(*columns).alias("x"))
     y = small.where("pos < short").select("token", F.struct(*columns).alias("y"))
     smaller = F.struct("y.n", "y.key") < F.struct("x.n", "x.key")
     met = x.hint("merge").join(y, (x["token"] == y["token"]) & smaller & _passes(F.col("x"), F.col("y")))
     joined = met.select(x["token"], F.explode(F.array("x.key", "y.key")).alias("key"))
+    if large is None:
+        return joined
 
     def partner(x: Column, y: Column, same: Column) -> Column:
         return (x["key"] != y["key"]) & (same | (x["c"] != y["c"])) & _passes(x, y)
@@ -178,7 +193,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return joined.unionByName(inside)
 
 
-def _links(found: DataFrame) -> DataFrame:
+def _links(found: DataFrame, large: DataFrame | None) -> DataFrame:
     """key, n_links, earlier: verified links of each class; whether one is to an earlier class.
 
     Two classes are compared under the first token that their prefixes share, and
@@ -189,9 +204,8 @@ def _links(found: DataFrame) -> DataFrame:
         common = F.array_intersect(x["ranks"], y["ranks"])  # in order, so the first is the rarest
         return _enough(F.least(n, m), n, m) & _enough(F.size(common), n, m) & (F.get(common, F.lit(0)) == token)
 
-    large = _large(found.select("token"), "line-common")
     columns = ("key", "first", "ranks")
-    small = found.join(large.select("token"), "token", "left_anti")
+    small = found if large is None else found.join(large.select("token"), "token", "left_anti")
     x, y = (small.select("token", F.struct(*columns).alias(name)) for name in ("x", "y"))
     met = x.hint("merge").join(
         y, (x["token"] == y["token"]) & (F.col("x.key") < F.col("y.key")) & linked(F.col("x"), F.col("y"), x["token"])
@@ -201,22 +215,21 @@ def _links(found: DataFrame) -> DataFrame:
         earlier = (F.col(f"{other}.first") < F.col(f"{own}.first")).cast("int")
         return F.struct(F.col(f"{own}.key").alias("key"), F.lit(1).cast("long").alias("links"), earlier.alias("earlier"))
 
-    joined = met.select(F.explode(F.array(side("x", "y"), side("y", "x"))).alias("r")).select("r.*")
-
-    grouped = _blocks(found.join(large, "token"), *columns)
-    partners = F.transform("g", lambda x: F.struct(
-        x["key"].alias("key"),
-        F.transform(
-            F.filter("g", lambda y: (x["key"] != y["key"]) & (F.col("same") | (x["c"] != y["c"])) & linked(x, y, F.col("token"))),
-            lambda y: (y["first"] < x["first"]).cast("int"),
-        ).alias("partners"),
-    ))
-    inside = grouped.select(F.explode(F.filter(partners, lambda r: F.size(r["partners"]) > 0)).alias("r")).select(
-        "r.key", F.size("r.partners").cast("long").alias("links"), F.array_max("r.partners").alias("earlier")
-    )
-    return joined.unionByName(inside).groupBy("key").agg(
-        F.sum("links").alias("n_links"), F.max("earlier").cast("boolean").alias("earlier")
-    )
+    counted = met.select(F.explode(F.array(side("x", "y"), side("y", "x"))).alias("r")).select("r.*")
+    if large is not None:
+        grouped = _blocks(found.join(large, "token"), *columns)
+        partners = F.transform("g", lambda x: F.struct(
+            x["key"].alias("key"),
+            F.transform(
+                F.filter("g", lambda y: (x["key"] != y["key"]) & (F.col("same") | (x["c"] != y["c"])) & linked(x, y, F.col("token"))),
+                lambda y: (y["first"] < x["first"]).cast("int"),
+            ).alias("partners"),
+        ))
+        inside = grouped.select(F.explode(F.filter(partners, lambda r: F.size(r["partners"]) > 0)).alias("r")).select(
+            "r.key", F.size("r.partners").cast("long").alias("links"), F.array_max("r.partners").alias("earlier")
+        )
+        counted = counted.unionByName(inside)
+    return counted.groupBy("key").agg(F.sum("links").alias("n_links"), F.max("earlier").cast("boolean").alias("earlier"))
 
 
 def match_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -253,9 +266,11 @@ def _matched(docs: DataFrame, text: str, row: str | None = None) -> tuple[DataFr
     postings = classes.select(
         "key", "n", index_size(F.col("n")).alias("short"), "par", "prefix", F.posexplode("prefix").alias("pos", "token")
     ).withColumn("prev", F.get("prefix", F.col("pos") - 1)).drop("prefix")
-    candidates = written(_candidates(postings).distinct(), "line-candidates")
+    large = _large(postings, "line-common")
+    candidates = [written(_candidates(_pass(postings, k), large).distinct(), "line-candidates") for k in range(PASSES)]
+    every = reduce(DataFrame.unionByName, candidates)
 
-    keys = candidates.select("key").distinct()
+    keys = every.select("key").distinct()
     facts = written(classes.select("key", "first", "copies"), "line-facts")
     discard(classes)
     firsts = facts.join(keys, "key", "left_semi").select("key", "first")
@@ -273,8 +288,12 @@ def _matched(docs: DataFrame, text: str, row: str | None = None) -> tuple[DataFr
     first = F.struct("first.doc_id", "first.row", "first.line_no")
     tokens = picked.select("w.*", line.alias("line")).select("key", first.alias("first"), ranks(F.col("line"), levels).alias("ranks"))
     sets = written(tokens.where(F.xxhash64("ranks", "ranks") == F.col("key")).dropDuplicates(["key"]), "line-sets")
-    links = written(_links(candidates.join(sets, "key")), "line-links")
-    discard(candidates, sets)
+    large = _large(every, "line-common")
+    parts = [written(_links(rows.join(sets, "key"), large), "line-links") for rows in candidates]
+    discard(*candidates, sets)
+    links = reduce(DataFrame.unionByName, parts).groupBy("key").agg(
+        F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier")
+    )
     found = lines.join(facts.join(links, "key", "left"), "key", "left").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", "line_no",
         F.nullif("first.doc_id", F.lit(NO_ID)).alias("class_doc"), F.col("first.line_no").alias("class_line"),
@@ -282,7 +301,7 @@ def _matched(docs: DataFrame, text: str, row: str | None = None) -> tuple[DataFr
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("earlier") | (F.col("first").isNotNull() & (place > first)), F.lit(False)).alias("removed"),
     )
-    return found, [lines, facts, links]
+    return found, [lines, facts, *parts]
 
 
 def drop_lines(docs: DataFrame, text: str = "text") -> DataFrame:
