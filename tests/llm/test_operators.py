@@ -620,6 +620,25 @@ def test_licences_are_learnt_from_every_line(spark):
     assert held.count() == trains and held.select("label").distinct().count() == len(licences.TEMPLATES)
 
 
+def test_lines_like_templates_are_judged_as_by_all_comparisons(spark):
+    """The pairs are found once for a line; what resembles a template or holds a part of one is left out as before."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    every = [t for ts in licences.TEMPLATES.values() for t in ts]
+    rows = [sentence(rng, 12) for _ in range(20)] + every + ["of the software and to permit", "one", ""]
+    for t in every:
+        w = t.split()
+        rows += [" ".join(w[: len(w) // k]) for k in (2, 3, 4, 6)] + [" ".join(w[-3:])]
+    lines = spark.createDataFrame([(r,) for r in rows], "paragraph string")
+    found = licences.pairs(licences.words(F.col("paragraph")))
+    plain = (licences.likeness(found) < licences.CONFIRMED / 2) & ~licences._has_part(found)
+    unlike = licences._unlike(spark, found)
+    assert str(unlike).count("lower(paragraph)") == str(found).count("lower(paragraph)")
+    got = lines.select(plain.alias("want"), unlike.alias("got")).collect()
+    assert all(r.want == r.got for r in got) and len({r.got for r in got}) == 2
+
+
 def test_threshold_of_licences_counts_every_alarm(spark):
     from pyspark.sql import functions as F
 
