@@ -105,6 +105,42 @@ def test_passes_change_nothing_and_hold_a_share_each(spark, texts, monkeypatch):
     assert sorted(map(str, line_dedup.match_lines(docs).collect())) == want
 
 
+def test_lines_meet_sets_of_like_size_only(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1000 * n + pos, n, (n - 1) // 9 + 1, pos, 5, 0, 0, None) for n in range(1, 121) for pos in range((n - 1) // 5 + 1)]
+    postings = spark.createDataFrame(rows, "key long, n int, short int, pos int, token long, even long, odd long, prev long")
+    x, y = line_dedup._larger(postings), line_dedup._smaller(postings)
+    met = x.select("meet", F.col("key").alias("x")).join(y.select("meet", F.col("key").alias("y")), "meet").collect()
+    got = {(r.x, r.y) for r in met}
+    assert len(got) == len(met) < 0.3 * x.count() * postings.where("pos < short").count()
+    for key, m, _, i, *_ in rows:
+        for other, n, short, j, *_ in rows:
+            if n <= m and j < short and 9 * min(m - i, n - j) >= 4 * (n + m):
+                assert (key, other) in got
+
+
+def test_links_inside_large_groups(spark, monkeypatch):
+    rng = random.Random(7)
+    lines = []
+    for size in (6, 20, 45):
+        base = [f"w{rng.randrange(2000)}" for _ in range(size)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(size)] = f"x{rng.randrange(1000)}"
+            lines.append(" ".join(words))
+    rng.shuffle(lines)
+    classes = {frozenset(line.split()) for line in lines}
+    links = {a: sum(a != b and 5 * len(a & b) >= 4 * len(a | b) for b in classes) for a in classes}
+    inside, used = line_dedup._links_inside, []
+    monkeypatch.setattr(line_dedup, "_links_inside", lambda rows: used.append(rows.count()) or inside(rows))
+    monkeypatch.setattr(line_dedup, "BLOCK", 6)
+    got = {r.doc_id: r.n_links for r in line_dedup.match_lines(frame(spark, lines)).collect()}
+    assert got == {i: links[frozenset(line.split())] for i, line in enumerate(lines)}
+    assert used and used[0] > 60 and max(got.values()) > 12
+
+
 def test_dropped_lines(spark, texts):
     docs = frame(spark, texts)
     gone = {(r.doc_id, r.line_no) for r in line_dedup.match_lines(docs).collect() if r.removed}
